@@ -42,4 +42,4 @@ def null_if_token(c: Column, tokens) -> Column:
 def number_from_text(c: Column) -> Column:
     """``$1,200`` -> 1200.0; text that is not number-shaped -> null."""
     cleaned = F.regexp_replace(c, NON_NUMBER_CHARS, "")
-    return F.when(c.rlike(NUMBER_TEXT_PATTERN), F.try_cast(cleaned, "double"))
+    return F.when(c.rlike(NUMBER_TEXT_PATTERN), cleaned.try_cast("double"))
