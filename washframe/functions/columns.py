@@ -71,3 +71,59 @@ def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def safe_div(num: Column, den: Column) -> Column:
     """Division that yields null on zero or null denominators, also under ANSI."""
     return F.try_divide(num, den)
+
+
+# SQL-text forms of the helpers above. Operators that build many expressions
+# (one per column or per column pair) emit SQL text parsed on the JVM side:
+# one Py4J call per expression instead of one per Column operator.
+
+def ident(name: str) -> str:
+    """Back-quoted identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return f"{v}L" if abs(v) > 2**31 - 1 else str(v)
+    if isinstance(v, float):
+        if v != v:
+            return "CAST('NaN' AS DOUBLE)"
+        if v in (float("inf"), float("-inf")):
+            return f"CAST('{'-' if v < 0 else ''}Infinity' AS DOUBLE)"
+        return f"CAST({v!r} AS DOUBLE)"
+    text = str(v).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
+
+
+def value_sql(df: DataFrame, name: str) -> str:
+    """SQL text of ``value_of``: float NaN read as null."""
+    dt = dtype_of(df, name)
+    if isinstance(dt, _FRACTIONAL):
+        return f"nanvl({ident(name)}, CAST(NULL AS {dt.simpleString()}))"
+    return ident(name)
+
+
+def missing_sql(df: DataFrame, name: str) -> str:
+    if isinstance(dtype_of(df, name), _FRACTIONAL):
+        return f"({ident(name)} IS NULL OR isnan({ident(name)}))"
+    return f"({ident(name)} IS NULL)"
+
+
+def unpivot_sql(rows: list[dict[str, object]]) -> str:
+    """``inline(array(named_struct(...), ...))`` text: one output row per dict.
+
+    Values that are strings starting with ``@`` are column references; others
+    are literals.
+    """
+    structs = []
+    for spec in rows:
+        parts = []
+        for key, src in spec.items():
+            val = ident(src[1:]) if isinstance(src, str) and src.startswith("@") else sql_literal(src)
+            parts.append(f"{sql_literal(key)}, {val}")
+        structs.append("named_struct(" + ", ".join(parts) + ")")
+    return "inline(array(" + ", ".join(structs) + "))"

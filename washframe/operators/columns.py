@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from washframe.functions.columns import columns_of_kind, is_missing, q, value_of
+from washframe.functions.columns import columns_of_kind, missing_sql, q, value_sql
 from washframe.functions.names import standard_names
 from washframe.report import StepLog
 
@@ -28,9 +28,9 @@ def standardize_columns(df: DataFrame, log: StepLog | None = None) -> DataFrame:
 def fit_null_counts(df: DataFrame, cols: list[str] | None = None) -> tuple[int, dict[str, int]]:
     """(row count, missing cells per column) in one aggregation."""
     cols = cols if cols is not None else df.columns
-    row = df.agg(F.count(F.lit(1)).alias("__rows"),
-                 *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]
-                 ).collect()[0]
+    row = df.groupBy().agg(F.expr("count(1) AS __rows"),
+                           *[F.expr(f"count_if({missing_sql(df, c)}) AS m{i}") for i, c in enumerate(cols)]
+                           ).collect()[0]
     return row["__rows"], {c: row[f"m{i}"] for i, c in enumerate(cols)}
 
 
@@ -78,9 +78,9 @@ def constant_columns(df: DataFrame, keep_all_null: bool = False) -> list[str]:
         return []
     exprs = []
     for i, c in enumerate(cols):
-        v = value_of(df, c)
-        exprs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    row = df.agg(*exprs).collect()[0]
+        v = value_sql(df, c)
+        exprs += [F.expr(f"min({v}) AS lo{i}"), F.expr(f"max({v}) AS hi{i}")]
+    row = df.groupBy().agg(*exprs).collect()[0]
     out = []
     for i, c in enumerate(cols):
         lo, hi = row[f"lo{i}"], row[f"hi{i}"]

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from washframe.functions.columns import (columns_of_kind, dtype_of, is_datetime, is_missing,
-                                         is_numeric, is_string, q, value_of)
+from washframe.functions.columns import (columns_of_kind, dtype_of, is_datetime, is_numeric,
+                                         is_string, missing_sql, q, sql_literal, unpivot_sql,
+                                         value_of, value_sql)
 from washframe.functions.text import DEFAULT_NA_TOKENS, null_if_token
 from washframe.operators.columns import fit_null_counts
 from washframe.operators.ordered_fill import fill_bfill, fill_ffill
@@ -32,10 +33,10 @@ def replace_na_tokens(df: DataFrame, tokens=DEFAULT_NA_TOKENS,
 
 def null_counts(df: DataFrame) -> DataFrame:
     """Long form ``(column_name, null_count)``: one aggregation, then a 1-row unpivot."""
-    one = df.agg(*[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)])
-    items = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("null_count"))
-                      for i, c in enumerate(df.columns)])
-    return one.select(F.inline(items))
+    one = df.groupBy().agg(*[F.expr(f"count_if({missing_sql(df, c)}) AS m{i}")
+                             for i, c in enumerate(df.columns)])
+    return one.selectExpr(unpivot_sql([{"column_name": c, "null_count": f"@m{i}"}
+                                       for i, c in enumerate(df.columns)]))
 
 
 def _apply_fills(df: DataFrame, values: dict[str, object], as_double: set[str] = frozenset()) -> DataFrame:
@@ -89,9 +90,10 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
     for kind, names in groups.items():
         if not names:
             continue
-        items = F.array(*[F.struct(F.lit(c).alias("_col"), value_of(df, c).cast(kind).alias("_val"))
-                          for c in names])
-        long_df = df.select(F.inline(items)).where(F.col("_val").isNotNull())
+        items = "inline(array(" + ", ".join(
+            f"named_struct('_col', {sql_literal(c)}, '_val', CAST({value_sql(df, c)} AS {kind}))"
+            for c in names) + "))"
+        long_df = df.selectExpr(items).where(F.col("_val").isNotNull())
         per_value = long_df.groupBy("_col", "_val").agg(F.count(F.lit(1)).alias("_cnt"))
         best = per_value.groupBy("_col").agg(
             F.min(F.struct((-F.col("_cnt")).alias("k"), F.col("_val").alias("v"))).alias("_b"))

@@ -1,8 +1,11 @@
-"""Profiles: table summary, describe (numeric / text), column and data summaries.
+"""Profiles: table summary, describe (numeric / text), column and data summaries,
+and the correlation matrix.
 
 Each profile is a lazy DataFrame built from one aggregation over the input (or
 a per-value count with partial aggregation for the text statistics); results
-are one row per column, never per input row.
+are one row per column (or column pair), never per input row. The wide
+expression lists are written as SQL text so building a plan over many columns
+costs one JVM call per expression.
 """
 
 from __future__ import annotations
@@ -10,28 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washframe.functions.columns import (columns_of_kind, dtype_of, is_missing, is_numeric, q,
-                                         value_of)
+from washframe.functions.columns import (columns_of_kind, dtype_of, ident, is_numeric, missing_sql,
+                                         sql_literal, unpivot_sql, value_sql)
 from washframe.operators.quantiles import exact_quantiles, stack_columns
 
 
 def _unpivot_one_row(one: DataFrame, rows: list[dict[str, object]]) -> DataFrame:
-    """Turn a one-row aggregate into one row per column: ``rows`` maps output
-    field -> column of ``one`` (str) or literal value (other)."""
-    items = []
-    for spec in rows:
-        fields = []
-        for name, src in spec.items():
-            col = F.col(src[1:]) if isinstance(src, str) and src.startswith("@") else F.lit(src)
-            fields.append(col.alias(name))
-        items.append(F.struct(*fields))
-    return one.select(F.inline(F.array(*items)))
+    """One-row aggregate -> one row per spec (``@name`` = column of ``one``)."""
+    return one.selectExpr(unpivot_sql(rows))
 
 
 def table_summary(df: DataFrame) -> DataFrame:
     """One row per column: position, name, Spark type, missing count, table rows."""
-    one = df.agg(F.count(F.lit(1)).alias("rows"),
-                 *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)])
+    one = df.groupBy().agg(F.expr("count(1)").alias("rows"),
+                           *[F.expr(f"count_if({missing_sql(df, c)})").alias(f"m{i}")
+                             for i, c in enumerate(df.columns)])
     specs = [{"position": i, "column_name": c, "data_type": dtype_of(df, c).simpleString(),
               "null_count": f"@m{i}", "n_rows": "@rows"} for i, c in enumerate(df.columns)]
     return _unpivot_one_row(one, specs)
@@ -46,26 +42,27 @@ def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False)
     cols = cols if cols is not None else columns_of_kind(df, "numeric")
     if not cols:
         return describe_text(df)
-    one = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.count(value_of(df, c)).alias(f"n{i}"), F.avg(value_of(df, c)).alias(f"a{i}"),
-        F.stddev_samp(value_of(df, c)).alias(f"s{i}"),
-        F.min(value_of(df, c)).cast("double").alias(f"lo{i}"),
-        F.max(value_of(df, c)).cast("double").alias(f"hi{i}"))])
+    aggs = []
+    for i, c in enumerate(cols):
+        v = value_sql(df, c)
+        aggs += [f"count({v}) AS n{i}", f"avg({v}) AS a{i}", f"stddev_samp({v}) AS s{i}",
+                 f"CAST(min({v}) AS DOUBLE) AS lo{i}", f"CAST(max({v}) AS DOUBLE) AS hi{i}"]
+    one = df.groupBy().agg(*[F.expr(a) for a in aggs])
     specs = [{"column_name": c, "count": f"@n{i}", "mean": f"@a{i}", "std": f"@s{i}",
               "min": f"@lo{i}", "max": f"@hi{i}"} for i, c in enumerate(cols)]
     moments = _unpivot_one_row(one, specs)
     quarts = exact_quantiles(stack_columns(df, cols, "column_name", "value"), ["column_name"],
                              "value", [0.25, 0.5, 0.75], approx=approx)
-    quarts = quarts.select("column_name", F.col("q0").alias("q25"), F.col("q1").alias("q50"),
-                           F.col("q2").alias("q75"))
+    quarts = quarts.selectExpr("column_name", "q0 AS q25", "q1 AS q50", "q2 AS q75")
     return moments.join(quarts, on="column_name", how="left").select("column_name", *DESCRIBE_STATS)
 
 
 def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, value as text, cnt) for every distinct non-missing value."""
-    items = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                               value_of(df, c).cast("string").alias("value")) for c in cols])
-    long_df = df.select(F.inline(items)).where(F.col("value").isNotNull())
+    items = "inline(array(" + ", ".join(
+        f"named_struct('column_name', {sql_literal(c)}, 'value', CAST({value_sql(df, c)} AS STRING))"
+        for c in cols) + "))"
+    long_df = df.selectExpr(items).where(F.col("value").isNotNull())
     return long_df.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -73,24 +70,23 @@ def describe_text(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Text describe, one row per column: count, unique, top (ties: smallest), freq."""
     cols = cols if cols is not None else columns_of_kind(df, "string")
     counts = value_counts_long(df, cols)
-    best = F.min(F.struct((-F.col("cnt")).alias("k"), F.col("value").alias("v")))
     return counts.groupBy("column_name").agg(
-        F.sum("cnt").cast("long").alias("count"),
-        F.count(F.lit(1)).alias("unique"),
-        best.alias("_b")).select("column_name", "count", "unique",
-                                 F.col("_b.v").alias("top"), (-F.col("_b.k")).alias("freq"))
+        F.expr("CAST(sum(cnt) AS BIGINT)").alias("count"),
+        F.expr("count(1)").alias("unique"),
+        F.expr("min(named_struct('k', -cnt, 'v', value))").alias("_b")
+    ).selectExpr("column_name", "count", "unique", "_b.v AS top", "-_b.k AS freq")
 
 
 def column_summary(df: DataFrame) -> DataFrame:
     """Per column: dtype, missing, unique (exact), and mean/std/min/max when numeric."""
-    exprs = []
+    aggs = []
     for i, c in enumerate(df.columns):
-        v = value_of(df, c)
-        exprs += [F.count_if(is_missing(df, c)).alias(f"m{i}"), F.count_distinct(v).alias(f"u{i}")]
+        v = value_sql(df, c)
+        aggs += [f"count_if({missing_sql(df, c)}) AS m{i}", f"count(DISTINCT {v}) AS u{i}"]
         if is_numeric(dtype_of(df, c)):
-            exprs += [F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                      F.min(v).cast("double").alias(f"lo{i}"), F.max(v).cast("double").alias(f"hi{i}")]
-    one = df.agg(*exprs)
+            aggs += [f"avg({v}) AS a{i}", f"stddev_samp({v}) AS s{i}",
+                     f"CAST(min({v}) AS DOUBLE) AS lo{i}", f"CAST(max({v}) AS DOUBLE) AS hi{i}"]
+    one = df.groupBy().agg(*[F.expr(a) for a in aggs])
     specs = []
     for i, c in enumerate(df.columns):
         num = is_numeric(dtype_of(df, c))
@@ -99,8 +95,8 @@ def column_summary(df: DataFrame) -> DataFrame:
                       "mean": f"@a{i}" if num else None, "std": f"@s{i}" if num else None,
                       "min": f"@lo{i}" if num else None, "max": f"@hi{i}" if num else None})
     out = _unpivot_one_row(one, specs)
-    return out.select("name", "dtype", "missing_count", "unique_count",
-                      *[F.col(s).cast("double").alias(s) for s in ("mean", "std", "min", "max")])
+    return out.selectExpr("name", "dtype", "missing_count", "unique_count",
+                          *[f"CAST({s} AS DOUBLE) AS {s}" for s in ("mean", "std", "min", "max")])
 
 
 def data_summary(df: DataFrame) -> DataFrame:
@@ -109,16 +105,16 @@ def data_summary(df: DataFrame) -> DataFrame:
     Duplicates and missing cells come from the same per-distinct-row count, so
     the table is shuffled once (with map-side combining).
     """
-    norm = df.select(*[value_of(df, c).alias(c) for c in df.columns])
-    miss = sum((F.when(q(c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
-    groups = norm.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n")) \
-                 .withColumn("_miss", miss * F.col("_n"))
+    norm = df.selectExpr(*[f"{value_sql(df, c)} AS {ident(c)}" for c in df.columns])
+    miss = " + ".join(f"CAST({ident(c)} IS NULL AS INT)" for c in df.columns) or "0"
+    groups = norm.groupBy(*[F.col(ident(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n")) \
+                 .withColumn("_miss", F.expr(f"({miss}) * _n"))
     kinds = {k: ",".join(columns_of_kind(df, k)) for k in ("numeric", "string", "datetime")}
     return groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("total_rows"),
+        F.expr("CAST(coalesce(sum(_n), 0) AS BIGINT)").alias("total_rows"),
         F.lit(len(df.columns)).alias("total_columns"),
-        F.coalesce(F.sum("_miss"), F.lit(0)).cast("long").alias("missing_cells"),
-        (F.coalesce(F.sum("_n"), F.lit(0)) - F.count(F.lit(1))).cast("long").alias("duplicate_rows"),
+        F.expr("CAST(coalesce(sum(_miss), 0) AS BIGINT)").alias("missing_cells"),
+        F.expr("CAST(coalesce(sum(_n), 0) - count(1) AS BIGINT)").alias("duplicate_rows"),
         F.lit(kinds["numeric"]).alias("numeric_columns"),
         F.lit(kinds["string"]).alias("categorical_columns"),
         F.lit(kinds["datetime"]).alias("datetime_columns"))
@@ -128,25 +124,59 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
                        lower_only: bool = False) -> DataFrame:
     """Pearson correlation, pairwise-complete, long form ``(x, y, corr)``.
 
-    One aggregation holds a (covariance, two variances) set per pair over the
-    rows where both values are present; a constant column gives null (no
-    division error under ANSI). ``lower_only`` keeps the strict lower triangle.
+    Pass 1 (tiny result): per column, non-null count and mean. Pass 2: plain
+    sums of values centred at those means (centring keeps the sums free of
+    cancellation). A column without nulls shares its sums across all its
+    pairs; only pairs touching a column with nulls need sums restricted to
+    the rows where both are present. A constant column gives null (no division
+    error under ANSI). ``lower_only`` keeps the strict lower triangle.
     """
     cols = cols if cols is not None else columns_of_kind(df, "numeric")
     if len(cols) < 2:
         raise ValueError("Need at least 2 numeric columns for correlation heatmap")
-    vals = {c: value_of(df, c).cast("double") for c in cols}
-    exprs = []
+    vals = {c: f"CAST({value_sql(df, c)} AS DOUBLE)" for c in cols}
+    first = df.groupBy().agg(F.expr("count(1)").alias("rows"), *[
+        F.expr(e) for i, c in enumerate(cols)
+        for e in (f"count({vals[c]}) AS n{i}", f"avg({vals[c]}) AS m{i}")]).collect()[0]
+    rows = first["rows"]
+    complete = {c: first[f"n{i}"] == rows for i, c in enumerate(cols)}
+    d = {c: f"({vals[c]} - {sql_literal(float(first[f'm{i}'] or 0.0))})" for i, c in enumerate(cols)}
     pairs = [(i, j) for i in range(len(cols)) for j in range(i)]
+
+    sums = ["count(1) AS rows"]
+    for i, c in enumerate(cols):   # sums skip nulls: per-column moments over present values
+        sums += [f"sum({d[c]}) AS s{i}", f"sum({d[c]} * {d[c]}) AS q{i}"]
+    for i, j in pairs:
+        a, b = cols[i], cols[j]
+        if complete[a] and complete[b]:
+            sums.append(f"sum({d[a]} * {d[b]}) AS x{i}_{j}")
+        else:
+            both = f"({vals[a]} IS NOT NULL AND {vals[b]} IS NOT NULL)"
+            da, db = f"IF({both}, {d[a]}, NULL)", f"IF({both}, {d[b]}, NULL)"
+            sums += [f"count_if({both}) AS n{i}_{j}", f"sum({da}) AS sa{i}_{j}",
+                     f"sum({db}) AS sb{i}_{j}", f"sum({da} * {da}) AS qa{i}_{j}",
+                     f"sum({db} * {db}) AS qb{i}_{j}", f"sum({da} * {db}) AS x{i}_{j}"]
+    one = df.groupBy().agg(*[F.expr(s) for s in sums])
+
+    def pearson(n, sa, sb, qa, qb, x):
+        n = f"CAST({n} AS DOUBLE)"
+        cov = f"({x} / {n} - ({sa} / {n}) * ({sb} / {n}))"
+        va = f"greatest({qa} / {n} - ({sa} / {n}) * ({sa} / {n}), 0D)"
+        vb = f"greatest({qb} / {n} - ({sb} / {n}) * ({sb} / {n}), 0D)"
+        return f"try_divide({cov}, sqrt({va} * {vb}))"
+
+    exprs = []
     for i, j in pairs:
-        x, y = vals[cols[i]], vals[cols[j]]
-        both = x.isNotNull() & y.isNotNull()
-        xx, yy = F.when(both, x), F.when(both, y)
-        exprs.append(F.try_divide(F.covar_pop(xx, yy), F.sqrt(F.var_pop(xx) * F.var_pop(yy)))
-                     .alias(f"c{i}_{j}"))
+        a, b = cols[i], cols[j]
+        if complete[a] and complete[b]:
+            r = pearson("rows", f"s{i}", f"s{j}", f"q{i}", f"q{j}", f"x{i}_{j}")
+        else:
+            r = pearson(f"n{i}_{j}", f"sa{i}_{j}", f"sb{i}_{j}", f"qa{i}_{j}", f"qb{i}_{j}", f"x{i}_{j}")
+        exprs.append(f"{r} AS c{i}_{j}")
     for i, c in enumerate(cols):
-        exprs.append(F.when(F.var_pop(vals[c]) > 0, F.lit(1.0)).alias(f"d{i}"))
-    one = df.agg(*exprs)
+        n = sql_literal(float(max(first[f"n{i}"], 1)))
+        exprs.append(f"IF(q{i} / {n} - pow(s{i} / {n}, 2) > 0, 1D, CAST(NULL AS DOUBLE)) AS d{i}")
+    one = one.selectExpr(*exprs)
     specs = []
     for i, j in pairs:
         specs.append({"x": cols[i], "y": cols[j], "corr": f"@c{i}_{j}"})
@@ -155,4 +185,4 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
     if not lower_only:
         specs += [{"x": c, "y": c, "corr": f"@d{i}"} for i, c in enumerate(cols)]
     out = _unpivot_one_row(one, specs)
-    return out.select("x", "y", F.col("corr").cast("double").alias("corr"))
+    return out.selectExpr("x", "y", "CAST(corr AS DOUBLE) AS corr")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from washframe.functions.columns import q
+from washframe.functions.columns import ident, q, sql_literal
 
 GRID = 256               # grid points per approximate pass
 ACCURACY = 10_000        # percentile_approx accuracy: rank error <= n / ACCURACY
@@ -194,9 +194,10 @@ def stack_columns(df: DataFrame, cols: list[str], name_col: str = "column",
                   value_col: str = "value", keys: list[str] | None = None) -> DataFrame:
     """Long form (keys..., column name, value as double) of several numeric columns."""
     keys = keys or []
-    items = F.array(*[F.struct(F.lit(c).alias(name_col), q(c).cast("double").alias(value_col))
-                      for c in cols])
-    return (df.select(*[q(k) for k in keys], F.inline(items)))
+    items = "inline(array(" + ", ".join(
+        f"named_struct({sql_literal(name_col)}, {sql_literal(c)}, {sql_literal(value_col)}, "
+        f"CAST({ident(c)} AS DOUBLE))" for c in cols) + "))"
+    return df.selectExpr(*[ident(k) for k in keys], items)
 
 
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],

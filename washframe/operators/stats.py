@@ -13,17 +13,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washframe.functions.columns import is_missing, value_of
+from washframe.functions.columns import missing_sql, value_sql
 from washframe.operators.quantiles import column_quantiles
 
 _AGGS = {
-    "count": lambda v: F.count(v),
-    "mean": lambda v: F.avg(v),
-    "std_pop": lambda v: F.stddev_pop(v),
-    "std_samp": lambda v: F.stddev_samp(v),
-    "min": lambda v: F.min(v),
-    "max": lambda v: F.max(v),
-    "sum": lambda v: F.sum(v),
+    "count": "count({})",
+    "mean": "avg({})",
+    "std_pop": "stddev_pop({})",
+    "std_samp": "stddev_samp({})",
+    "min": "min({})",
+    "max": "max({})",
+    "sum": "sum({})",
 }
 
 
@@ -45,14 +45,14 @@ def fit_stats(df: DataFrame, cols: list[str], which=("count", "mean", "std_pop",
     ``quantiles`` maps a statistic name to a probability, e.g. ``{"median": .5}``.
     ``missing`` adds the count of null / NaN cells per column.
     """
-    exprs = [F.count(F.lit(1)).alias("__rows")]
+    exprs = ["count(1) AS __rows"]
     for i, c in enumerate(cols):
-        v = value_of(df, c)
+        v = value_sql(df, c)
         for name in which:
-            exprs.append(_AGGS[name](v).alias(f"{name}__{i}"))
+            exprs.append(_AGGS[name].format(v) + f" AS {name}__{i}")
         if missing:
-            exprs.append(F.count_if(is_missing(df, c)).alias(f"missing__{i}"))
-    row = df.agg(*exprs).collect()[0]
+            exprs.append(f"count_if({missing_sql(df, c)}) AS missing__{i}")
+    row = df.groupBy().agg(*[F.expr(e) for e in exprs]).collect()[0]
     out = ColumnStats(rows=row["__rows"])
     for i, c in enumerate(cols):
         out.stats[c] = {name: row[f"{name}__{i}"] for name in which}
