@@ -86,7 +86,8 @@ def histogram_data(df: DataFrame, x: str, bins: int | str = "auto", approx: bool
     if n == 0:
         return df.sparkSession.createDataFrame([], "bin int, bin_low double, bin_high double, count long, density double")
     if bins == "auto":
-        qs = exact_quantiles(df.select(v.alias("_v")), [], "_v", [0.25, 0.75], approx=approx).collect()[0]
+        qs = exact_quantiles(df.select(v.alias("_v")), [], "_v", [0.25, 0.75], approx=approx,
+                             max_group_size=n).collect()[0]
         k = auto_bin_count(n, lo, hi, qs["q0"], qs["q1"])
     else:
         k = int(bins)

@@ -17,7 +17,7 @@ from washframe.report import StepLog
 
 
 def _zscore_flags(df: DataFrame, cols: list[str], threshold: float):
-    st = fit_stats(df, cols, which=("mean", "std_pop", "std_samp"))
+    st = fit_stats(df, cols, which=("count", "mean", "std_pop", "std_samp"))
     live = [c for c in cols if st[c]["std_pop"]]   # zero / undefined std: no outliers
     if not live:
         return st, {}
@@ -39,7 +39,8 @@ def outliers_to_median(df: DataFrame, cols: list[str] | None = None, threshold:
     st, flagged = _zscore_flags(df, cols, threshold)
     if not flagged:
         return df
-    med = column_quantiles(df, list(flagged), [0.5], approx=approx)
+    med = column_quantiles(df, list(flagged), [0.5], approx=approx,
+                           max_group_size=max(st[c]["count"] for c in flagged))
     out = []
     for c in df.columns:
         if c in flagged:

@@ -47,12 +47,15 @@ def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False)
         v = value_sql(df, c)
         aggs += [f"count({v}) AS n{i}", f"avg({v}) AS a{i}", f"stddev_samp({v}) AS s{i}",
                  f"CAST(min({v}) AS DOUBLE) AS lo{i}", f"CAST(max({v}) AS DOUBLE) AS hi{i}"]
-    one = df.groupBy().agg(*[F.expr(a) for a in aggs])
-    specs = [{"column_name": c, "count": f"@n{i}", "mean": f"@a{i}", "std": f"@s{i}",
-              "min": f"@lo{i}", "max": f"@hi{i}"} for i, c in enumerate(cols)]
-    moments = _unpivot_one_row(one, specs)
+    row = df.groupBy().agg(*[F.expr(a) for a in aggs]).collect()[0]
+    spark = df.sparkSession
+    moments = spark.createDataFrame(
+        [(c, row[f"n{i}"], row[f"a{i}"], row[f"s{i}"], row[f"lo{i}"], row[f"hi{i}"])
+         for i, c in enumerate(cols)],
+        "column_name string, count bigint, mean double, std double, min double, max double")
     quarts = exact_quantiles(stack_columns(df, cols, "column_name", "value"), ["column_name"],
-                             "value", [0.25, 0.5, 0.75], approx=approx)
+                             "value", [0.25, 0.5, 0.75], approx=approx,
+                             max_group_size=max(row[f"n{i}"] for i in range(len(cols))))
     quarts = quarts.selectExpr("column_name", "q0 AS q25", "q1 AS q50", "q2 AS q75")
     return moments.join(quarts, on="column_name", how="left").select("column_name", *DESCRIBE_STATS)
 

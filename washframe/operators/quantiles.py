@@ -40,6 +40,12 @@ def _grid_probs() -> list[float]:
     return [k / (GRID - 1) for k in range(GRID)]
 
 
+def _approx_sql(col: str, probs: list[float]) -> Column:
+    """percentile_approx over a literal probability array, as one SQL expression."""
+    arr = ", ".join(f"CAST({p!r} AS DOUBLE)" for p in probs)
+    return F.expr(f"percentile_approx({col}, array({arr}), {ACCURACY})")
+
+
 def _grid_at(grid: Column, index: Column) -> Column:
     """Grid value at a 0-based index, null when the index falls off the grid."""
     return F.when((index >= 0) & (index <= GRID - 1),
@@ -65,12 +71,14 @@ def _attach(long_df: DataFrame, targets: DataFrame, keys: list[str], n_targets:
 
 def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
                     probs: list[float], approx: bool = False,
-                    resolve_max: int = RESOLVE_MAX) -> DataFrame:
+                    resolve_max: int = RESOLVE_MAX, max_group_size: int | None = None) -> DataFrame:
     """Per group of ``keys``: ``_n`` (non-null count) and ``q0..q{m-1}``.
 
     ``long_df`` holds the key columns and one numeric ``value`` column; null
     values are ignored. With no keys the result is one row. ``approx=True``
     returns ``percentile_approx`` (bounded memory, rank error n/ACCURACY).
+    ``max_group_size``: a known upper bound of any group's non-null count (e.g.
+    from an earlier count); at most ``resolve_max`` skips the narrowing.
     """
     probs = [float(p) for p in probs]
     if any(p < 0 or p > 1 for p in probs):
@@ -90,17 +98,32 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
     if approx:
         res = data.groupBy(*keys).agg(
             F.count(nm.value).alias("_n"),
-            F.percentile_approx(nm.value, probs, ACCURACY).alias("_qa"))
+            _approx_sql(nm.value, probs).alias("_qa"))
+        res = res.select(*keys, "_n", *[F.col("_qa")[i].alias(c) for i, c in enumerate(out_cols)])
+        return res.drop("_qg") if drop_key else res
+
+    prob_arr = "array(" + ", ".join(f"CAST({p!r} AS DOUBLE)" for p in probs) + ")"
+
+    def direct(frame: DataFrame) -> DataFrame:
+        # Every group holds at most resolve_max values (proven by a count), so
+        # Spark's exact percentile map per group is bounded.
+        res = frame.groupBy(*keys).agg(
+            F.count(nm.value).alias("_n"),
+            F.expr(f"percentile({nm.value}, {prob_arr})").alias("_qa"))
         res = res.select(*keys, "_n", *[F.col("_qa")[i].alias(c) for i, c in enumerate(out_cols)])
         return res.drop("_qg") if drop_key else res
 
+    if max_group_size is not None and max_group_size <= resolve_max:
+        return direct(data)
+
     # Round 0: count and coarse grid per group.
     stats = data.groupBy(*keys).agg(
         F.count(nm.value).alias("_n"),
-        F.percentile_approx(nm.value, _grid_probs(), ACCURACY).alias("_grid"))
+        _approx_sql(nm.value, _grid_probs()).alias("_grid"))
     targets = stats.select(
         *keys, "_n", "_grid",
-        F.posexplode(F.array(*[F.lit(p) for p in probs])).alias(nm.idx, "_p"))
+        F.expr("posexplode(array(" + ", ".join(f"CAST({p!r} AS DOUBLE)" for p in probs) + "))")
+         .alias(nm.idx, "_p"))
     targets = (targets
                .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
                .withColumn("_j0", F.floor("_pos"))
@@ -114,31 +137,36 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
         F.lit(0).cast("long").alias("_base"),
         small.alias("_ready"))
     targets = targets.persist()
-    n_targets = targets.count()
 
+    def tally(t):
+        row = t.groupBy().agg(F.expr("count(1) AS n"), F.expr("count_if(NOT _ready) AS p")).collect()[0]
+        return row["n"], row["p"]
+
+    n_targets, n_pending = tally(targets)
+    if n_pending == 0:
+        targets.unpersist()
+        return direct(data)
     state_cols = [*keys, nm.idx, "_n", "_pos", "_j0", "_j1", "_lo", "_hi", "_base", "_ready"]
     rounds = 0
-    while True:
-        pending = targets.where(~F.col("_ready"))
-        n_pending = pending.count()
-        if n_pending == 0:
-            break
+    while n_pending > 0:
         rounds += 1
         if rounds > MAX_ROUNDS:
-            # Brackets always shrink by ~GRID/3 per round; reaching this means
-            # degenerate input. Resolve whatever remains over full groups.
+            # Brackets shrink by ~GRID/3 per round; reaching this means degenerate
+            # input. Resolve whatever remains over whole groups.
             targets = targets.withColumn("_lo", F.when(F.col("_ready"), F.col("_lo"))) \
                              .withColumn("_hi", F.when(F.col("_ready"), F.col("_hi"))) \
                              .withColumn("_base", F.when(F.col("_ready"), F.col("_base")).otherwise(0)) \
                              .withColumn("_ready", F.lit(True))
             break
+        pending = targets.where(~F.col("_ready"))
         v, plo, phi = F.col(nm.value), F.col("_lo"), F.col("_hi")
         joined = _attach(data, pending.select(*keys, nm.idx, "_lo", "_hi"), keys, n_pending)
-        inside = _inside(v, plo, phi)
+        joined = joined.withColumn("_in_bracket", _inside(v, plo, phi))
+        inside = F.col("_in_bracket")
         counted = joined.groupBy(*keys, nm.idx).agg(
             F.count_if(plo.isNotNull() & (v < plo)).alias("_below"),
             F.count_if(inside).alias("_in"),
-            F.percentile_approx(F.when(inside, v), _grid_probs(), ACCURACY).alias("_g2"))
+            _approx_sql(f"IF(_in_bracket, {nm.value}, NULL)", _grid_probs()).alias("_g2"))
         step = pending.join(counted, on=[*keys, nm.idx], how="left")
         below = F.coalesce(F.col("_below"), F.lit(0))
         inn = F.coalesce(F.col("_in"), F.lit(0))
@@ -160,7 +188,7 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
             resolved.alias("_ready"))
         done = targets.where(F.col("_ready")).select(*state_cols)
         new_targets = done.unionByName(step.select(*state_cols)).persist()
-        new_targets.count()
+        _, n_pending = tally(new_targets)
         targets.unpersist()
         targets = new_targets
 
@@ -201,12 +229,14 @@ def stack_columns(df: DataFrame, cols: list[str], name_col: str = "column",
 
 
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                     approx: bool = False) -> dict[str, list[float | None]]:
+                     approx: bool = False, max_group_size: int | None = None
+                     ) -> dict[str, list[float | None]]:
     """Exact quantiles of several columns at once; small result on the driver."""
     if not cols:
         return {}
     long_df = stack_columns(df, cols)
-    res = exact_quantiles(long_df, ["column"], "value", probs, approx=approx).collect()
+    res = exact_quantiles(long_df, ["column"], "value", probs, approx=approx,
+                          max_group_size=max_group_size).collect()
     out = {c: [None] * len(probs) for c in cols}
     for row in res:
         out[row["column"]] = [row[f"q{i}"] for i in range(len(probs))]

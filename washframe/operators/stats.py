@@ -60,7 +60,9 @@ def fit_stats(df: DataFrame, cols: list[str], which=("count", "mean", "std_pop",
             out.stats[c]["missing"] = row[f"missing__{i}"]
     if quantiles and cols:
         names = list(quantiles)
-        got = column_quantiles(df, cols, [quantiles[n] for n in names], approx=approx)
+        counts = [out.stats[c]["count"] for c in cols] if "count" in which else None
+        got = column_quantiles(df, cols, [quantiles[n] for n in names], approx=approx,
+                               max_group_size=max(counts) if counts else None)
         for c in cols:
             for n, val in zip(names, got[c]):
                 out.stats[c][n] = val
