@@ -149,12 +149,15 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
 
 def fill_missing(df: DataFrame, order_by: list[str] | None = None,
                  custom_na_values=None, partition_by: list[str] | None = None,
-                 approx: bool = False, log: StepLog | None = None) -> DataFrame:
+                 approx: bool = False, log: StepLog | None = None,
+                 counts: tuple[int, dict[str, int]] | None = None) -> DataFrame:
     """Automatic fill: NA tokens -> null, drop all-missing columns, then numeric
-    -> median, datetime -> forward fill along ``order_by``, other -> mode."""
+    -> median, datetime -> forward fill along ``order_by``, other -> mode.
+    ``counts``: (rows, missing per column) already fitted on ``df``."""
     if custom_na_values:
         df = replace_na_tokens(df, custom_na_values)
-    rows, missing = fit_null_counts(df)
+        counts = None
+    rows, missing = counts if counts is not None else fit_null_counts(df)
     empty = [c for c, m in missing.items() if rows > 0 and m == rows]
     if empty:
         df = df.drop(*empty)

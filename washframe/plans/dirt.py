@@ -20,7 +20,11 @@ def _null_when(cond, col):
 
 def events_nulls(spark: SparkSession, sf: str) -> DataFrame:
     """events with null ts (id % 5), NA token event_type (id % 11), null value (id % 7)."""
-    ev = load_table(spark, sf, "events")
+    return dirty_nulls(load_table(spark, sf, "events"))
+
+
+def dirty_nulls(ev: DataFrame) -> DataFrame:
+    """The ``events_nulls`` dirt on any events frame (batch or stream)."""
     eid = F.col("event_id")
     return ev.select(
         "event_id",
