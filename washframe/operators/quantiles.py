@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from washframe.functions.columns import ident, q, sql_literal
+from washframe.session import checkpoint_root
 
 GRID = 256               # grid points per approximate pass
 ACCURACY = 10_000        # percentile_approx accuracy: rank error <= n / ACCURACY
@@ -136,7 +137,8 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
         F.when(small, F.lit(None)).otherwise(hi).cast("double").alias("_hi"),
         F.lit(0).cast("long").alias("_base"),
         small.alias("_ready"))
-    targets = targets.persist()
+    checkpoint_root(data.sparkSession)
+    targets = targets.checkpoint(eager=True)
 
     def tally(t):
         row = t.groupBy().agg(F.expr("count(1) AS n"), F.expr("count_if(NOT _ready) AS p")).collect()[0]
@@ -174,7 +176,9 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
         ok_hi = (below + inn) > F.col("_j1")
         ok = ok_lo & ok_hi
         nlo, nhi = _bracket(F.col("_g2"), F.col("_j0") - below, F.col("_j1") - below, inn)
-        resolved = ok & (inn <= resolve_max)
+        # Resolution groups the bracket by value: few rows, or one single value
+        # (a hot value filling the bracket), are both bounded.
+        resolved = ok & ((inn <= resolve_max) | (F.col("_lo") == F.col("_hi")))
         step = step.select(
             *keys, nm.idx, "_n", "_pos", "_j0", "_j1",
             # failed side: drop that bound; verified & too wide: refine from the inner grid
@@ -187,7 +191,9 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
             F.when(resolved, below).otherwise(F.lit(0)).cast("long").alias("_base"),
             resolved.alias("_ready"))
         done = targets.where(F.col("_ready")).select(*state_cols)
-        new_targets = done.unionByName(step.select(*state_cols)).persist()
+        # The state refers to itself each round; a reliable checkpoint keeps its
+        # plan from growing and survives executor loss.
+        new_targets = done.unionByName(step.select(*state_cols)).checkpoint(eager=True)
         _, n_pending = tally(new_targets)
         targets.unpersist()
         targets = new_targets

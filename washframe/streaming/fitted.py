@@ -115,9 +115,21 @@ def read_stream(spark: SparkSession, directory: str, schema: T.StructType,
 
 def dedup_stream(df: DataFrame, event_time: str, delay: str = "10 minutes",
                  subset: list[str] | None = None) -> DataFrame:
-    """Duplicate removal with state bounded by the watermark."""
-    marked = df.withWatermark(event_time, delay)
-    return marked.dropDuplicatesWithinWatermark(subset) if subset else marked.dropDuplicatesWithinWatermark()
+    """Duplicate removal with state bounded by the watermark.
+
+    Watermarks need a TIMESTAMP column; a TIMESTAMP_NTZ event time is read as
+    UTC into a helper column (a function of the event time, so it does not
+    change which rows are duplicates).
+    """
+    if isinstance(df.schema[event_time].dataType, T.TimestampNTZType):
+        df = df.withColumn("_event_time", F.to_utc_timestamp(F.col(event_time).cast("timestamp"), "UTC"))
+        marker = "_event_time"
+    else:
+        marker = event_time
+    marked = df.withWatermark(marker, delay)
+    keys = (list(subset) + [marker]) if subset else None
+    out = marked.dropDuplicatesWithinWatermark(keys) if keys else marked.dropDuplicatesWithinWatermark()
+    return out.drop("_event_time") if marker == "_event_time" else out
 
 
 def run_to_table(stream: DataFrame, label: str, spark: SparkSession) -> DataFrame:
