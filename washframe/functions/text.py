@@ -25,6 +25,10 @@ NON_NUMBER_CHARS = r"[^0-9.\-]"
 
 INTEGER_TEXT_PATTERN = r"^\s*[-+]?[0-9]+\s*$"
 
+# Necessary shape of any text a double cast can accept (digits, or the
+# Infinity / NaN words); checked first because a failed cast is expensive.
+DOUBLE_GUARD_PATTERN = r"^\s*[-+]?([0-9]|\.[0-9]|[iI]nf|NaN)"
+
 
 def strip_whitespace(c: Column) -> Column:
     """Both ends, all Unicode whitespace; Spark's ``trim`` removes only ' '."""

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from washframe.functions.columns import columns_of_kind, q
-from washframe.functions.text import INTEGER_TEXT_PATTERN, NUMBER_TEXT_PATTERN, number_from_text
+from washframe.functions.text import (DOUBLE_GUARD_PATTERN, INTEGER_TEXT_PATTERN, NUMBER_TEXT_PATTERN,
+                                     number_from_text)
 from washframe.report import StepLog
 
 
@@ -65,8 +66,8 @@ def detect_types(df: DataFrame, cols: list[str] | None = None, min_ratio: float
             F.count_if(nn).alias(f"n{i}"),
             F.count_if(nn & v.rlike(INTEGER_TEXT_PATTERN) & v.try_cast("long").isNotNull())
              .alias(f"i{i}"),
-            F.count_if(nn & as_num.isNotNull()
-                       & (v.rlike(NUMBER_TEXT_PATTERN) if clean_numbers else F.lit(True)))
+            F.count_if(nn & v.rlike(NUMBER_TEXT_PATTERN if clean_numbers else DOUBLE_GUARD_PATTERN)
+                       & as_num.isNotNull())
              .alias(f"d{i}"),
             F.count_if(nn & to_timestamp(v, formats).isNotNull()).alias(f"t{i}"),
         ]

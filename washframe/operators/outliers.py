@@ -10,20 +10,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washframe.functions.columns import columns_of_kind, q, value_of
-from washframe.operators.quantiles import column_quantiles
+from washframe.functions.columns import columns_of_kind, q, sql_literal, value_of, value_sql
+from washframe.operators.quantiles import RESOLVE_MAX, column_quantiles
 from washframe.operators.stats import fit_stats
 from washframe.report import StepLog
 
 
-def _zscore_flags(df: DataFrame, cols: list[str], threshold: float):
+def _zscore_flags(df: DataFrame, cols: list[str], threshold: float, with_median: bool = False):
+    """(stats, {column: outlier count}) and, when asked and provably bounded,
+    the exact medians from the same pass: ``stats[c]["median"]``."""
     st = fit_stats(df, cols, which=("count", "mean", "std_pop", "std_samp"))
     live = [c for c in cols if st[c]["std_pop"]]   # zero / undefined std: no outliers
     if not live:
         return st, {}
-    exprs = [F.count_if(F.abs((value_of(df, c) - F.lit(st[c]["mean"])) / F.lit(st[c]["std_pop"]))
-                        > F.lit(threshold)).alias(f"o{i}") for i, c in enumerate(live)]
-    row = df.agg(*exprs).collect()[0]
+    exprs = []
+    for i, c in enumerate(live):
+        v = value_sql(df, c)
+        exprs.append(f"count_if(abs(({v} - {sql_literal(float(st[c]['mean']))}) / "
+                     f"{sql_literal(float(st[c]['std_pop']))}) > {sql_literal(float(threshold))}) AS o{i}")
+        # One exact percentile map per column, bounded by its count (<= RESOLVE_MAX).
+        if with_median and st[c]["count"] <= RESOLVE_MAX:
+            exprs.append(f"percentile(CAST({v} AS DOUBLE), 0.5D) AS p{i}")
+    row = df.groupBy().agg(*[F.expr(e) for e in exprs]).collect()[0]
+    for i, c in enumerate(live):
+        if f"p{i}" in row.asDict():
+            st[c]["median"] = row[f"p{i}"]
     return st, {c: row[f"o{i}"] for i, c in enumerate(live) if row[f"o{i}"] > 0}
 
 
@@ -36,11 +47,14 @@ def outliers_to_median(df: DataFrame, cols: list[str] | None = None, threshold:
     """
     threshold = threshold or 3.0
     cols = cols if cols is not None else columns_of_kind(df, "numeric")
-    st, flagged = _zscore_flags(df, cols, threshold)
+    st, flagged = _zscore_flags(df, cols, threshold, with_median=not approx)
     if not flagged:
         return df
-    med = column_quantiles(df, list(flagged), [0.5], approx=approx,
-                           max_group_size=max(st[c]["count"] for c in flagged))
+    med = {c: [st[c]["median"]] for c in flagged if "median" in st[c]}
+    rest = [c for c in flagged if c not in med]
+    if rest:
+        med.update(column_quantiles(df, rest, [0.5], approx=approx,
+                                    max_group_size=max(st[c]["count"] for c in rest)))
     out = []
     for c in df.columns:
         if c in flagged:

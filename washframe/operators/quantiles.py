@@ -26,8 +26,8 @@ from washframe.functions.columns import ident, q, sql_literal
 from washframe.session import checkpoint_root
 
 GRID = 256               # grid points per approximate pass
-ACCURACY = 10_000        # percentile_approx accuracy: rank error <= n / ACCURACY
-RESOLVE_MAX = 500_000    # a bracket this small is resolved exactly
+ACCURACY = 4_000         # percentile_approx accuracy: rank error <= n / ACCURACY (0.06 grid cell)
+RESOLVE_MAX = 1_000_000  # values per group resolved exactly in one task (~100 MB value map)
 BROADCAST_TARGETS = 200_000  # target rows broadcast to the scan; beyond, a shuffle join
 MAX_ROUNDS = 12
 

@@ -77,7 +77,10 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
     """Run the enabled steps in the fixed order and log what each did."""
     opt = options or CleaningOptions()
     log = StepLog()
-    rows, before = columns.fit_null_counts(df)
+    tokens = opt.custom_na_values if opt.fill_missing else None
+    # Missing counts are taken once, after NA tokens are read as null (the
+    # replacement keeps row and column counts).
+    rows, before = columns.fit_null_counts(missing.replace_na_tokens(df, tokens) if tokens else df)
     result = CleaningResult(df=df, log=log, original_shape=(rows, len(df.columns)))
     order_by = list(opt.order_by or [])
     partition_by = list(opt.partition_by or [])
@@ -91,9 +94,8 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
         before = {mapping[c]: m for c, m in before.items()}
 
     if opt.fill_missing:
-        if opt.custom_na_values:
-            df = missing.replace_na_tokens(df, opt.custom_na_values)
-            rows, before = columns.fit_null_counts(df)
+        if tokens:
+            df = missing.replace_na_tokens(df, tokens)
         empty = [c for c, m in before.items() if rows > 0 and m == rows]
         if empty:
             df = df.drop(*empty)
