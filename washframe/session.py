@@ -27,6 +27,7 @@ def build_session(master: str | None = None, app: str = "washframe",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("WASHFRAME_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
