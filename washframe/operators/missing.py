@@ -18,6 +18,7 @@ from washframe.functions.columns import (columns_of_kind, dtype_of, is_datetime,
 from washframe.functions.text import DEFAULT_NA_TOKENS, null_if_token
 from washframe.operators.columns import fit_null_counts
 from washframe.operators.ordered_fill import fill_bfill, fill_ffill
+from washframe.operators.quantiles import column_quantiles
 from washframe.operators.stats import fit_stats
 from washframe.report import StepLog
 
@@ -55,7 +56,13 @@ def _with_missing(df: DataFrame, cols: list[str] | None, kind_ok) -> list[str]:
     return [c for c in cols if kind_ok(dtype_of(df, c))]
 
 
-def fit_medians(df: DataFrame, cols: list[str], approx: bool = False) -> dict[str, float]:
+def fit_medians(df: DataFrame, cols: list[str], approx: bool = False,
+                max_group_size: int | None = None) -> dict[str, float]:
+    """Exact medians; ``max_group_size`` (a known bound of the non-null counts)
+    skips the counting pass."""
+    if max_group_size is not None and cols:
+        got = column_quantiles(df, cols, [0.5], approx=approx, max_group_size=max_group_size)
+        return {c: got[c][0] for c in cols}
     st = fit_stats(df, cols, which=("count",), quantiles={"median": 0.5}, approx=approx)
     return {c: st[c]["median"] for c in cols}
 
@@ -169,7 +176,9 @@ def fill_missing(df: DataFrame, order_by: list[str] | None = None,
     dates = [c for c in todo if is_datetime(dtype_of(df, c))]
     other = [c for c in todo if c not in numeric and c not in dates]
     if numeric:
-        df = _apply_fills(df, fit_medians(df, numeric, approx), as_double=set(numeric))
+        bound = max(rows - missing[c] for c in numeric)
+        df = _apply_fills(df, fit_medians(df, numeric, approx, max_group_size=bound),
+                          as_double=set(numeric))
     if other:
         df = _apply_fills(df, column_modes(df, other))
     if dates:

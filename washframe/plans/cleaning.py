@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washframe.functions.columns import dtype_of, is_datetime
+from washframe.functions.columns import dtype_of, ident, is_datetime, q, value_of
 from washframe.functions.names import standard_names
 from washframe.operators import coerce, columns, dedup, missing, outliers, strings
 from washframe.report import StepLog
@@ -106,25 +106,34 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
         df = missing.fill_missing(df, order_by=order_by, partition_by=partition_by,
                                   approx=opt.approx_quantiles,
                                   counts=(rows, {c: before.get(c, 0) for c in df.columns}))
-        filled = sum(before[c] for c in todo)
-        if dates:
-            # Leading gaps of a forward fill stay missing: count what was filled.
-            left = df.groupBy().agg(*[F.expr(f"count_if(`{c}` IS NULL) AS m{i}")
-                                      for i, c in enumerate(dates)]).collect()[0]
-            filled -= sum(left[f"m{i}"] for i in range(len(dates)))
-        result.missing_values_filled = filled
+        result.missing_values_filled = sum(before[c] for c in todo)
         for c in todo:
             log.add(f"filled_missing_values_{c}", columns=[c], count=before[c])
+    else:
+        dates = []
 
+    # Duplicates go in one shuffle that keeps each distinct row's copy count;
+    # the cut frame then answers "rows removed" and "cells a forward fill could
+    # not fill (leading gaps)" in one small aggregation, without recomputing
+    # the fill. Without dedup the copy count is 1.
+    names = df.columns
+    if opt.drop_duplicates:
+        norm = df.select(*[value_of(df, c).alias(c) for c in names])
+        grouped = norm.groupBy(*[q(c) for c in names]).agg(F.count(F.lit(1)).alias("_copies"))
+    else:
+        grouped = df.withColumn("_copies", F.lit(1).cast("long"))
+    grouped = _cut(grouped, opt.materialize)
+    tally = grouped.groupBy().agg(
+        F.expr("coalesce(sum(_copies), 0) AS total"), F.expr("count(1) AS kept"),
+        *[F.expr(f"coalesce(sum(IF({ident(c)} IS NULL, _copies, 0)), 0) AS g{i}")
+          for i, c in enumerate(dates)]).collect()[0]
+    result.missing_values_filled -= sum(tally[f"g{i}"] for i in range(len(dates)))
+    df = grouped.drop("_copies")
     if opt.drop_duplicates:
-        df = _cut(dedup.drop_duplicates(df), opt.materialize)
-        after = df.count()
-        result.rows_removed = rows - after
-        rows = after
+        result.rows_removed = tally["total"] - tally["kept"]
+        rows = tally["kept"]
         if result.rows_removed > 0:
             log.add("removed_duplicates", count=result.rows_removed)
-    else:
-        df = _cut(df, opt.materialize)
 
     if opt.fix_datatypes:
         df = coerce.detect_and_convert(df, log=log)
