@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from washframe.functions.columns import (columns_of_kind, dtype_of, ident, is_numeric, missing_sql,
                                          sql_literal, unpivot_sql, value_sql)
-from washframe.operators.quantiles import exact_quantiles, stack_columns
+from washframe.operators.quantiles import column_quantiles
 
 
 def _unpivot_one_row(one: DataFrame, rows: list[dict[str, object]]) -> DataFrame:
@@ -49,15 +49,13 @@ def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False)
                  f"CAST(min({v}) AS DOUBLE) AS lo{i}", f"CAST(max({v}) AS DOUBLE) AS hi{i}"]
     row = df.groupBy().agg(*[F.expr(a) for a in aggs]).collect()[0]
     spark = df.sparkSession
-    moments = spark.createDataFrame(
-        [(c, row[f"n{i}"], row[f"a{i}"], row[f"s{i}"], row[f"lo{i}"], row[f"hi{i}"])
+    qs = column_quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx,
+                          max_group_size=max(row[f"n{i}"] for i in range(len(cols))))
+    return spark.createDataFrame(
+        [(c, row[f"n{i}"], row[f"a{i}"], row[f"s{i}"], row[f"lo{i}"], *qs[c], row[f"hi{i}"])
          for i, c in enumerate(cols)],
-        "column_name string, count bigint, mean double, std double, min double, max double")
-    quarts = exact_quantiles(stack_columns(df, cols, "column_name", "value"), ["column_name"],
-                             "value", [0.25, 0.5, 0.75], approx=approx,
-                             max_group_size=max(row[f"n{i}"] for i in range(len(cols))))
-    quarts = quarts.selectExpr("column_name", "q0 AS q25", "q1 AS q50", "q2 AS q75")
-    return moments.join(quarts, on="column_name", how="left").select("column_name", *DESCRIBE_STATS)
+        "column_name string, count bigint, mean double, std double, min double, "
+        "q25 double, q50 double, q75 double, max double")
 
 
 def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:

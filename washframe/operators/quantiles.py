@@ -240,6 +240,17 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     """Exact quantiles of several columns at once; small result on the driver."""
     if not cols:
         return {}
+    if approx or (max_group_size is not None and max_group_size <= RESOLVE_MAX):
+        # Bounded per column (sketch, or a proven count): one wide aggregation,
+        # no stacking of the columns into long form.
+        arr = "array(" + ", ".join(f"CAST({p!r} AS DOUBLE)" for p in probs) + ")"
+        fn = (lambda v: f"percentile_approx({v}, {arr}, {ACCURACY})") if approx else \
+             (lambda v: f"percentile({v}, {arr})")
+        exprs = [F.expr(fn(f"nanvl(CAST({ident(c)} AS DOUBLE), CAST(NULL AS DOUBLE))") + f" AS q{i}")
+                 for i, c in enumerate(cols)]
+        row = df.groupBy().agg(*exprs).collect()[0]
+        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+                for i, c in enumerate(cols)}
     long_df = stack_columns(df, cols)
     res = exact_quantiles(long_df, ["column"], "value", probs, approx=approx,
                           max_group_size=max_group_size).collect()
