@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -35,6 +36,12 @@ class StepLog:
     def names(self) -> list[str]:
         return [s.step for s in self.steps]
 
+    def append_to(self, spark: SparkSession, path: str, run_id: str | None = None) -> str:
+        """Append the steps to a parquet operation-log table (one row per step)."""
+        frame = self.to_frame(spark).withColumn("run_id", F.lit(run_id or ""))
+        frame.write.mode("append").parquet(path)
+        return path
+
     def to_frame(self, spark: SparkSession) -> DataFrame:
         schema = T.StructType([
             T.StructField("step_no", T.IntegerType()),
@@ -42,7 +49,8 @@ class StepLog:
             T.StructField("detail", T.StringType()),
             T.StructField("columns", T.StringType()),
             T.StructField("count", T.LongType()),
+            T.StructField("seconds", T.DoubleType()),
         ])
-        rows = [(i + 1, s.step, s.detail, ",".join(s.columns), s.count)
+        rows = [(i + 1, s.step, s.detail, ",".join(s.columns), s.count, round(s.seconds, 3))
                 for i, s in enumerate(self.steps)]
         return spark.createDataFrame(rows, schema)
