@@ -99,3 +99,20 @@ def test_group_mean_topn_keeps_top_groups(spark):
     assert kept == {f"g{i:02d}" for i in range(5, 25)}
     small = df.where("x < 'g05'")
     assert charts.group_mean_topn(small, "x", "y", 20).count() == small.count()
+
+
+def test_ordered_fill_timestamp_and_null_keys(spark):
+    rng = np.random.default_rng(2)
+    n = 500
+    ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.permutation(n), unit="s")
+    v = rng.normal(size=n)
+    v[rng.random(n) < 0.4] = np.nan
+    pdf = pd.DataFrame({"t": ts, "v": v, "s": [f"u{i % 3}" for i in range(n)]})
+    df = spark.createDataFrame(pdf).selectExpr("CAST(t AS TIMESTAMP) AS t", "nanvl(v, NULL) AS v", "s")
+    df = df.unionByName(spark.createDataFrame([(None, 9.0, "u0")], "t timestamp, v double, s string"))
+    got = ordered_fill(df, ["v"], ["t"], partition_by=["s"], blocks=9).toPandas()
+    exp = pd.concat([pdf, pd.DataFrame({"t": [pd.NaT], "v": [9.0], "s": ["u0"]})])
+    exp = exp.sort_values(["s", "t"], na_position="first")
+    exp["v"] = exp.groupby("s")["v"].ffill()
+    got = got.sort_values(["s", "t"], na_position="first")
+    np.testing.assert_allclose(got.v.to_numpy(dtype=float), exp.v.to_numpy(dtype=float))

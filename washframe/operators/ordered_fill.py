@@ -4,27 +4,35 @@ A plain ``last(c, ignorenulls) OVER (ORDER BY o)`` has no partition key, so
 Spark runs it in a single task; with ``partition_by`` a hot key (a third of
 all rows) still lands in one task. Here the fill is done in two levels:
 
-1. the rows are range-partitioned by (partition_by, order_by) into ``blocks``
-   balanced blocks; the block number is the range partition id;
-2. one aggregation gives, per (block, group), the last non-null value of each
-   column (``max_by``, partial aggregation);
-3. a window over that summary (per group, ordered by block: at most ``blocks``
-   rows per group) gives the value carried into each block; only the first
+1. the rows are cut into ``blocks`` contiguous ranges of the sort key
+   (partition_by, order_by). The block of a row is a deterministic function of
+   its key: boundaries come from a bounded, sorted sample of the key columns,
+   and a log-depth nested ``CASE`` of struct comparisons assigns the block.
+   Being a pure expression, it gives the same block in every branch of the
+   plan and on every recomputation (no range exchange, nothing materialised);
+2. one aggregation gives, per (block, group), the last (backward: first)
+   non-null value of each column (``max_by`` / ``min_by``, partial aggregation);
+3. a window over that summary (per group, ordered by block: at most one row
+   per block) gives the value carried into each block; only the first (last)
    group of a block can receive a carry, so the carry table has at most
    ``blocks`` rows and is broadcast (its size bound is the block count);
-4. the local fill is a window over (block, group), i.e. at most one block.
+4. the local fill is a window over (block, group), i.e. one block at most.
 
-Ties in the order are broken arbitrarily, as they are for any ordered fill:
-give a unique ``order_by`` (add a key column) for a deterministic result.
+A hot key spreads over many blocks. Rows with equal keys share a block, so
+give a unique ``order_by`` (add a key column): ties are also what makes any
+ordered fill arbitrary.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from washframe.functions.columns import q, value_of
-from washframe.session import checkpoint_root
+from washframe.functions.columns import ident, q, sql_literal, value_of
+
+SAMPLE_PER_BLOCK = 64       # sampled keys per block when choosing boundaries
+SAMPLE_MAX = 200_000        # hard bound on the sampled keys brought to the driver
 
 
 def _blocks(df: DataFrame, blocks: int | None) -> int:
@@ -33,6 +41,66 @@ def _blocks(df: DataFrame, blocks: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _key_sql(df: DataFrame, name: str) -> tuple[str, T.DataType]:
+    """An order-preserving SQL form of a key column and its type."""
+    dt = df.schema[name].dataType
+    if isinstance(dt, T.TimestampType):        # compare instants, free of time zones
+        return f"unix_micros({ident(name)})", T.LongType()
+    if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
+        raise ValueError(f"ordered fill keys must be atomic; {name} is {dt.simpleString()}")
+    return ident(name), dt
+
+
+def _literal(v, dt: T.DataType) -> str:
+    if v is None:
+        return f"CAST(NULL AS {dt.simpleString()})"
+    if isinstance(dt, (T.StringType, T.BooleanType)) or isinstance(v, bool):
+        return sql_literal(v)
+    if isinstance(dt, T.BinaryType):
+        return "X'" + bytes(v).hex() + "'"
+    if isinstance(dt, (T.TimestampNTZType, T.DateType)):
+        return f"CAST('{v.isoformat()}' AS {dt.simpleString()})"
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return f"CAST('{float(v)!r}' AS {dt.simpleString()})"
+    return f"CAST('{v}' AS {dt.simpleString()})"
+
+
+def _boundaries(keys: DataFrame, n_blocks: int) -> list[tuple]:
+    """Sorted, distinct split points of the key from a bounded sample."""
+    if n_blocks <= 1:
+        return []
+    n = keys.count()
+    if n == 0:
+        return []
+    target = min(SAMPLE_PER_BLOCK * n_blocks, SAMPLE_MAX)
+    if n > target:
+        keys = keys.sample(fraction=target / n, seed=20240101)
+    rows = keys.orderBy(*[F.col(c).asc_nulls_first() for c in keys.columns]).limit(SAMPLE_MAX).collect()
+    if not rows:
+        return []
+    step = len(rows) / n_blocks
+    out: list[tuple] = []
+    for i in range(1, n_blocks):
+        b = tuple(rows[min(int(i * step), len(rows) - 1)])
+        if not out or out[-1] != b:
+            out.append(b)
+    return out
+
+
+def _block_sql(bounds: list[tuple], types: list[T.DataType]) -> str:
+    """Number of boundaries <= _key, by binary search in nested CASEs."""
+    def lit(b):
+        return "named_struct(" + ", ".join(
+            f"'k{i}', {_literal(v, t)}" for i, (v, t) in enumerate(zip(b, types))) + ")"
+
+    def tree(lo: int, hi: int) -> str:
+        if lo >= hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"CASE WHEN _key < {lit(bounds[mid])} THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
+    return tree(0, len(bounds))
+
+
 def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str],
                  partition_by: list[str] | None = None, backward: bool = False,
                  blocks: int | None = None) -> DataFrame:
@@ -44,59 +112,47 @@ def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str],
     if not cols:
         return df
     part = list(partition_by or [])
-    n_blocks = _blocks(df, blocks)
+    keys = part + list(order_by)
+    key_sql, key_types = zip(*[_key_sql(df, k) for k in keys])
+    key_struct = "named_struct(" + ", ".join(f"'k{i}', {s}" for i, s in enumerate(key_sql)) + ")"
 
-    def direction(c: Column) -> Column:
-        return c.desc_nulls_last() if backward else c.asc_nulls_first()
-
-    sort_exprs = [q(p).asc_nulls_first() for p in part] + [direction(q(o)) for o in order_by]
     base = df.select(*[q(c) for c in df.columns],
-                     *[value_of(df, c).alias(f"_f{i}") for i, c in enumerate(cols)])
-    # Block ids must be identical for the summary and the fill. A range
-    # exchange planned twice samples its bounds with different seeds, so the
-    # blocked rows are cut once with a reliable checkpoint (shared folder of
-    # spark.checkpoint.dir; survives executor loss) and both sides read it.
-    checkpoint_root(df.sparkSession)
-    ranged = (base.repartitionByRange(n_blocks, *sort_exprs)
-              .withColumn("_blk", F.spark_partition_id())
-              .checkpoint(eager=True))
-
-    # Position of a row along the fill direction (struct compares field by field).
+                     *[value_of(df, c).alias(f"_f{i}") for i, c in enumerate(cols)],
+                     F.expr(key_struct).alias("_key"))
+    bounds = _boundaries(base.select("_key.*"), _blocks(df, blocks))
+    base = base.withColumn("_blk", F.expr(_block_sql(bounds, list(key_types))).cast("int"))
+
     along = F.struct(*[q(o) for o in order_by])
+    pick = F.min_by if backward else F.max_by      # first / last non-null of a block
+    summary_aggs = [pick(F.col(f"_f{i}"), F.when(F.col(f"_f{i}").isNotNull(), along)).alias(f"_l{i}")
+                    for i in range(len(cols))]
+    gkey = F.struct(*[q(p) for p in part]) if part else F.lit(0)
+    summary = base.groupBy("_blk", gkey.alias("_g")).agg(*summary_aggs)
+
+    # Value carried into (block, group) from the group's earlier (later) blocks.
     if backward:
-        # Backward, a block's "last" non-null value is the one with the smallest order.
-        summary_aggs = [F.min_by(F.col(f"_f{i}"), F.when(F.col(f"_f{i}").isNotNull(), along))
-                        .alias(f"_l{i}") for i in range(len(cols))]
+        w_carry = Window.partitionBy("_g").orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
+        carry = [F.first(f"_l{i}", ignorenulls=True).over(w_carry).alias(f"_c{i}") for i in range(len(cols))]
+        edge = F.col("_g").desc()
     else:
-        summary_aggs = [F.max_by(F.col(f"_f{i}"), F.when(F.col(f"_f{i}").isNotNull(), along))
-                        .alias(f"_l{i}") for i in range(len(cols))]
-    gkey = F.struct(*[q(p) for p in part]) if part else F.lit(0)
-    summary = ranged.groupBy("_blk", gkey.alias("_g")).agg(*summary_aggs)
-
-    # Value carried into (block, group): last non-null of the group in earlier blocks.
-    w_prev = (Window.partitionBy("_g").orderBy("_blk")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carried = summary.select(
-        "_blk", "_g",
-        *[F.last(f"_l{i}", ignorenulls=True).over(w_prev).alias(f"_c{i}") for i in range(len(cols))])
-    # Only a block's first group continues from an earlier block.
-    w_first = Window.partitionBy("_blk").orderBy("_g")
-    carried = (carried.withColumn("_rank", F.row_number().over(w_first))
+        w_carry = Window.partitionBy("_g").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        carry = [F.last(f"_l{i}", ignorenulls=True).over(w_carry).alias(f"_c{i}") for i in range(len(cols))]
+        edge = F.col("_g").asc()
+    carried = summary.select("_blk", "_g", *carry)
+    # Only a block's first (backward: last) group continues across blocks.
+    carried = (carried.withColumn("_rank", F.row_number().over(Window.partitionBy("_blk").orderBy(edge)))
                .where(F.col("_rank") == 1).drop("_rank"))
-    filled = ranged.withColumn("_g", gkey).join(F.broadcast(carried), on=["_blk", "_g"], how="left")
-
-    w_local = (Window.partitionBy("_blk", "_g")
-               .orderBy(*[direction(q(o)) for o in order_by])
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    fills = {c: F.coalesce(F.last(f"_f{i}", ignorenulls=True).over(w_local), F.col(f"_c{i}"))
+    filled = base.withColumn("_g", gkey).join(F.broadcast(carried), on=["_blk", "_g"], how="left")
+
+    order = [q(o).asc_nulls_first() for o in order_by]
+    frame = ((Window.unboundedPreceding, Window.currentRow) if not backward
+             else (Window.currentRow, Window.unboundedFollowing))
+    w_local = Window.partitionBy("_blk", "_g").orderBy(*order).rowsBetween(*frame)
+    take = F.first if backward else F.last
+    fills = {c: F.coalesce(take(f"_f{i}", ignorenulls=True).over(w_local), F.col(f"_c{i}"))
              for i, c in enumerate(cols)}
-    out = []
-    for f in df.schema.fields:
-        if f.name in fills:
-            out.append(fills[f.name].cast(f.dataType).alias(f.name))
-        else:
-            out.append(q(f.name))
-    return filled.select(*out)
+    return filled.select(*[fills[f.name].cast(f.dataType).alias(f.name) if f.name in fills
+                           else q(f.name) for f in df.schema.fields])
 
 
 def fill_ffill(df: DataFrame, cols: list[str], order_by: list[str],
