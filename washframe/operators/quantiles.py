@@ -28,6 +28,7 @@ from washframe.session import checkpoint_root
 GRID = 256               # grid points per approximate pass
 ACCURACY = 4_000         # percentile_approx accuracy: rank error <= n / ACCURACY (0.06 grid cell)
 RESOLVE_MAX = 1_000_000  # values per group resolved exactly in one task (~100 MB value map)
+DIRECT_TOTAL_MAX = 4_000_000  # values of all columns in one exact wide aggregation
 BROADCAST_TARGETS = 200_000  # target rows broadcast to the scan; beyond, a shuffle join
 MAX_ROUNDS = 12
 
@@ -241,16 +242,23 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     if not cols:
         return {}
     if approx or (max_group_size is not None and max_group_size <= RESOLVE_MAX):
-        # Bounded per column (sketch, or a proven count): one wide aggregation,
-        # no stacking of the columns into long form.
+        # Bounded per column (sketch, or a proven count): wide aggregations, no
+        # stacking into long form. Exact value maps of all columns of one
+        # aggregation meet in one task, so columns are chunked to keep their
+        # total within DIRECT_TOTAL_MAX.
         arr = "array(" + ", ".join(f"CAST({p!r} AS DOUBLE)" for p in probs) + ")"
         fn = (lambda v: f"percentile_approx({v}, {arr}, {ACCURACY})") if approx else \
              (lambda v: f"percentile({v}, {arr})")
-        exprs = [F.expr(fn(f"nanvl(CAST({ident(c)} AS DOUBLE), CAST(NULL AS DOUBLE))") + f" AS q{i}")
-                 for i, c in enumerate(cols)]
-        row = df.groupBy().agg(*exprs).collect()[0]
-        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
-                for i, c in enumerate(cols)}
+        per_chunk = len(cols) if approx else max(1, DIRECT_TOTAL_MAX // max(max_group_size, 1))
+        out: dict[str, list[float | None]] = {}
+        for start in range(0, len(cols), per_chunk):
+            chunk = cols[start:start + per_chunk]
+            exprs = [F.expr(fn(f"nanvl(CAST({ident(c)} AS DOUBLE), CAST(NULL AS DOUBLE))") + f" AS q{i}")
+                     for i, c in enumerate(chunk)]
+            row = df.groupBy().agg(*exprs).collect()[0]
+            out.update({c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+                        for i, c in enumerate(chunk)})
+        return out
     long_df = stack_columns(df, cols)
     res = exact_quantiles(long_df, ["column"], "value", probs, approx=approx,
                           max_group_size=max_group_size).collect()
