@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from washframe.functions.columns import columns_of_kind, q, value_of
@@ -77,9 +77,12 @@ def auto_bin_count(n: int, lo: float, hi: float, q25: float, q75: float) -> int:
     return max(1, int(math.ceil(ptp / width)))
 
 
-def histogram_data(df: DataFrame, x: str, bins: int | str = "auto", approx: bool = False) -> DataFrame:
+def histogram_data(df: DataFrame, x: str, bins: int | str = "auto", approx: bool = False,
+                   hue: str | None = None) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed): bin, bin_low, bin_high,
-    count and density (count / (n * width)). ``bins='auto'`` follows numpy."""
+    count and density (count / (n * width)). ``bins='auto'`` follows numpy.
+    With ``hue``: the same bins for every category (common bins), counts and
+    density per category."""
     v = value_of(df, x).cast("double")
     st = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()[0]
     n, lo, hi = st["n"], st["lo"], st["hi"]
@@ -96,6 +99,15 @@ def histogram_data(df: DataFrame, x: str, bins: int | str = "auto", approx: bool
     width = (hi - lo) / k
     norm = k / (hi - lo)
     b = F.least(F.floor((v - F.lit(lo)) * F.lit(norm)), F.lit(k - 1)).cast("int")
+    if hue:
+        counts = df.where(v.isNotNull()).groupBy(q(hue).alias(hue), b.alias("bin")) \
+                   .agg(F.count(F.lit(1)).alias("count"))
+        per = Window.partitionBy(hue)
+        return counts.select(
+            hue, "bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_low"),
+            F.when(F.col("bin") == k - 1, F.lit(hi))
+             .otherwise(F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_high"),
+            "count", (F.col("count") / (F.sum("count").over(per) * F.lit(width))).alias("density"))
     counts = df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     # The bin axis is derived from the data (k from its statistics), k rows.
     axis = df.sparkSession.range(k).select(F.col("id").cast("int").alias("bin"))

@@ -10,7 +10,7 @@ costs one JVM call per expression.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from washframe.functions.columns import (columns_of_kind, dtype_of, ident, is_numeric, missing_sql,
@@ -78,8 +78,27 @@ def describe_text(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     ).selectExpr("column_name", "count", "unique", "_b.v AS top", "-_b.k AS freq")
 
 
-def column_summary(df: DataFrame) -> DataFrame:
-    """Per column: dtype, missing, unique (exact), and mean/std/min/max when numeric."""
+SAMPLE_VALUES = 3
+
+
+def sample_values(df: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame:
+    """(column_name, sample_values): the ``k`` smallest distinct non-missing values
+    of each column as text (text order), joined by ', '. A ``row_number() <= k``
+    window: Spark keeps k rows per column on each task before the shuffle."""
+    items = "inline(array(" + ", ".join(
+        f"named_struct('column_name', {sql_literal(c)}, 'value', CAST({value_sql(df, c)} AS STRING))"
+        for c in df.columns) + "))"
+    vals = df.selectExpr(items).where(F.col("value").isNotNull()).distinct()
+    w = Window.partitionBy("column_name").orderBy("value")
+    top = vals.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    return top.groupBy("column_name").agg(
+        F.expr("array_join(transform(array_sort(collect_list(named_struct('r', _r, 'v', value))), "
+               "x -> x.v), ', ')").alias("sample_values"))
+
+
+def column_summary(df: DataFrame, samples: bool = True) -> DataFrame:
+    """Per column: dtype, missing, unique (exact), mean/std/min/max when numeric,
+    and a few sample values."""
     aggs = []
     for i, c in enumerate(df.columns):
         v = value_sql(df, c)
@@ -96,8 +115,12 @@ def column_summary(df: DataFrame) -> DataFrame:
                       "mean": f"@a{i}" if num else None, "std": f"@s{i}" if num else None,
                       "min": f"@lo{i}" if num else None, "max": f"@hi{i}" if num else None})
     out = _unpivot_one_row(one, specs)
-    return out.selectExpr("name", "dtype", "missing_count", "unique_count",
-                          *[f"CAST({s} AS DOUBLE) AS {s}" for s in ("mean", "std", "min", "max")])
+    out = out.selectExpr("name", "dtype", "missing_count", "unique_count",
+                         *[f"CAST({s} AS DOUBLE) AS {s}" for s in ("mean", "std", "min", "max")])
+    if not samples:
+        return out
+    sv = sample_values(df).withColumnRenamed("column_name", "name")
+    return out.join(sv, on="name", how="left")
 
 
 def data_summary(df: DataFrame) -> DataFrame:

@@ -60,8 +60,10 @@ def _a3_row(c, t, numeric):
              f"CAST(max({c}) AS DOUBLE) AS max" if numeric else
              "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, "
              "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max")
+    samples = (f"(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v "
+               f"FROM events_cn WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)) AS sample_values")
     return (f"SELECT '{c}' AS name, '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS missing_count, "
-            f"count(DISTINCT {c}) AS unique_count, {stats} FROM events_cn")
+            f"count(DISTINCT {c}) AS unique_count, {stats}, {samples} FROM events_cn")
 
 
 _A3_SQL = sql_rounded("WITH " + dirt.EVENTS_CLEAN_NULLS_SQL + "\n" + "\nUNION ALL ".join(
@@ -180,6 +182,26 @@ def q_histogram_data(spark, sf):
     return rounded(V.histogram_data(load_table(spark, sf, "events"), "value"))
 
 
+_HIST_HUE_SQL = sql_rounded("""WITH s AS (
+  SELECT count(value) AS n, min(value) AS lo, max(value) AS hi,
+         quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
+w AS (SELECT *, (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * (q3 - q1) * pow(n, -1.0 / 3.0) AS fd FROM s),
+p AS (SELECT lo, hi, CAST(ceil((hi - lo) / CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END)
+                        AS INTEGER) AS k FROM w),
+b AS (SELECT event_type, CAST(least(floor((value - lo) * (k / (hi - lo))), k - 1) AS INTEGER) AS bin,
+             count(*) AS cnt
+      FROM events, p WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT event_type, bin, lo + bin * ((hi - lo) / k) AS bin_low,
+       CASE WHEN bin = k - 1 THEN hi ELSE lo + (bin + 1) * ((hi - lo) / k) END AS bin_high,
+       cnt AS count, cnt / (sum(cnt) OVER (PARTITION BY event_type) * ((hi - lo) / k)) AS density
+FROM b, p""", ["bin_low", "bin_high", "density"])
+
+
+@register("histogram_by_group", _HIST_HUE_SQL)
+def q_histogram_by_group(spark, sf):
+    return rounded(V.histogram_data(load_table(spark, sf, "events"), "value", hue="event_type"))
+
+
 @register("create_plot", _hist_sql("customer", "c_acctbal"))
 def q_create_plot(spark, sf):
     return rounded(V.create_plot(load_table(spark, sf, "customer"), "histogram", "c_acctbal"))
