@@ -96,13 +96,15 @@ def sample_values(df: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame:
                "x -> x.v), ', ')").alias("sample_values"))
 
 
-def column_summary(df: DataFrame, samples: bool = True) -> DataFrame:
-    """Per column: dtype, missing, unique (exact), mean/std/min/max when numeric,
-    and a few sample values."""
+def column_summary(df: DataFrame, samples: bool = True, approx: bool = False) -> DataFrame:
+    """Per column: dtype, missing, unique, mean/std/min/max when numeric, and a
+    few sample values. ``approx``: HyperLogLog unique counts and no samples
+    (no per-value shuffle at all)."""
     aggs = []
     for i, c in enumerate(df.columns):
         v = value_sql(df, c)
-        aggs += [f"count_if({missing_sql(df, c)}) AS m{i}", f"count(DISTINCT {v}) AS u{i}"]
+        uniq = f"approx_count_distinct({v})" if approx else f"count(DISTINCT {v})"
+        aggs += [f"count_if({missing_sql(df, c)}) AS m{i}", f"{uniq} AS u{i}"]
         if is_numeric(dtype_of(df, c)):
             aggs += [f"avg({v}) AS a{i}", f"stddev_samp({v}) AS s{i}",
                      f"CAST(min({v}) AS DOUBLE) AS lo{i}", f"CAST(max({v}) AS DOUBLE) AS hi{i}"]
@@ -117,7 +119,7 @@ def column_summary(df: DataFrame, samples: bool = True) -> DataFrame:
     out = _unpivot_one_row(one, specs)
     out = out.selectExpr("name", "dtype", "missing_count", "unique_count",
                          *[f"CAST({s} AS DOUBLE) AS {s}" for s in ("mean", "std", "min", "max")])
-    if not samples:
+    if not samples or approx:
         return out
     sv = sample_values(df).withColumnRenamed("column_name", "name")
     return out.join(sv, on="name", how="left")
