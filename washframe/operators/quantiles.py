@@ -142,7 +142,8 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
     targets = targets.checkpoint(eager=True)
 
     def tally(t):
-        row = t.groupBy().agg(F.expr("count(1) AS n"), F.expr("count_if(NOT _ready) AS p")).collect()[0]
+        row = t.groupBy().agg(F.expr("count(1) AS n"),
+                              F.expr("count_if(NOT coalesce(_ready, false)) AS p")).collect()[0]
         return row["n"], row["p"]
 
     n_targets, n_pending = tally(targets)
@@ -161,7 +162,7 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
                              .withColumn("_base", F.when(F.col("_ready"), F.col("_base")).otherwise(0)) \
                              .withColumn("_ready", F.lit(True))
             break
-        pending = targets.where(~F.col("_ready"))
+        pending = targets.where(~F.coalesce(F.col("_ready"), F.lit(False)))
         v, plo, phi = F.col(nm.value), F.col("_lo"), F.col("_hi")
         joined = _attach(data, pending.select(*keys, nm.idx, "_lo", "_hi"), keys, n_pending)
         joined = joined.withColumn("_in_bracket", _inside(v, plo, phi))
@@ -169,6 +170,7 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
         counted = joined.groupBy(*keys, nm.idx).agg(
             F.count_if(plo.isNotNull() & (v < plo)).alias("_below"),
             F.count_if(inside).alias("_in"),
+            F.min(F.when(inside, v)).alias("_mn"), F.max(F.when(inside, v)).alias("_mx"),
             _approx_sql(f"IF(_in_bracket, {nm.value}, NULL)", _grid_probs()).alias("_g2"))
         step = pending.join(counted, on=[*keys, nm.idx], how="left")
         below = F.coalesce(F.col("_below"), F.lit(0))
@@ -179,19 +181,21 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
         nlo, nhi = _bracket(F.col("_g2"), F.col("_j0") - below, F.col("_j1") - below, inn)
         # Resolution groups the bracket by value: few rows, or one single value
         # (a hot value filling the bracket), are both bounded.
-        resolved = ok & ((inn <= resolve_max) | (F.col("_lo") == F.col("_hi")))
+        single = F.col("_mn").isNotNull() & (F.col("_mn") == F.col("_mx"))
+        resolved = F.coalesce(ok & ((inn <= resolve_max) | single), F.lit(False))
         step = step.select(
             *keys, nm.idx, "_n", "_pos", "_j0", "_j1",
             # failed side: drop that bound; verified & too wide: refine from the inner grid
+            # off the inner grid, the exact min / max inside close the bracket
             F.when(~ok, F.when(ok_lo, F.col("_lo")))
              .when(resolved, F.col("_lo"))
-             .otherwise(F.coalesce(nlo, F.col("_lo"))).alias("_lo"),
+             .otherwise(F.coalesce(nlo, F.col("_mn"), F.col("_lo"))).alias("_lo"),
             F.when(~ok, F.when(ok_hi, F.col("_hi")))
              .when(resolved, F.col("_hi"))
-             .otherwise(F.coalesce(nhi, F.col("_hi"))).alias("_hi"),
+             .otherwise(F.coalesce(nhi, F.col("_mx"), F.col("_hi"))).alias("_hi"),
             F.when(resolved, below).otherwise(F.lit(0)).cast("long").alias("_base"),
             resolved.alias("_ready"))
-        done = targets.where(F.col("_ready")).select(*state_cols)
+        done = targets.where(F.coalesce(F.col("_ready"), F.lit(False))).select(*state_cols)
         # The state refers to itself each round; a reliable checkpoint keeps its
         # plan from growing and survives executor loss.
         new_targets = done.unionByName(step.select(*state_cols)).checkpoint(eager=True)
