@@ -116,3 +116,12 @@ def test_ordered_fill_timestamp_and_null_keys(spark):
     exp["v"] = exp.groupby("s")["v"].ffill()
     got = got.sort_values(["s", "t"], na_position="first")
     np.testing.assert_allclose(got.v.to_numpy(dtype=float), exp.v.to_numpy(dtype=float))
+
+
+def test_exact_quantiles_bracket_of_endpoint_copies(spark):
+    # two heavy values with a thin middle: the grid alone cannot narrow the bracket
+    vals = [1.0] * 400 + [2.0] * 400 + [1.5, 1.25, 1.75]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    probs = [0.3, 0.4999, 0.5, 0.5001, 0.7]
+    r = exact_quantiles(df, [], "v", probs, resolve_max=5).collect()[0]
+    assert [r[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(vals, probs)))

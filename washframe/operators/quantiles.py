@@ -137,7 +137,10 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
         F.when(small, F.lit(None)).otherwise(lo).cast("double").alias("_lo"),
         F.when(small, F.lit(None)).otherwise(hi).cast("double").alias("_hi"),
         F.lit(0).cast("long").alias("_base"),
-        small.alias("_ready"))
+        small.alias("_ready"),
+        # last verified bracket (the whole group to begin with)
+        F.lit(None).cast("double").alias("_vlo"), F.lit(None).cast("double").alias("_vhi"),
+        F.lit(0).cast("long").alias("_vbase"))
     checkpoint_root(data.sparkSession)
     targets = targets.checkpoint(eager=True)
 
@@ -150,27 +153,34 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
     if n_pending == 0:
         targets.unpersist()
         return direct(data)
-    state_cols = [*keys, nm.idx, "_n", "_pos", "_j0", "_j1", "_lo", "_hi", "_base", "_ready"]
+    state_cols = [*keys, nm.idx, "_n", "_pos", "_j0", "_j1", "_lo", "_hi", "_base", "_ready",
+                  "_vlo", "_vhi", "_vbase"]
     rounds = 0
     while n_pending > 0:
         rounds += 1
         if rounds > MAX_ROUNDS:
-            # Brackets shrink by ~GRID/3 per round; reaching this means degenerate
-            # input. Resolve whatever remains over whole groups.
-            targets = targets.withColumn("_lo", F.when(F.col("_ready"), F.col("_lo"))) \
-                             .withColumn("_hi", F.when(F.col("_ready"), F.col("_hi"))) \
-                             .withColumn("_base", F.when(F.col("_ready"), F.col("_base")).otherwise(0)) \
+            # Brackets shrink ~85x per round or lose their endpoint copies, so this
+            # is a safety net only: resolve from the last verified bracket.
+            rdy = F.coalesce(F.col("_ready"), F.lit(False))
+            targets = targets.withColumn("_lo", F.when(rdy, F.col("_lo")).otherwise(F.col("_vlo"))) \
+                             .withColumn("_hi", F.when(rdy, F.col("_hi")).otherwise(F.col("_vhi"))) \
+                             .withColumn("_base", F.when(rdy, F.col("_base")).otherwise(F.col("_vbase"))) \
                              .withColumn("_ready", F.lit(True))
             break
         pending = targets.where(~F.coalesce(F.col("_ready"), F.lit(False)))
         v, plo, phi = F.col(nm.value), F.col("_lo"), F.col("_hi")
         joined = _attach(data, pending.select(*keys, nm.idx, "_lo", "_hi"), keys, n_pending)
+        # (rows with v == lo / v == hi, and the nearest values strictly inside,
+        # let a bracket made of endpoint copies shrink when the grid cannot)
         joined = joined.withColumn("_in_bracket", _inside(v, plo, phi))
         inside = F.col("_in_bracket")
         counted = joined.groupBy(*keys, nm.idx).agg(
             F.count_if(plo.isNotNull() & (v < plo)).alias("_below"),
             F.count_if(inside).alias("_in"),
             F.min(F.when(inside, v)).alias("_mn"), F.max(F.when(inside, v)).alias("_mx"),
+            F.count_if(inside & (v == plo)).alias("_eq_lo"), F.count_if(inside & (v == phi)).alias("_eq_hi"),
+            F.min(F.when(inside & (v > plo), v)).alias("_after_lo"),
+            F.max(F.when(inside & (v < phi), v)).alias("_before_hi"),
             _approx_sql(f"IF(_in_bracket, {nm.value}, NULL)", _grid_probs()).alias("_g2"))
         step = pending.join(counted, on=[*keys, nm.idx], how="left")
         below = F.coalesce(F.col("_below"), F.lit(0))
@@ -183,18 +193,34 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
         # (a hot value filling the bracket), are both bounded.
         single = F.col("_mn").isNotNull() & (F.col("_mn") == F.col("_mx"))
         resolved = F.coalesce(ok & ((inn <= resolve_max) | single), F.lit(False))
+        # Off the inner grid, the exact min / max inside close the bracket.
+        grid_lo = F.coalesce(nlo, F.col("_mn"), F.col("_lo"))
+        grid_hi = F.coalesce(nhi, F.col("_mx"), F.col("_hi"))
+        # No progress: the bracket is mostly copies of its endpoints. Drop an
+        # endpoint's copies unless a target rank lies among them; if both hold a
+        # target, only those two values surround the targets (bounded).
+        stuck = F.coalesce(ok & ~resolved & (grid_lo == F.col("_lo")) & (grid_hi == F.col("_hi")),
+                           F.lit(False))
+        keep_lo = (below + F.col("_eq_lo")) > F.col("_j0")
+        keep_hi = (below + inn - F.col("_eq_hi")) <= F.col("_j1")
+        two_values = stuck & keep_lo & keep_hi
+        ready = resolved | two_values
         step = step.select(
             *keys, nm.idx, "_n", "_pos", "_j0", "_j1",
-            # failed side: drop that bound; verified & too wide: refine from the inner grid
-            # off the inner grid, the exact min / max inside close the bracket
+            # failed side: drop that bound; verified & too wide: refine
             F.when(~ok, F.when(ok_lo, F.col("_lo")))
-             .when(resolved, F.col("_lo"))
-             .otherwise(F.coalesce(nlo, F.col("_mn"), F.col("_lo"))).alias("_lo"),
+             .when(ready, F.col("_lo"))
+             .when(stuck, F.when(keep_lo, F.col("_lo")).otherwise(F.col("_after_lo")))
+             .otherwise(grid_lo).alias("_lo"),
             F.when(~ok, F.when(ok_hi, F.col("_hi")))
-             .when(resolved, F.col("_hi"))
-             .otherwise(F.coalesce(nhi, F.col("_mx"), F.col("_hi"))).alias("_hi"),
-            F.when(resolved, below).otherwise(F.lit(0)).cast("long").alias("_base"),
-            resolved.alias("_ready"))
+             .when(ready, F.col("_hi"))
+             .when(stuck, F.when(keep_hi, F.col("_hi")).otherwise(F.col("_before_hi")))
+             .otherwise(grid_hi).alias("_hi"),
+            F.when(ready, below).otherwise(F.lit(0)).cast("long").alias("_base"),
+            ready.alias("_ready"),
+            F.when(ok, F.col("_lo")).otherwise(F.col("_vlo")).alias("_vlo"),
+            F.when(ok, F.col("_hi")).otherwise(F.col("_vhi")).alias("_vhi"),
+            F.when(ok, below).otherwise(F.col("_vbase")).cast("long").alias("_vbase"))
         done = targets.where(F.coalesce(F.col("_ready"), F.lit(False))).select(*state_cols)
         # The state refers to itself each round; a reliable checkpoint keeps its
         # plan from growing and survives executor loss.
