@@ -1,6 +1,8 @@
 """Cleaning plan options, the report, file sources, and streaming apply."""
 
 import os
+
+import pytest
 import tempfile
 
 from pyspark.sql import functions as F
@@ -82,3 +84,58 @@ def test_stream_apply_equals_batch_apply(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
     deduped = run_to_table(dedup_stream(stream.unionByName(stream), "ts", "1 hour"), "test-dedup", spark)
     assert deduped.count() == events.count()
+
+
+def _sequential(df, opt):
+    """The plan written as the plain composition of the standalone operators."""
+    from washframe.operators import coerce, columns, dedup, missing, outliers, strings
+    from washframe.functions.names import standard_names
+    order_by = list(opt.order_by or [])
+    if opt.standardize_columns:
+        mapping = standard_names(df.columns)
+        order_by = [mapping.get(c, c) for c in order_by]
+        df = columns.standardize_columns(df)
+    if opt.fill_missing:
+        df = missing.fill_missing(df, order_by=order_by, custom_na_values=opt.custom_na_values)
+    if opt.drop_duplicates:
+        df = dedup.drop_duplicates(df)
+    if opt.fix_datatypes:
+        df = coerce.detect_and_convert(df)
+    if opt.handle_outliers:
+        df = outliers.outliers_to_median(df, threshold=opt.outlier_threshold or 3.0)
+    if opt.strip_whitespace:
+        df = strings.strip_whitespace(df)
+    if opt.fix_dates:
+        df = coerce.parse_dates(df, date_columns=opt.date_columns)
+    if opt.remove_constant_columns:
+        df = columns.remove_constant_columns(df)
+    return df
+
+
+@pytest.mark.parametrize("flags", [
+    {},
+    {"fill_missing": False},
+    {"drop_duplicates": False, "handle_outliers": False},
+    {"fix_datatypes": False, "strip_whitespace": False},
+    {"fix_dates": False, "remove_constant_columns": False, "standardize_columns": False},
+    {"outlier_threshold": 1.5},
+])
+def test_fused_plan_equals_operator_sequence(spark, flags):
+    from washframe.plans.queries_io import dirty_events_frame
+    src = dirty_events_frame(spark, SF_SMALL).unionByName(_staff_like_events(spark))
+    opt = CleaningOptions(custom_na_values=["N/A"], order_by=["Event ID"], **flags)
+    got = clean_data(src, opt).df
+    want = _sequential(src, opt)
+    assert got.columns == want.columns
+    assert dict(got.dtypes) == dict(want.dtypes)
+    norm = lambda rows: sorted((tuple("" if v is None else str(v) for v in r) for r in rows))
+    assert norm(got.collect()) == norm(want.collect())
+
+
+def _staff_like_events(spark):
+    """A few extra rows with extreme values so outliers exist in the small table."""
+    rows = [(100000 + i, None, str(7 + i), "  view ", 1e6 * (i + 1), "web", None, "2024-02-0" + str(i + 1),
+             '{"k": 1}') for i in range(3)]
+    return spark.createDataFrame(rows, "`Event ID` long, `Event Time` timestamp_ntz, `User-Id` string, "
+                                       "`Event Type` string, `Value ($)` double, Source string, Empty string, "
+                                       "`Signup Date` string, Props string")

@@ -50,60 +50,75 @@ def clean_number_text(df: DataFrame, cols: list[str]) -> DataFrame:
                        for c in df.columns])
 
 
-def detect_types(df: DataFrame, cols: list[str] | None = None, min_ratio: float = 1.0,
-                 clean_numbers: bool = False, formats: list[str] | None = None) -> dict[str, str]:
-    """Per text column the detected type: ``long``, ``double``, ``timestamp`` or ``string``."""
-    text = columns_of_kind(df, "string")
-    cols = [c for c in (cols if cols is not None else text) if c in text]
-    if not cols:
-        return {}
+def detection_aggs(cols: list[str], clean_numbers: bool = False,
+                   formats: list[str] | None = None, prefix: str = "") -> list[Column]:
+    """Per text column: non-null, integer-shaped, number and timestamp counts
+    (named ``{prefix}n{i}`` / ``i`` / ``d`` / ``t``), for one aggregation."""
     exprs = []
     for i, c in enumerate(cols):
         v = q(c)
         nn = v.isNotNull()
         as_num = number_from_text(v) if clean_numbers else to_number(v)
         exprs += [
-            F.count_if(nn).alias(f"n{i}"),
+            F.count_if(nn).alias(f"{prefix}n{i}"),
             F.count_if(nn & v.rlike(INTEGER_TEXT_PATTERN) & v.try_cast("long").isNotNull())
-             .alias(f"i{i}"),
+             .alias(f"{prefix}i{i}"),
             F.count_if(nn & v.rlike(NUMBER_TEXT_PATTERN if clean_numbers else DOUBLE_GUARD_PATTERN)
                        & as_num.isNotNull())
-             .alias(f"d{i}"),
-            F.count_if(nn & to_timestamp(v, formats).isNotNull()).alias(f"t{i}"),
+             .alias(f"{prefix}d{i}"),
+            F.count_if(nn & to_timestamp(v, formats).isNotNull()).alias(f"{prefix}t{i}"),
         ]
-    row = df.agg(*exprs).collect()[0]
+    return exprs
+
+
+def decide_types(row, cols: list[str], min_ratio: float = 1.0, clean_numbers: bool = False,
+                 prefix: str = "") -> dict[str, str]:
+    """Type per column from the ``detection_aggs`` counts: all non-null values
+    (or ``min_ratio`` of them) must parse."""
     out = {}
     for i, c in enumerate(cols):
-        n = row[f"n{i}"]
+        n, ints, nums, times = (row[f"{prefix}{k}{i}"] for k in "nidt")
         need = n * min_ratio
         if n == 0:
             out[c] = "string"
-        elif row[f"i{i}"] >= need and row[f"i{i}"] > 0 and not clean_numbers:
+        elif ints >= need and ints > 0 and not clean_numbers:
             out[c] = "long"
-        elif row[f"d{i}"] >= need and row[f"d{i}"] > 0:
+        elif nums >= need and nums > 0:
             out[c] = "double"
-        elif row[f"t{i}"] >= need and row[f"t{i}"] > 0:
+        elif times >= need and times > 0:
             out[c] = "timestamp"
         else:
             out[c] = "string"
     return out
 
 
+def detect_types(df: DataFrame, cols: list[str] | None = None, min_ratio: float = 1.0,
+                 clean_numbers: bool = False, formats: list[str] | None = None) -> dict[str, str]:
+    """Per text column the detected type: ``long``, ``double``, ``timestamp`` or ``string``."""
+    text = columns_of_kind(df, "string")
+    cols = [c for c in (cols if cols is not None else text) if c in text]
+    if not cols:
+        return {}
+    row = df.agg(*detection_aggs(cols, clean_numbers, formats)).collect()[0]
+    return decide_types(row, cols, min_ratio, clean_numbers)
+
+
+def converted(v: Column, kind: str, clean_numbers: bool = False,
+              formats: list[str] | None = None) -> Column:
+    """The conversion of a text column to a detected kind."""
+    if kind == "long":
+        return v.try_cast("long")
+    if kind == "double":
+        return number_from_text(v) if clean_numbers else to_number(v)
+    if kind == "timestamp":
+        return to_timestamp(v, formats)
+    return v
+
+
 def convert_types(df: DataFrame, types: dict[str, str], clean_numbers: bool = False,
                   formats: list[str] | None = None) -> DataFrame:
-    out = []
-    for c in df.columns:
-        kind = types.get(c, "string")
-        v = q(c)
-        if kind == "long":
-            out.append(v.try_cast("long").alias(c))
-        elif kind == "double":
-            out.append((number_from_text(v) if clean_numbers else to_number(v)).alias(c))
-        elif kind == "timestamp":
-            out.append(to_timestamp(v, formats).alias(c))
-        else:
-            out.append(v)
-    return df.select(*out)
+    return df.select(*[converted(q(c), types.get(c, "string"), clean_numbers, formats).alias(c)
+                       for c in df.columns])
 
 
 def detect_and_convert(df: DataFrame, cols: list[str] | None = None, min_ratio: float = 1.0,

@@ -81,15 +81,14 @@ def constant_columns(df: DataFrame, keep_all_null: bool = False) -> list[str]:
         v = value_sql(df, c)
         exprs += [F.expr(f"min({v}) AS lo{i}"), F.expr(f"max({v}) AS hi{i}")]
     row = df.groupBy().agg(*exprs).collect()[0]
-    out = []
-    for i, c in enumerate(cols):
-        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
-        if lo is None and hi is None:
-            if not keep_all_null:
-                out.append(c)
-        elif lo == hi:
-            out.append(c)
-    return out
+    return [c for i, c in enumerate(cols) if is_constant(row[f"lo{i}"], row[f"hi{i}"], keep_all_null)]
+
+
+def is_constant(lo, hi, keep_all_null: bool = False) -> bool:
+    """At most one distinct non-missing value, from the column's min and max."""
+    if lo is None and hi is None:
+        return not keep_all_null
+    return lo == hi
 
 
 def remove_constant_columns(df: DataFrame, keep_all_null: bool = False,

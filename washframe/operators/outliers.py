@@ -7,7 +7,7 @@ value exceeds the threshold, and the exact-median / quartile jobs of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from washframe.functions.columns import columns_of_kind, q, sql_literal, value_of, value_sql
@@ -38,6 +38,13 @@ def _zscore_flags(df: DataFrame, cols: list[str], threshold: float, with_median:
     return st, {c: row[f"o{i}"] for i, c in enumerate(live) if row[f"o{i}"] > 0}
 
 
+def replaced(v: Column, mean: float, std: float, threshold: float, median) -> Column:
+    """The outlier-to-median projection of one column (as double)."""
+    v = v.cast("double")
+    z = F.abs((v - F.lit(mean)) / F.lit(std))
+    return F.when(z > F.lit(threshold), F.lit(median).cast("double")).otherwise(v)
+
+
 def outliers_to_median(df: DataFrame, cols: list[str] | None = None, threshold: float = 3.0,
                        approx: bool = False, log: StepLog | None = None) -> DataFrame:
     """|x - mean| / population std > threshold -> the column median (of all values).
@@ -58,9 +65,8 @@ def outliers_to_median(df: DataFrame, cols: list[str] | None = None, threshold:
     out = []
     for c in df.columns:
         if c in flagged:
-            v = value_of(df, c).cast("double")
-            z = F.abs((v - F.lit(st[c]["mean"])) / F.lit(st[c]["std_pop"]))
-            out.append(F.when(z > F.lit(threshold), F.lit(med[c][0])).otherwise(v).alias(c))
+            out.append(replaced(value_of(df, c), st[c]["mean"], st[c]["std_pop"], threshold,
+                                med[c][0]).alias(c))
         else:
             out.append(q(c))
     if log is not None:

@@ -16,9 +16,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washframe.functions.columns import dtype_of, ident, is_datetime, q, value_of
+from washframe.functions.columns import (columns_of_kind, dtype_of, ident, is_datetime, q, value_of,
+                                         value_sql)
+from washframe.functions.text import strip_whitespace as strip_expr
 from washframe.functions.names import standard_names
 from washframe.operators import coerce, columns, dedup, missing, outliers, strings
+from washframe.operators.quantiles import RESOLVE_MAX, column_quantiles
 from washframe.report import StepLog
 from washframe.session import checkpoint_root
 
@@ -113,9 +116,14 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
         dates = []
 
     # Duplicates go in one shuffle that keeps each distinct row's copy count;
-    # the cut frame then answers "rows removed" and "cells a forward fill could
-    # not fill (leading gaps)" in one small aggregation, without recomputing
-    # the fill. Without dedup the copy count is 1.
+    # the frame is cut there once. Every later decision is a function of the
+    # cut rows, so the rest of the plan needs two passes over them:
+    #   A: removed rows, forward-fill gaps, type detection, and moments of every
+    #      column that can end up numeric (as it is, or as its long / double
+    #      conversion);
+    #   B: outlier counts and exact medians, and the min / max of each column's
+    #      final expression (after outlier replacement, stripping, date parsing)
+    #      for the constant-column rule.
     names = df.columns
     if opt.drop_duplicates:
         norm = df.select(*[value_of(df, c).alias(c) for c in names])
@@ -123,29 +131,107 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
     else:
         grouped = df.withColumn("_copies", F.lit(1).cast("long"))
     grouped = _cut(grouped, opt.materialize)
-    tally = grouped.groupBy().agg(
+    df = grouped.drop("_copies")
+    threshold = opt.outlier_threshold or 3.0
+
+    text = columns_of_kind(df, "string") if opt.fix_datatypes else []
+    candidates: list[tuple[str, str, object]] = []       # (column, kind, value as double)
+    if opt.handle_outliers:
+        candidates += [(c, "", value_of(df, c).cast("double")) for c in columns_of_kind(df, "numeric")]
+        for c in text:
+            candidates += [(c, k, coerce.converted(q(c), k).cast("double")) for k in ("long", "double")]
+    pass_a = grouped.groupBy().agg(
         F.expr("coalesce(sum(_copies), 0) AS total"), F.expr("count(1) AS kept"),
         *[F.expr(f"coalesce(sum(IF({ident(c)} IS NULL, _copies, 0)), 0) AS g{i}")
-          for i, c in enumerate(dates)]).collect()[0]
-    result.missing_values_filled -= sum(tally[f"g{i}"] for i in range(len(dates)))
-    df = grouped.drop("_copies")
+          for i, c in enumerate(dates)],
+        *coerce.detection_aggs(text, prefix="t_"),
+        *[e for j, (_, _, v) in enumerate(candidates) for e in (
+            F.count(v).alias(f"mn{j}"), F.avg(v).alias(f"mm{j}"), F.stddev_pop(v).alias(f"ms{j}"))]
+    ).collect()[0]
+    result.missing_values_filled -= sum(pass_a[f"g{i}"] for i in range(len(dates)))
     if opt.drop_duplicates:
-        result.rows_removed = tally["total"] - tally["kept"]
-        rows = tally["kept"]
+        result.rows_removed = pass_a["total"] - pass_a["kept"]
+        rows = pass_a["kept"]
         if result.rows_removed > 0:
             log.add("removed_duplicates", count=result.rows_removed)
 
     if opt.fix_datatypes:
-        df = coerce.detect_and_convert(df, log=log)
-    if opt.handle_outliers:
-        df = outliers.outliers_to_median(df, threshold=opt.outlier_threshold or 3.0,
-                                         approx=opt.approx_quantiles, log=log)
+        types = coerce.decide_types(pass_a, text, prefix="t_")
+        for c, kind in types.items():
+            if kind in ("long", "double"):
+                log.add(f"converted_{c}_to_numeric", columns=[c])
+            elif kind == "timestamp":
+                log.add(f"converted_{c}_to_datetime", columns=[c])
+        df = coerce.convert_types(df, types)
+    else:
+        types = {}
+
+    # Moments of the numeric columns as they are now (converted or not).
+    moments = {}
+    for j, (c, kind, _) in enumerate(candidates):
+        if kind == "" or types.get(c) == kind:
+            moments[c] = (pass_a[f"mn{j}"], pass_a[f"mm{j}"], pass_a[f"ms{j}"])
+    live = [c for c in columns_of_kind(df, "numeric") if c in moments and moments[c][2]]
+    final_text = columns_of_kind(df, "string")
+    date_cols = coerce.date_like_columns(df, opt.date_columns) if opt.fix_dates else []
+    bounds_cols = ([f.name for f in df.schema.fields if columns._orderable(f.dataType)]
+                   if opt.remove_constant_columns else [])
+
+    def final_value(c):
+        v = value_of(df, c)
+        if c in final_text and opt.strip_whitespace:
+            v = strip_expr(v)
+        if c in date_cols:
+            v = coerce.to_timestamp(v)
+        return v
+
+    b_aggs = []
+    for i, c in enumerate(live):
+        cnt, mean, std = moments[c]
+        v = value_of(df, c).cast("double")
+        out = F.abs((v - F.lit(mean)) / F.lit(std)) > F.lit(threshold)
+        b_aggs.append(F.count_if(out).alias(f"o{i}"))
+        if not opt.approx_quantiles and cnt <= RESOLVE_MAX:
+            b_aggs.append(F.expr(f"percentile(CAST({value_sql(df, c)} AS DOUBLE), 0.5D)").alias(f"p{i}"))
+    for i, c in enumerate(bounds_cols):
+        v = final_value(c)
+        if c in live:      # bounds of the values an outlier replacement keeps
+            mean, std = moments[c][1], moments[c][2]
+            keep = ~(F.abs((v.cast("double") - F.lit(mean)) / F.lit(std)) > F.lit(threshold))
+            v = F.when(keep, v.cast("double"))
+        b_aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    pass_b = df.groupBy().agg(*b_aggs).collect()[0] if b_aggs else None
+
+    flagged = {c: pass_b[f"o{i}"] for i, c in enumerate(live) if pass_b[f"o{i}"] > 0}
+    medians = {c: pass_b[f"p{i}"] for i, c in enumerate(live)
+               if c in flagged and f"p{i}" in pass_b.asDict()}
+    rest = [c for c in flagged if c not in medians]
+    if rest:
+        got = column_quantiles(df, rest, [0.5], approx=opt.approx_quantiles,
+                               max_group_size=max(moments[c][0] for c in rest))
+        medians.update({c: got[c][0] for c in rest})
+    if flagged:
+        df = df.select(*[outliers.replaced(value_of(df, c), moments[c][1], moments[c][2], threshold,
+                                           medians[c]).alias(c) if c in flagged else q(c)
+                         for c in df.columns])
+        for c in flagged:
+            log.add(f"handled_outliers_{c}", columns=[c], count=flagged[c])
     if opt.strip_whitespace:
         df = strings.strip_whitespace(df, log=log)
     if opt.fix_dates:
         df = coerce.parse_dates(df, date_columns=opt.date_columns, log=log)
     if opt.remove_constant_columns:
-        df = columns.remove_constant_columns(df, log=log)
+        const = []
+        for i, c in enumerate(bounds_cols):
+            lo, hi = pass_b[f"lo{i}"], pass_b[f"hi{i}"]
+            if c in flagged:
+                lo = medians[c] if lo is None else min(lo, medians[c])
+                hi = medians[c] if hi is None else max(hi, medians[c])
+            if columns.is_constant(lo, hi):
+                const.append(c)
+        if const:
+            df = df.drop(*const)
+            log.add("removed_constant_columns", columns=const)
 
     result.df = df
     result.cleaned_shape = (rows, len(df.columns))
