@@ -25,9 +25,17 @@ NON_NUMBER_CHARS = r"[^0-9.\-]"
 
 INTEGER_TEXT_PATTERN = r"^\s*[-+]?[0-9]+\s*$"
 
-# Necessary shape of any text a double cast can accept (digits, or the
-# Infinity / NaN words); checked first because a failed cast is expensive.
-DOUBLE_GUARD_PATTERN = r"^\s*[-+]?([0-9]|\.[0-9]|[iI]nf|NaN)"
+# Necessary shapes of any text a long / double cast can accept (digits, or the
+# inf / infinity / nan words in any case); checked first because a failed cast
+# is expensive (an exception per value).
+LONG_GUARD_PATTERN = r"^\s*[-+]?[0-9]"
+DOUBLE_GUARD_PATTERN = r"^\s*[-+]?([0-9]|\.[0-9]|(?i:inf|nan))"
+
+
+def guarded_number(c: Column, kind: str) -> Column:
+    """``try_cast`` to long / double, skipped for text that cannot parse."""
+    pattern = LONG_GUARD_PATTERN if kind == "long" else DOUBLE_GUARD_PATTERN
+    return F.when(c.rlike(pattern), c.try_cast(kind))
 
 
 def strip_whitespace(c: Column) -> Column:

@@ -3,9 +3,10 @@
 Order: standardize names -> fill missing -> drop duplicates -> detect types ->
 outliers to median -> strip whitespace -> parse dates -> remove constant
 columns. Each step's ``fit`` reads the previous step's output, so the frame is
-cut once after the duplicate removal (the only full shuffle): by default with
-a reliable checkpoint in ``spark.checkpoint.dir`` (lineage cut, survives
-executor loss), optionally with ``persist``.
+cut once after the duplicate removal (the only full shuffle): by default as a
+parquet table in the shared ``spark.checkpoint.dir`` folder (lineage cut,
+survives executor loss, columnar reads), optionally with an RDD checkpoint or
+``persist``.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 
 from washframe.functions.columns import (columns_of_kind, dtype_of, ident, is_datetime, q, value_of,
                                          value_sql)
+from washframe.functions.text import guarded_number
 from washframe.functions.text import strip_whitespace as strip_expr
 from washframe.functions.names import standard_names
 from washframe.operators import coerce, columns, dedup, missing, outliers, strings
 from washframe.operators.quantiles import RESOLVE_MAX, column_quantiles
 from washframe.report import StepLog
-from washframe.session import checkpoint_root
+from washframe.session import checkpoint_root, materialize
 
 
 @dataclass
@@ -43,7 +45,9 @@ class CleaningOptions:
     order_by: list[str] | None = None
     partition_by: list[str] | None = None
     approx_quantiles: bool = False
-    materialize: str = "checkpoint"      # "checkpoint", "persist" or "none"
+    # How the frame is cut after the dedup: a parquet table in the shared
+    # checkpoint folder ("table"), an RDD "checkpoint", "persist" or "none".
+    materialize: str = "table"
 
 
 @dataclass
@@ -68,6 +72,8 @@ class CleaningResult:
 
 
 def _cut(df: DataFrame, how: str) -> DataFrame:
+    if how == "table":
+        return materialize(df, "plan-cut")
     if how == "checkpoint":
         checkpoint_root(df.sparkSession)
         return df.checkpoint(eager=True)
@@ -139,7 +145,7 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
     if opt.handle_outliers:
         candidates += [(c, "", value_of(df, c).cast("double")) for c in columns_of_kind(df, "numeric")]
         for c in text:
-            candidates += [(c, k, coerce.converted(q(c), k).cast("double")) for k in ("long", "double")]
+            candidates += [(c, k, guarded_number(q(c), k).cast("double")) for k in ("long", "double")]
     pass_a = grouped.groupBy().agg(
         F.expr("coalesce(sum(_copies), 0) AS total"), F.expr("count(1) AS kept"),
         *[F.expr(f"coalesce(sum(IF({ident(c)} IS NULL, _copies, 0)), 0) AS g{i}")

@@ -56,3 +56,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique folder name inside the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/washframe-{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df, label: str):
+    """Cut lineage with a parquet table in the shared checkpoint folder.
+
+    One job computes and writes the rows (a reliable RDD checkpoint computes
+    them twice unless cached); reads are columnar, so later passes read only
+    the columns they use. Columns are stored under positional names, so any
+    original name survives the round trip.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    names = df.columns
+    df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
+    return spark.read.parquet(path).toDF(*names)
