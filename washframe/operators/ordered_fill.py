@@ -130,26 +130,22 @@ def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str],
     summary = base.groupBy("_blk", gkey.alias("_g")).agg(*summary_aggs)
 
     # Value carried into (block, group) from the group's earlier (later) blocks.
-    if backward:
-        w_carry = Window.partitionBy("_g").orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
-        carry = [F.first(f"_l{i}", ignorenulls=True).over(w_carry).alias(f"_c{i}") for i in range(len(cols))]
-        edge = F.col("_g").desc()
-    else:
-        w_carry = Window.partitionBy("_g").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-        carry = [F.last(f"_l{i}", ignorenulls=True).over(w_carry).alias(f"_c{i}") for i in range(len(cols))]
-        edge = F.col("_g").asc()
+    # Backward is forward along the reversed order: running frames only (a
+    # "current row .. unbounded following" frame costs O(n^2) per partition).
+    blk_order = F.col("_blk").desc() if backward else F.col("_blk").asc()
+    w_carry = Window.partitionBy("_g").orderBy(blk_order).rowsBetween(Window.unboundedPreceding, -1)
+    carry = [F.last(f"_l{i}", ignorenulls=True).over(w_carry).alias(f"_c{i}") for i in range(len(cols))]
+    edge = F.col("_g").desc() if backward else F.col("_g").asc()
     carried = summary.select("_blk", "_g", *carry)
     # Only a block's first (backward: last) group continues across blocks.
     carried = (carried.withColumn("_rank", F.row_number().over(Window.partitionBy("_blk").orderBy(edge)))
                .where(F.col("_rank") == 1).drop("_rank"))
     filled = base.withColumn("_g", gkey).join(F.broadcast(carried), on=["_blk", "_g"], how="left")
 
-    order = [q(o).asc_nulls_first() for o in order_by]
-    frame = ((Window.unboundedPreceding, Window.currentRow) if not backward
-             else (Window.currentRow, Window.unboundedFollowing))
-    w_local = Window.partitionBy("_blk", "_g").orderBy(*order).rowsBetween(*frame)
-    take = F.first if backward else F.last
-    fills = {c: F.coalesce(take(f"_f{i}", ignorenulls=True).over(w_local), F.col(f"_c{i}"))
+    order = [q(o).desc_nulls_last() if backward else q(o).asc_nulls_first() for o in order_by]
+    w_local = (Window.partitionBy("_blk", "_g").orderBy(*order)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fills = {c: F.coalesce(F.last(f"_f{i}", ignorenulls=True).over(w_local), F.col(f"_c{i}"))
              for i, c in enumerate(cols)}
     return filled.select(*[fills[f.name].cast(f.dataType).alias(f.name) if f.name in fills
                            else q(f.name) for f in df.schema.fields])
