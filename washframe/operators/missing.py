@@ -184,7 +184,7 @@ def fill_missing(df: DataFrame, order_by: list[str] | None = None,
     if dates:
         if not order_by:
             raise ValueError(f"forward fill of {dates} needs order_by")
-        df = fill_ffill(df, dates, order_by, partition_by)
+        df = fill_ffill(df, dates, order_by, partition_by, rows=rows)
     if log is not None:
         for c in todo:
             log.add(f"filled_missing_values_{c}", columns=[c], count=missing[c])

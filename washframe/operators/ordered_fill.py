@@ -65,11 +65,12 @@ def _literal(v, dt: T.DataType) -> str:
     return f"CAST('{v}' AS {dt.simpleString()})"
 
 
-def _boundaries(keys: DataFrame, n_blocks: int) -> list[tuple]:
-    """Sorted, distinct split points of the key from a bounded sample."""
+def _boundaries(keys: DataFrame, n_blocks: int, rows: int | None = None) -> list[tuple]:
+    """Sorted, distinct split points of the key from a bounded sample
+    (``rows``: the row count when already known)."""
     if n_blocks <= 1:
         return []
-    n = keys.count()
+    n = rows if rows is not None else keys.count()
     if n == 0:
         return []
     target = min(SAMPLE_PER_BLOCK * n_blocks, SAMPLE_MAX)
@@ -103,9 +104,10 @@ def _block_sql(bounds: list[tuple], types: list[T.DataType]) -> str:
 
 def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str],
                  partition_by: list[str] | None = None, backward: bool = False,
-                 blocks: int | None = None) -> DataFrame:
+                 blocks: int | None = None, rows: int | None = None) -> DataFrame:
     """Fill nulls of ``cols`` from the nearest earlier (``backward``: later) non-null
-    value along ``order_by``, within ``partition_by`` groups."""
+    value along ``order_by``, within ``partition_by`` groups. ``rows``: the row
+    count of ``df`` if known (saves a counting pass)."""
     if not order_by:
         raise ValueError("an ordered fill needs order_by")
     cols = [c for c in cols if c in df.columns]
@@ -119,7 +121,7 @@ def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str],
     base = df.select(*[q(c) for c in df.columns],
                      *[value_of(df, c).alias(f"_f{i}") for i, c in enumerate(cols)],
                      F.expr(key_struct).alias("_key"))
-    bounds = _boundaries(base.select("_key.*"), _blocks(df, blocks))
+    bounds = _boundaries(base.select("_key.*"), _blocks(df, blocks), rows)
     base = base.withColumn("_blk", F.expr(_block_sql(bounds, list(key_types))).cast("int"))
 
     along = F.struct(*[q(o) for o in order_by])
@@ -152,9 +154,10 @@ def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str],
 
 
 def fill_ffill(df: DataFrame, cols: list[str], order_by: list[str],
-               partition_by: list[str] | None = None, blocks: int | None = None) -> DataFrame:
+               partition_by: list[str] | None = None, blocks: int | None = None,
+               rows: int | None = None) -> DataFrame:
     """Last non-missing value before each row; leading missing values stay missing."""
-    return ordered_fill(df, cols, order_by, partition_by, backward=False, blocks=blocks)
+    return ordered_fill(df, cols, order_by, partition_by, backward=False, blocks=blocks, rows=rows)
 
 
 def fill_bfill(df: DataFrame, cols: list[str], order_by: list[str],
