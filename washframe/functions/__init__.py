@@ -1,0 +1 @@
+"""Column expressions shared by the operators (names, text, NaN handling, SQL text)."""

@@ -68,11 +68,6 @@ def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                        for c in df.columns])
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    """Division that yields null on zero or null denominators, also under ANSI."""
-    return F.try_divide(num, den)
-
-
 # SQL-text forms of the helpers above. Operators that build many expressions
 # (one per column or per column pair) emit SQL text parsed on the JVM side:
 # one Py4J call per expression instead of one per Column operator.

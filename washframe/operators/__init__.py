@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators: fit in bounded aggregations, apply as projections."""

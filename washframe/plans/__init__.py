@@ -1,0 +1 @@
+"""The cleaning plan and the registered queries with their oracle SQL."""

@@ -22,7 +22,7 @@ from washframe.functions.columns import (columns_of_kind, dtype_of, ident, is_da
 from washframe.functions.text import guarded_number
 from washframe.functions.text import strip_whitespace as strip_expr
 from washframe.functions.names import standard_names
-from washframe.operators import coerce, columns, dedup, missing, outliers, strings
+from washframe.operators import coerce, columns, missing, outliers, strings
 from washframe.operators.quantiles import RESOLVE_MAX, column_quantiles
 from washframe.report import StepLog
 from washframe.session import checkpoint_root, materialize

@@ -1,0 +1 @@
+"""Table, CSV and file sources and sinks."""

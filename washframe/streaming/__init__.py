@@ -1,0 +1 @@
+"""Fitted operators applied to streaming DataFrames."""
