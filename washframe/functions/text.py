@@ -12,8 +12,15 @@ DEFAULT_NA_TOKENS = (
     "nan", "null",
 )
 
-# Characters Python's str.strip() removes: ASCII controls \t \n \v \f \r,
-# the separators \x1c-\x1f, NEL \x85 and every Unicode space separator (\p{Z}).
+# The characters Python's str.strip() removes -- ASCII controls
+# \t \n \v \f \r, the separators \x1c-\x1f, space, NEL \x85, and the Unicode
+# space separators (\p{Z}: no-break space, ogham mark, en quad .. hair space,
+# line and paragraph separators, narrow no-break space, medium mathematical
+# space, ideographic space).
+WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                    "\u2028\u2029\u202f\u205f\u3000")
+# The same set as a regex class (used where only regexes are available).
 WHITESPACE_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
 STRIP_PATTERN = rf"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$"
 
@@ -39,8 +46,9 @@ def guarded_number(c: Column, kind: str) -> Column:
 
 
 def strip_whitespace(c: Column) -> Column:
-    """Both ends, all Unicode whitespace; Spark's ``trim`` removes only ' '."""
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    """Both ends, all Unicode whitespace. Plain ``trim`` removes only ' '; trim
+    with a character set touches only the ends (a regex would scan whole texts)."""
+    return F.trim(c, F.lit(WHITESPACE_CHARS))
 
 
 def null_if_token(c: Column, tokens) -> Column:
