@@ -54,17 +54,10 @@ def bar_data(df: DataFrame, x: str, y: str, hue: str | None = None, n: int = TOP
     return line_data(group_mean_topn(df, x, y, n), x, y, hue)
 
 
-def scatter_data(df: DataFrame, x: str, y: str, hue: str | None = None,
-                 max_points: int | None = None, seed: int = 17) -> DataFrame:
-    """(x, y) points with both present; ``max_points`` samples (a sampling feature,
-    off by default)."""
+def scatter_data(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
+    """Every (x, y) point with both present: a narrow projection, no sampling."""
     cols = [x, y] + ([hue] if hue else [])
-    pts = df.select(*[value_of(df, c).alias(c) for c in cols]).where(q(x).isNotNull() & q(y).isNotNull())
-    if max_points:
-        total = pts.count()
-        if total > max_points:
-            pts = pts.sample(fraction=max_points / total, seed=seed)
-    return pts
+    return df.select(*[value_of(df, c).alias(c) for c in cols]).where(q(x).isNotNull() & q(y).isNotNull())
 
 
 def auto_bin_count(n: int, lo: float, hi: float, q25: float, q75: float) -> int:

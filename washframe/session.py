@@ -38,8 +38,9 @@ def build_session(master: str | None = None, app: str = "washframe",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a private folder under the
-    system temp dir created and registered.
+    Only when the session has none and runs in local mode (tests) is a private
+    folder under the system temp dir created and registered; a cluster session
+    without the setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +48,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # A machine-local folder would not survive the loss of an executor.
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder "
+                               "(HDFS / object store) for cluster runs")
         configured = tempfile.mkdtemp(prefix="washframe-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
