@@ -43,6 +43,18 @@ def test_clean_data_all_steps(spark):
     assert res.summary()["missing_values_filled"] == 5          # 2 ages + 3 departments
 
 
+def test_clean_data_release_scratch(spark):
+    res = clean_data(_staff(spark), CleaningOptions(order_by=["ID"]))
+    assert len(res.scratch) == 1
+    path = res.scratch[0]
+    assert path.startswith(spark.sparkContext.getCheckpointDir().rstrip("/"))
+    local = path.removeprefix("file:")
+    assert os.path.isdir(local)
+    assert res.df.count() == 45
+    res.release()
+    assert res.scratch == [] and not os.path.exists(local)
+
+
 def test_clean_data_flags_off(spark):
     src = _staff(spark)
     res = clean_data(src, CleaningOptions(fill_missing=False, drop_duplicates=False, standardize_columns=False,

@@ -25,7 +25,7 @@ from washframe.functions.names import standard_names
 from washframe.operators import coerce, columns, missing, outliers, strings
 from washframe.operators.quantiles import RESOLVE_MAX, column_quantiles
 from washframe.report import StepLog
-from washframe.session import checkpoint_root, materialize
+from washframe.session import checkpoint_root, drop_scratch, materialize, scratch_path
 
 
 @dataclass
@@ -59,6 +59,15 @@ class CleaningResult:
     rows_removed: int = 0
     missing_values_filled: int = 0
     columns_renamed: dict[str, str] = field(default_factory=dict)
+    # Scratch tables in the shared checkpoint folder that ``df`` reads from.
+    scratch: list[str] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Delete the plan's scratch tables; call once ``df`` has been written
+        or is no longer needed (``df`` cannot be read afterwards)."""
+        spark = self.df.sparkSession
+        while self.scratch:
+            drop_scratch(spark, self.scratch.pop())
 
     def report(self, spark: SparkSession) -> DataFrame:
         """One row per step: step number, name, affected columns, count."""
@@ -71,9 +80,11 @@ class CleaningResult:
                 "columns_renamed": self.columns_renamed}
 
 
-def _cut(df: DataFrame, how: str) -> DataFrame:
+def _cut(df: DataFrame, how: str, scratch: list[str]) -> DataFrame:
     if how == "table":
-        return materialize(df, "plan-cut")
+        path = scratch_path(df.sparkSession, "plan-cut")
+        scratch.append(path)
+        return materialize(df, "plan-cut", path)
     if how == "checkpoint":
         checkpoint_root(df.sparkSession)
         return df.checkpoint(eager=True)
@@ -136,7 +147,7 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
         grouped = norm.groupBy(*[q(c) for c in names]).agg(F.count(F.lit(1)).alias("_copies"))
     else:
         grouped = df.withColumn("_copies", F.lit(1).cast("long"))
-    grouped = _cut(grouped, opt.materialize)
+    grouped = _cut(grouped, opt.materialize, result.scratch)
     df = grouped.drop("_copies")
     threshold = opt.outlier_threshold or 3.0
 

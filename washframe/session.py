@@ -63,7 +63,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root}/washframe-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df, label: str):
+def materialize(df, label: str, path: str | None = None):
     """Cut lineage with a parquet table in the shared checkpoint folder.
 
     One job computes and writes the rows (a reliable RDD checkpoint computes
@@ -72,7 +72,16 @@ def materialize(df, label: str):
     original name survives the round trip.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     names = df.columns
     df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
     return spark.read.parquet(path).toDF(*names)
+
+
+def drop_scratch(spark: SparkSession, path: str) -> bool:
+    """Delete a scratch table written by ``materialize`` (recursive, through the
+    Hadoop FileSystem of the path, so it works for HDFS and object stores)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(hpath, True))
