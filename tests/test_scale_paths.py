@@ -41,7 +41,7 @@ def test_exact_quantiles_single_value_hot_key(spark):
 
 
 @pytest.mark.parametrize("backward", [False, True])
-@pytest.mark.parametrize("blocks", [1, 7, 64])
+@pytest.mark.parametrize("blocks", [1, 7, 64, 2000])
 def test_ordered_fill_matches_pandas(spark, backward, blocks):
     df, pdf = _frame(spark, n=3000, seed=3)
     df = df.withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
