@@ -125,3 +125,28 @@ def test_exact_quantiles_bracket_of_endpoint_copies(spark):
     probs = [0.3, 0.4999, 0.5, 0.5001, 0.7]
     r = exact_quantiles(df, [], "v", probs, resolve_max=5).collect()[0]
     assert [r[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(vals, probs)))
+
+
+@pytest.mark.parametrize("wide_sums", [10**9, 0])
+def test_correlation_paths_match_pandas(spark, monkeypatch, wide_sums):
+    """Both the one-aggregation path and the matrix-product path (wide tables)
+    give pandas' pairwise-complete Pearson, including a constant column."""
+    from washframe.operators import profile
+    monkeypatch.setattr(profile, "WIDE_CORR_SUMS", wide_sums)
+    rng = np.random.default_rng(11)
+    n, k = 3000, 9
+    base = rng.normal(0, 1, n)
+    data = {f"c{i}": base * (i - 4) + rng.normal(0, 1 + i, n) + 1e6 for i in range(k)}
+    pdf = pd.DataFrame(data)
+    for i in range(k):                           # nulls in different rows per column
+        pdf.loc[rng.random(n) < 0.03 * (i % 4), f"c{i}"] = np.nan
+    pdf["flat"] = 7.0
+    got = {(r.x, r.y): r.corr for r in profile.correlation_matrix(spark.createDataFrame(pdf)).collect()}
+    want = pdf.corr()
+    assert len(got) == want.size
+    for (x, y), r in got.items():
+        w = want.loc[x, y]
+        if np.isnan(w):
+            assert r is None
+        else:
+            assert r == pytest.approx(w, abs=1e-9)

@@ -146,6 +146,54 @@ def data_summary(df: DataFrame) -> DataFrame:
         F.lit(kinds["datetime"]).alias("datetime_columns"))
 
 
+# Above this many sum expressions a single JVM aggregation spends its time
+# planning and updating thousands of aggregate buffers per row; the pairwise
+# sums then come from matrix products per Arrow batch instead.
+WIDE_CORR_SUMS = 256
+
+
+def _pearson_sql(n, sa, sb, qa, qb, x):
+    n = f"CAST({n} AS DOUBLE)"
+    cov = f"(try_divide({x}, {n}) - try_divide({sa}, {n}) * try_divide({sb}, {n}))"
+    va = f"greatest(try_divide({qa}, {n}) - try_divide({sa}, {n}) * try_divide({sa}, {n}), 0D)"
+    vb = f"greatest(try_divide({qb}, {n}) - try_divide({sb}, {n}) * try_divide({sb}, {n}), 0D)"
+    return f"try_divide({cov}, sqrt({va} * {vb}))"
+
+
+def _pair_sums(centred: DataFrame, k: int) -> DataFrame:
+    """Pairwise-complete sums of k centred columns ``v0..v{k-1}``, long form
+    ``(i, j, n, sa, sb, qa, qb, x)`` for i >= j: rows with both present, sums of
+    v_i and v_j over them, their squares, and the cross product.
+
+    Each task accumulates k x k matrices over its Arrow batches (M = presence
+    mask, Z = values with nulls as 0: n = M'M, sa = Z'M, qa = (Z*Z)'M, x = Z'Z)
+    and emits k(k+1)/2 rows once; a grouped sum merges the tasks (partial
+    aggregation, k(k+1)/2 groups)."""
+    import numpy as np
+    import pandas as pd
+
+    li, lj = np.tril_indices(k)
+
+    def per_task(batches):
+        n = np.zeros((k, k)); s = np.zeros((k, k)); qq = np.zeros((k, k)); x = np.zeros((k, k))
+        for pdf in batches:
+            z = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
+            m = ~np.isnan(z)
+            z = np.where(m, z, 0.0)
+            mf = m.astype(np.float64)
+            n += mf.T @ mf
+            s += z.T @ mf
+            qq += (z * z).T @ mf
+            x += z.T @ z
+        yield pd.DataFrame({"i": li.astype(np.int32), "j": lj.astype(np.int32),
+                            "n": n[li, lj], "sa": s[li, lj], "sb": s[lj, li],
+                            "qa": qq[li, lj], "qb": qq[lj, li], "x": x[li, lj]})
+
+    schema = "i int, j int, n double, sa double, sb double, qa double, qb double, x double"
+    return (centred.mapInPandas(per_task, schema).groupBy("i", "j")
+            .agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "x")]))
+
+
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
                        lower_only: bool = False) -> DataFrame:
     """Pearson correlation, pairwise-complete, long form ``(x, y, corr)``.
@@ -155,7 +203,8 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
     cancellation). A column without nulls shares its sums across all its
     pairs; only pairs touching a column with nulls need sums restricted to
     the rows where both are present. A constant column gives null (no division
-    error under ANSI). ``lower_only`` keeps the strict lower triangle.
+    error under ANSI). ``lower_only`` keeps the strict lower triangle. Wide
+    inputs (more than ``WIDE_CORR_SUMS`` sums) take the matrix-product path.
     """
     cols = cols if cols is not None else columns_of_kind(df, "numeric")
     if len(cols) < 2:
@@ -168,6 +217,10 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
     complete = {c: first[f"n{i}"] == rows for i, c in enumerate(cols)}
     d = {c: f"({vals[c]} - {sql_literal(float(first[f'm{i}'] or 0.0))})" for i, c in enumerate(cols)}
     pairs = [(i, j) for i in range(len(cols)) for j in range(i)]
+    n_sums = 1 + 2 * len(cols) + sum(1 if complete[cols[i]] and complete[cols[j]] else 6
+                                     for i, j in pairs)
+    if n_sums > WIDE_CORR_SUMS:
+        return _correlation_wide(df, cols, d, lower_only)
 
     sums = ["count(1) AS rows"]
     for i, c in enumerate(cols):   # sums skip nulls: per-column moments over present values
@@ -184,20 +237,14 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
                      f"sum({db} * {db}) AS qb{i}_{j}", f"sum({da} * {db}) AS x{i}_{j}"]
     one = df.groupBy().agg(*[F.expr(s) for s in sums])
 
-    def pearson(n, sa, sb, qa, qb, x):
-        n = f"CAST({n} AS DOUBLE)"
-        cov = f"({x} / {n} - ({sa} / {n}) * ({sb} / {n}))"
-        va = f"greatest({qa} / {n} - ({sa} / {n}) * ({sa} / {n}), 0D)"
-        vb = f"greatest({qb} / {n} - ({sb} / {n}) * ({sb} / {n}), 0D)"
-        return f"try_divide({cov}, sqrt({va} * {vb}))"
-
     exprs = []
     for i, j in pairs:
         a, b = cols[i], cols[j]
         if complete[a] and complete[b]:
-            r = pearson("rows", f"s{i}", f"s{j}", f"q{i}", f"q{j}", f"x{i}_{j}")
+            r = _pearson_sql("rows", f"s{i}", f"s{j}", f"q{i}", f"q{j}", f"x{i}_{j}")
         else:
-            r = pearson(f"n{i}_{j}", f"sa{i}_{j}", f"sb{i}_{j}", f"qa{i}_{j}", f"qb{i}_{j}", f"x{i}_{j}")
+            r = _pearson_sql(f"n{i}_{j}", f"sa{i}_{j}", f"sb{i}_{j}", f"qa{i}_{j}", f"qb{i}_{j}",
+                             f"x{i}_{j}")
         exprs.append(f"{r} AS c{i}_{j}")
     for i, c in enumerate(cols):
         n = sql_literal(float(max(first[f"n{i}"], 1)))
@@ -212,3 +259,25 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
         specs += [{"x": c, "y": c, "corr": f"@d{i}"} for i, c in enumerate(cols)]
     out = _unpivot_one_row(one, specs)
     return out.selectExpr("x", "y", "CAST(corr AS DOUBLE) AS corr")
+
+
+def _correlation_wide(df: DataFrame, cols: list[str], centred_sql: dict[str, str],
+                      lower_only: bool) -> DataFrame:
+    """The same correlations from ``_pair_sums`` (one row per pair, no wide row)."""
+    k = len(cols)
+    centred = df.selectExpr(*[f"{centred_sql[c]} AS v{i}" for i, c in enumerate(cols)])
+    sums = _pair_sums(centred, k)
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "idx int, name string")
+    # Diagonal: 1 where the column varies, null for a constant column.
+    r = F.expr(f"IF(i = j, IF(try_divide(qa, n) - pow(try_divide(sa, n), 2) > 0, 1D, "
+               f"CAST(NULL AS DOUBLE)), {_pearson_sql('n', 'sa', 'sb', 'qa', 'qb', 'x')})")
+    pairs = sums.select("i", "j", r.alias("corr"))
+    if lower_only:
+        pairs = pairs.where("i > j")
+    else:
+        pairs = pairs.unionByName(pairs.where("i > j").selectExpr("j AS i", "i AS j", "corr"))
+    # ``names`` has k rows (the column list): a bounded broadcast.
+    ni, nj = F.broadcast(names).alias("ni"), F.broadcast(names).alias("nj")
+    return (pairs.join(ni, F.col("i") == F.col("ni.idx")).join(nj, F.col("j") == F.col("nj.idx"))
+            .select(F.col("ni.name").alias("x"), F.col("nj.name").alias("y"),
+                    F.col("corr").cast("double").alias("corr")))
