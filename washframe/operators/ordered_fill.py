@@ -7,8 +7,9 @@ all rows) still lands in one task. Here the fill is done in two levels:
 1. the rows are cut into ``blocks`` contiguous ranges of the sort key
    (partition_by, order_by). The block of a row is a deterministic function of
    its key: boundaries come from a bounded, sorted sample of the key columns,
-   and a binary search over them (one constant array of structs) assigns the
-   block.
+   and a binary search over them (a compiled comparison tree for up to 64
+   boundaries, a search over one constant array of structs beyond) assigns
+   the block.
    Being a pure expression, it gives the same block in every branch of the
    plan and on every recomputation (no range exchange, nothing materialised);
 2. one aggregation gives, per (block, group), the last (backward: first)
@@ -91,19 +92,32 @@ def _boundaries(keys: DataFrame, n_blocks: int, rows: int | None = None) -> list
     return out
 
 
+TREE_MAX_BOUNDS = 64         # up to here a compiled comparison tree; beyond, an array search
+
+
 def _block_sql(bounds: list[tuple], types: list[T.DataType]) -> str:
-    """Number of boundaries <= _key: a binary search over one constant array.
+    """Number of boundaries <= _key, by binary search.
 
-    The boundaries are a single literal (constant-folded once), the search takes
-    ceil(log2(blocks + 1)) steps per row, and the expression size does not grow
-    with the block count (a tree of comparisons over thousands of boundaries
-    exceeds what whole-stage code generation compiles)."""
+    Few boundaries: a nested ``CASE`` of struct comparisons (compiled with the
+    rest of the stage). More (a cluster's thousands of shuffle partitions): a
+    search over one constant array, ceil(log2(blocks + 1)) steps per row, whose
+    expression size does not grow with the block count (a comparison tree over
+    thousands of boundaries exceeds what code generation compiles)."""
     if not bounds:
         return "0"
 
     def lit(b):
         return "named_struct(" + ", ".join(
             f"'k{i}', {_literal(v, t)}" for i, (v, t) in enumerate(zip(b, types))) + ")"
+
+    if len(bounds) <= TREE_MAX_BOUNDS:
+        def tree(lo: int, hi: int) -> str:
+            if lo >= hi:
+                return str(lo)
+            mid = (lo + hi) // 2
+            return f"CASE WHEN _key < {lit(bounds[mid])} THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
+        return tree(0, len(bounds))
+
     arr = "array(" + ", ".join(lit(b) for b in bounds) + ")"
     steps = math.ceil(math.log2(len(bounds) + 1))
     mid = "shiftright(acc.lo + acc.hi, 1)"
