@@ -88,3 +88,30 @@ def test_step_log_table(spark, tmp_path):
     log.append_to(spark, path, run_id="r2")
     got = spark.read.parquet(path)
     assert got.count() == 4 and set(got.columns) >= {"step_no", "step", "count", "seconds", "run_id"}
+
+
+def test_checkpoint_root_requires_shared_folder_on_clusters():
+    """A cluster session without spark.checkpoint.dir must not fall back to a
+    machine-local temp folder (lost with the executor or driver host)."""
+    import pytest
+    from washframe.session import checkpoint_root
+
+    class _Conf:
+        def get(self, key, default=None):
+            return default
+
+    class _Ctx:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, path):
+            raise AssertionError("must not register a local folder")
+
+    class _Session:
+        sparkContext = _Ctx()
+        conf = _Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(_Session())
