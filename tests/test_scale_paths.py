@@ -150,3 +150,5 @@ def test_correlation_paths_match_pandas(spark, monkeypatch, wide_sums):
             assert r is None
         else:
             assert r == pytest.approx(w, abs=1e-9)
+    empty = profile.correlation_matrix(spark.createDataFrame(pdf).limit(0)).collect()
+    assert len(empty) == want.size and all(r.corr is None for r in empty)

@@ -219,7 +219,7 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
     pairs = [(i, j) for i in range(len(cols)) for j in range(i)]
     n_sums = 1 + 2 * len(cols) + sum(1 if complete[cols[i]] and complete[cols[j]] else 6
                                      for i, j in pairs)
-    if n_sums > WIDE_CORR_SUMS:
+    if n_sums > WIDE_CORR_SUMS and rows > 0:     # an empty input keeps its null-valued pairs
         return _correlation_wide(df, cols, d, lower_only)
 
     sums = ["count(1) AS rows"]
