@@ -1,6 +1,9 @@
 """Run registered queries against their DuckDB oracle SQL (the driver's gate, locally).
 
-Usage: python tests/oracle_harness.py [sf_dir] [name ...]
+Usage: python tests/oracle_harness.py [sf_dir] [--shuffle-partitions N] [name ...]
+
+``--shuffle-partitions 2000`` runs the suite with a cluster's partition count
+(block counts, split points and AQE paths then take their large-scale form).
 """
 
 from __future__ import annotations
@@ -81,9 +84,15 @@ def compare(spark, con, name, fn, sql, sf_dir):
 def main(argv):
     from washframe.plans.catalog import ORACLE, QUERIES
     from washframe.session import build_session
-    sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
-    names = [a for a in argv[1:] if not a.startswith("/")] or list(QUERIES)
-    spark = build_session()
+    args = list(argv[1:])
+    partitions = None
+    if "--shuffle-partitions" in args:
+        at = args.index("--shuffle-partitions")
+        partitions = int(args[at + 1])
+        del args[at:at + 2]
+    sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
+    names = [a for a in args if not a.startswith("/")] or list(QUERIES)
+    spark = build_session(shuffle_partitions=partitions)
     con = duck(sf_dir)
     bad = 0
     for name in names:
