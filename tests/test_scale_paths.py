@@ -152,3 +152,30 @@ def test_correlation_paths_match_pandas(spark, monkeypatch, wide_sums):
             assert r == pytest.approx(w, abs=1e-9)
     empty = profile.correlation_matrix(spark.createDataFrame(pdf).limit(0)).collect()
     assert len(empty) == want.size and all(r.corr is None for r in empty)
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_ordered_fill_hot_tied_order_key(spark, backward):
+    """A third of the rows share one order value: ties are broken by a hash of
+    the row (spread over blocks); the result equals one plain window ordered
+    the same way."""
+    from pyspark.sql import Window
+    rng = np.random.default_rng(5)
+    n = 3000
+    k = np.where(rng.random(n) < 0.34, 500, rng.integers(0, 1000, n))
+    v = np.round(rng.normal(0, 1, n), 3)
+    v[rng.random(n) < 0.3] = np.nan
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], n), "k": k, "v": v, "row": np.arange(n)})
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
+    tb = F.xxhash64(*[F.col(c) for c in df.columns])
+    for part in ([], ["g"]):
+        got = ordered_fill(df, ["v"], ["k"], partition_by=part, backward=backward, blocks=16)
+        if backward:
+            order = [F.col("k").desc_nulls_last(), tb.desc_nulls_last()]
+        else:
+            order = [F.col("k").asc_nulls_first(), tb.asc_nulls_first()]
+        w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        want = df.select("row", F.last("v", ignorenulls=True).over(w).alias("v"))
+        a = {r.row: r.v for r in got.select("row", "v").collect()}
+        b = {r.row: r.v for r in want.collect()}
+        assert a == b

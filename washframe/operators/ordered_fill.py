@@ -20,9 +20,11 @@ all rows) still lands in one task. Here the fill is done in two levels:
    ``blocks`` rows and is broadcast (its size bound is the block count);
 4. the local fill is a window over (block, group), i.e. one block at most.
 
-A hot key spreads over many blocks. Rows with equal keys share a block, so
-give a unique ``order_by`` (add a key column): ties are also what makes any
-ordered fill arbitrary.
+A hot key spreads over many blocks. Ties of ``order_by`` are broken by a hash
+of the whole row (ties make any ordered fill arbitrary; this makes the choice
+deterministic), so a hot order value spreads over blocks too. Only exact
+copies of one row share a block; give a unique ``order_by`` when a third of
+all rows may be copies of one row.
 """
 
 from __future__ import annotations
@@ -140,17 +142,22 @@ def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str],
     if not cols:
         return df
     part = list(partition_by or [])
-    keys = part + list(order_by)
-    key_sql, key_types = zip(*[_key_sql(df, k) for k in keys])
-    key_struct = "named_struct(" + ", ".join(f"'k{i}', {s}" for i, s in enumerate(key_sql)) + ")"
-
+    # Ties of the order key are broken by a hash of the whole row, so a hot
+    # order value (a third of all rows at one timestamp) spreads over many
+    # blocks. Only exact copies still tie, and copies carry equal values.
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    ordered = list(order_by) + ["_tb"]
+    keys = part + ordered
     base = df.select(*[q(c) for c in df.columns],
                      *[value_of(df, c).alias(f"_f{i}") for i, c in enumerate(cols)],
-                     F.expr(key_struct).alias("_key"))
+                     F.xxhash64(*[q(c) for c in hashable]).alias("_tb"))
+    key_sql, key_types = zip(*[_key_sql(base, k) for k in keys])
+    key_struct = "named_struct(" + ", ".join(f"'k{i}', {s}" for i, s in enumerate(key_sql)) + ")"
+    base = base.withColumn("_key", F.expr(key_struct))
     bounds = _boundaries(base.select("_key.*"), _blocks(df, blocks), rows)
     base = base.withColumn("_blk", F.expr(_block_sql(bounds, list(key_types))).cast("int"))
 
-    along = F.struct(*[q(o) for o in order_by])
+    along = F.struct(*[q(o) for o in ordered])
     pick = F.min_by if backward else F.max_by      # first / last non-null of a block
     summary_aggs = [pick(F.col(f"_f{i}"), F.when(F.col(f"_f{i}").isNotNull(), along)).alias(f"_l{i}")
                     for i in range(len(cols))]
@@ -170,7 +177,7 @@ def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str],
                .where(F.col("_rank") == 1).drop("_rank"))
     filled = base.withColumn("_g", gkey).join(F.broadcast(carried), on=["_blk", "_g"], how="left")
 
-    order = [q(o).desc_nulls_last() if backward else q(o).asc_nulls_first() for o in order_by]
+    order = [q(o).desc_nulls_last() if backward else q(o).asc_nulls_first() for o in ordered]
     w_local = (Window.partitionBy("_blk", "_g").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     fills = {c: F.coalesce(F.last(f"_f{i}", ignorenulls=True).over(w_local), F.col(f"_c{i}"))
