@@ -179,3 +179,28 @@ def test_ordered_fill_hot_tied_order_key(spark, backward):
         a = {r.row: r.v for r in got.select("row", "v").collect()}
         b = {r.row: r.v for r in want.collect()}
         assert a == b
+
+
+def test_shared_percentile_budget_keeps_results(spark, monkeypatch):
+    """Exact medians added to a shared aggregation stay within a total value
+    budget; columns beyond it take the chunked path with equal results."""
+    from washframe.operators import outliers, quantiles
+    from washframe.plans.cleaning import CleaningOptions, clean_data
+    rng = np.random.default_rng(21)
+    n = 2000
+    pdf = pd.DataFrame({f"c{i}": rng.standard_t(2, n) * (i + 1) for i in range(4)})
+    pdf.loc[rng.random(n) < 0.1, "c1"] = np.nan
+    df = spark.createDataFrame(pdf)
+
+    def run():
+        a = outliers.outliers_to_median(df).toPandas()
+        b = clean_data(df, CleaningOptions(materialize="none")).df.toPandas()
+        return a.sort_values(list(a.columns)).reset_index(drop=True), \
+            b.sort_values(list(b.columns)).reset_index(drop=True)
+
+    wide_a, wide_b = run()
+    monkeypatch.setattr(quantiles, "DIRECT_TOTAL_MAX", n + 10)   # one column per aggregation
+    assert quantiles.direct_budget([n, n, n]) == [True, False, False]
+    tight_a, tight_b = run()
+    pd.testing.assert_frame_equal(wide_a, tight_a)
+    pd.testing.assert_frame_equal(wide_b, tight_b)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from washframe.functions.columns import columns_of_kind, q, sql_literal, value_of, value_sql
-from washframe.operators.quantiles import RESOLVE_MAX, column_quantiles
+from washframe.operators.quantiles import column_quantiles, direct_budget
 from washframe.operators.stats import fit_stats
 from washframe.report import StepLog
 
@@ -24,12 +24,13 @@ def _zscore_flags(df: DataFrame, cols: list[str], threshold: float, with_median:
     if not live:
         return st, {}
     exprs = []
+    direct = direct_budget([st[c]["count"] for c in live]) if with_median else [False] * len(live)
     for i, c in enumerate(live):
         v = value_sql(df, c)
         exprs.append(f"count_if(abs(({v} - {sql_literal(float(st[c]['mean']))}) / "
                      f"{sql_literal(float(st[c]['std_pop']))}) > {sql_literal(float(threshold))}) AS o{i}")
-        # One exact percentile map per column, bounded by its count (<= RESOLVE_MAX).
-        if with_median and st[c]["count"] <= RESOLVE_MAX:
+        # One exact percentile map per column, bounded by its count and a total.
+        if direct[i]:
             exprs.append(f"percentile(CAST({v} AS DOUBLE), 0.5D) AS p{i}")
     row = df.groupBy().agg(*[F.expr(e) for e in exprs]).collect()[0]
     for i, c in enumerate(live):

@@ -33,6 +33,19 @@ BROADCAST_TARGETS = 200_000  # target rows broadcast to the scan; beyond, a shuf
 MAX_ROUNDS = 12
 
 
+def direct_budget(counts: list[int]) -> list[bool]:
+    """Which columns may add an exact ``percentile`` to one shared aggregation:
+    each holds at most RESOLVE_MAX values and, in order, their total stays within
+    DIRECT_TOTAL_MAX (all value maps of a global aggregation meet in one task).
+    The others go through ``column_quantiles``, which chunks them."""
+    out, total = [], 0
+    for n in counts:
+        ok = n is not None and n <= RESOLVE_MAX and total + n <= DIRECT_TOTAL_MAX
+        total += n if ok else 0
+        out.append(ok)
+    return out
+
+
 class _Names:
     value = "_qv"
     idx = "_qi"

@@ -23,7 +23,7 @@ from washframe.functions.text import guarded_number
 from washframe.functions.text import strip_whitespace as strip_expr
 from washframe.functions.names import standard_names
 from washframe.operators import coerce, columns, missing, outliers, strings
-from washframe.operators.quantiles import RESOLVE_MAX, column_quantiles
+from washframe.operators.quantiles import column_quantiles, direct_budget
 from washframe.report import StepLog
 from washframe.session import checkpoint_root, drop_scratch, materialize, scratch_path
 
@@ -203,12 +203,14 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
         return v
 
     b_aggs = []
+    direct = (direct_budget([moments[c][0] for c in live]) if not opt.approx_quantiles
+              else [False] * len(live))
     for i, c in enumerate(live):
         cnt, mean, std = moments[c]
         v = value_of(df, c).cast("double")
         out = F.abs((v - F.lit(mean)) / F.lit(std)) > F.lit(threshold)
         b_aggs.append(F.count_if(out).alias(f"o{i}"))
-        if not opt.approx_quantiles and cnt <= RESOLVE_MAX:
+        if direct[i]:
             b_aggs.append(F.expr(f"percentile(CAST({value_sql(df, c)} AS DOUBLE), 0.5D)").alias(f"p{i}"))
     for i, c in enumerate(bounds_cols):
         v = final_value(c)
