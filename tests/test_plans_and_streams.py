@@ -151,3 +151,21 @@ def _staff_like_events(spark):
     return spark.createDataFrame(rows, "`Event ID` long, `Event Time` timestamp_ntz, `User-Id` string, "
                                        "`Event Type` string, `Value ($)` double, Source string, Empty string, "
                                        "`Signup Date` string, Props string")
+
+
+def test_dedup_stream_ntz_marker_ignores_session_time_zone(spark):
+    """Two wall times inside a daylight-saving gap stay distinct event times."""
+    df = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'2024-03-10 02:30:00.123456', 'a'), "
+                   "(TIMESTAMP_NTZ'2024-03-10 03:30:00.123456', 'a'), "
+                   "(TIMESTAMP_NTZ'2024-03-10 03:30:00.123456', 'a') AS t(ts, k)")
+    src = os.path.join(tempfile.mkdtemp(prefix="washframe-dst-"), "in")
+    df.write.parquet(src)
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        stream = dedup_stream(read_stream(spark, src, df.schema), "ts", subset=["k"])
+        out = run_to_table(stream, "dst", spark).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
+    assert sorted(str(r.ts) for r in out) == ["2024-03-10 02:30:00.123456", "2024-03-10 03:30:00.123456"]
+    assert list(out[0].asDict()) == ["ts", "k"]

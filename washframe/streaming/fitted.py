@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from washframe.functions.columns import columns_of_kind, dtype_of, is_numeric, q, value_of
+from washframe.functions.columns import columns_of_kind, dtype_of, ident, is_numeric, q, value_of
 from washframe.functions.names import standard_names
 from washframe.functions.text import null_if_token, strip_whitespace
 from washframe.operators import coerce, columns, missing
@@ -118,11 +118,16 @@ def dedup_stream(df: DataFrame, event_time: str, delay: str = "10 minutes",
     """Duplicate removal with state bounded by the watermark.
 
     Watermarks need a TIMESTAMP column; a TIMESTAMP_NTZ event time is read as
-    UTC into a helper column (a function of the event time, so it does not
-    change which rows are duplicates).
+    UTC into a helper column. It is built from the wall-clock fields, not by a
+    cast (a cast uses the session time zone, where a daylight-saving gap maps
+    two wall times to one instant), so it is one-to-one with the event time
+    and does not change which rows are duplicates.
     """
     if isinstance(df.schema[event_time].dataType, T.TimestampNTZType):
-        df = df.withColumn("_event_time", F.to_utc_timestamp(F.col(event_time).cast("timestamp"), "UTC"))
+        c = ident(event_time)
+        df = df.withColumn("_event_time", F.expr(
+            f"make_timestamp(year({c}), month({c}), day({c}), hour({c}), minute({c}), "
+            f"date_part('SECOND', {c}), 'UTC')"))
         marker = "_event_time"
     else:
         marker = event_time
