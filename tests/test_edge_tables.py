@@ -144,3 +144,18 @@ def test_require_columns(spark):
         columns.require_columns(df, ["b"])
     with pytest.raises(ValueError):
         columns.require_columns(df.where("a > 5"), ["a"])
+
+
+def test_format_parse_keeps_wall_time_in_any_session_zone(spark):
+    """A wall time inside a daylight-saving gap keeps its value; bad text is null."""
+    from washframe.operators.coerce import _has_zone, to_timestamp
+    assert not _has_zone("yyyy-MM-dd'T'HH:mm") and _has_zone("yyyy-MM-dd HH:mmXXX")
+    df = spark.createDataFrame([("2024-03-10 02:30:00",), ("10/03/2024 01:15:00",), ("junk",), (None,)], "s string")
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        got = [r.t for r in df.select(to_timestamp(df.s, ["yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss"])
+                                      .alias("t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
+    assert [str(t) if t else None for t in got] == ["2024-03-10 02:30:00", "2024-03-10 01:15:00", None, None]

@@ -8,6 +8,8 @@ columns are tried: numbers never become timestamps.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,31 @@ def to_number(c: Column) -> Column:
     return c.try_cast("double")
 
 
+_ZONE_LETTERS = re.compile(r"[VzOXxZ]")
+
+
+def _has_zone(fmt: str) -> bool:
+    """Whether a datetime pattern has zone / offset fields (outside quoted text)."""
+    return bool(_ZONE_LETTERS.search(re.sub(r"'[^']*'", "", fmt)))
+
+
+def _parse_one(c: Column, fmt: str) -> Column:
+    """One format. Without zone fields the text is a wall time and is parsed
+    straight to TIMESTAMP_NTZ (a parse in the session time zone would move a
+    wall time inside a daylight-saving gap); ``to_timestamp_ntz`` raises on bad
+    text under ANSI, so it runs only where ``try_to_timestamp`` succeeds (CASE
+    evaluates the branch lazily). With zone fields the text names an instant."""
+    lit = F.lit(fmt)
+    if _has_zone(fmt):
+        return F.try_to_timestamp(c, lit).cast("timestamp_ntz")
+    return F.when(F.try_to_timestamp(c, lit).isNotNull(), F.to_timestamp_ntz(c, lit))
+
+
 def to_timestamp(c: Column, formats: list[str] | None = None) -> Column:
     """Unparseable text -> null. ISO forms by default; ``formats`` are tried in order."""
     if not formats:
         return c.try_cast("timestamp_ntz")
-    tries = [F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
-    return F.coalesce(*tries)
+    return F.coalesce(*[_parse_one(c, fmt) for fmt in formats])
 
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
