@@ -15,10 +15,11 @@ its band is indexed with all its one-deletion variants instead: leaving out
 counts 0, an exact segment 1 and a one-deletion segment 2 towards ``H + 1``, so
 no linked pair is lost.
 
-Candidates are verified with whole sets. Members of a key are first compared
-with the key's least member; a key whose members are then all in one component
-needs nothing more for components, any other key has its remaining
-cross-component pairs verified. ``links`` gives all linked pairs instead.
+Candidates are verified with whole sets. For components, members of a key are
+compared with one member, and in further rounds those of its smaller components
+with another one; a key whose members are all in one component needs nothing
+more, and the pairs that are left across components are all verified. ``links``
+gives all linked pairs instead.
 
 Defined results: null or wordless texts have an empty set and no link; fewer
 than k words make one shingle of the whole sequence; equal sets form a class
@@ -42,6 +43,11 @@ from washframe.llm.words import gram_hashes, mix, signed, unsigned, word_hashes
 
 _U = np.uint64
 DELETION_PRICE = 4.0   # cost of one more index row, in candidate pairs
+MAX_STAR_ROUNDS = 8    # rounds of stars; the pairs that are left then are verified all the same
+STALLED = 0.7          # share of pairs left from one round to the next that ends the rounds
+FAMILY_KEY = 32        # members of a key from which it can make a family
+FAMILY_SHARE = 0.05    # pairs of its keys, of all its pairs, from which a family is dense
+FAMILY_BLOCK = 256
 KEY_MASK = _U((1 << 48) - 1)   # shorter keys take less room; pairs are verified anyway
 
 
@@ -55,6 +61,37 @@ def most_apart(s: int, t: int, num: int, den: int) -> int:
     return s + t - 2 * need if need <= min(s, t) else -1
 
 
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least vertex that each of n vertices reaches by the edges (i, j)."""
+    head = np.arange(n)
+    while True:
+        low = np.minimum(head[i], head[j])
+        nxt = head.copy()
+        np.minimum.at(nxt, i, low)
+        np.minimum.at(nxt, j, low)
+        nxt = nxt[nxt]
+        if (nxt == head).all():
+            return head
+        head = nxt
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all sets of b."""
+    rows = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    names, col, seen = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    keep = seen[col] > 1
+    order = np.argsort(col[keep], kind="stable")
+    rows, col = rows[keep][order], col[keep][order]
+    _, col = np.unique(col, return_inverse=True)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        x, y = np.searchsorted(col, [lo, lo + 4096])
+        hits = np.zeros((len(a) + len(b), 4096), dtype=np.float32)
+        hits[rows[x:y], col[x:y] - lo] = 1
+        out += hits[:len(a)] @ hits[len(a):].T
+    return out.astype(np.int64)
+
+
 class Bands:
     """Size bands and the number of segments of each band's scheme."""
 
@@ -210,6 +247,36 @@ def _band_column(bands: Bands):
     return F.size(F.filter(F.array(*[F.lit(x) for x in bands.starts]), lambda x: x <= F.col("n")))
 
 
+def _blocks_of(column, r: int) -> list[np.ndarray]:
+    """The sets of row r of an Arrow column of lists of lists."""
+    inner, outer = column.values, column.offsets.to_numpy()
+    values, offs = unsigned(inner.values.to_numpy()), inner.offsets.to_numpy()
+    return [values[offs[i]:offs[i + 1]] for i in range(outer[r], outer[r + 1])]
+
+
+def _family_rows(num: int, den: int):
+    """Rows (docs, sets, other docs, other sets) of two blocks of a family: an edge
+    to the least document of each group that their linked pairs connect."""
+    def run(batches):
+        for batch in batches:
+            us, vs = [], []
+            for r in range(len(batch)):
+                ids = np.concatenate([np.array(batch.column(c)[r].as_py(), dtype=np.int64) for c in (0, 2)])
+                a, b = _blocks_of(batch.column(1), r), _blocks_of(batch.column(3), r)
+                both = common_counts(a, b)
+                sizes = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both
+                i, j = np.nonzero(den * both >= num * sizes)
+                order = np.argsort(ids, kind="stable")
+                place = np.argsort(order, kind="stable")
+                head = spanning(len(ids), place[i], place[j + len(a)])
+                us.append(ids[order])
+                vs.append(ids[order][head])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
+    return run
+
+
 class JaccardJoin:
     """Classes, links and components of documents whose shingle sets are alike.
 
@@ -342,30 +409,92 @@ class JaccardJoin:
         return out
 
     def class_components(self) -> DataFrame:
-        """(vertex, component) of the representatives that link with another."""
+        """(vertex, component) of the representatives that link with another.
+
+        Rounds of stars: every key compares one member with those that are not yet
+        in its component. A near-copy family grows together in a few rounds, so the
+        pairs that are left between components, all of which are verified at the
+        end, are few."""
         members = self._candidate_keys()
         star = (members.where("doc <> head")
                 .select(F.least("doc", "head").alias("u"), F.greatest("doc", "head").alias("v")).distinct())
-        star = store(star, "jaccard-star")
-        first = self._verify(star)
-        comps = store(connected_components(first), "jaccard-comps")
-        placed = (members.join(comps, members["doc"] == comps["vertex"], "left")
-                  .select("key", "doc", "low", "cut", F.coalesce("component", "doc").alias("comp")))
-        open_keys = (placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-                                               F.count("*").alias("g"))
-                     .where("c0 <> c1 AND g > 2").select("key"))
-        rest = store(placed.join(open_keys, "key"), "jaccard-rest")
-        pairs = (rest.alias("a").join(rest.alias("b"), "key")
+        tested = store(star, "jaccard-star")
+        links = self._verify(tested)
+        left = None
+        for turn in range(MAX_STAR_ROUNDS):
+            comps = store(connected_components(links), "jaccard-comps")
+            placed = (members.join(comps, members["doc"] == comps["vertex"], "left")
+                      .select("key", "doc", "low", "cut", F.coalesce("component", "doc").alias("comp")))
+            sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("g"))
+            sizes = sizes.groupBy("key").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("g2"),
+                                             F.max(F.struct("g", "comp")).alias("most"))
+            open_keys = sizes.where("g2 < g * g AND g > 2").select("key", F.col("most.comp").alias("most"),
+                                                                  ((F.col("g") * F.col("g") - F.col("g2")) / 2).alias("cross"))
+            rest = store(placed.join(open_keys, "key"), "jaccard-rest")
+            before, left = left, rest.select("key", "cross").distinct().agg(F.sum("cross")).first()[0] or 0
+            if left <= rest.count() or (before is not None and left > STALLED * before):
+                break
+            # the next centre of a key: a member of its largest component, another each round
+            centre = rest.where("comp = most AND NOT low AND NOT cut").groupBy("key").agg(
+                F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc")).alias("c")).select(
+                "key", F.col("c.doc").alias("centre"))
+            star = (rest.where("comp <> most").join(centre, "key")
+                    .select(F.least("doc", "centre").alias("u"), F.greatest("doc", "centre").alias("v")).distinct())
+            star = store(star.join(tested, ["u", "v"], "left_anti"), "jaccard-star")
+            more = self._verify(star)
+            links = store(comps.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(more),
+                          "jaccard-links")
+            tested = store(tested.union(star), "jaccard-tested")
+            forget(comps, rest, star, more)
+        dense, sparse = self._families(rest)
+        pairs = (sparse.alias("a").join(sparse.alias("b"), "key")
                  .where("a.doc < b.doc AND a.comp <> b.comp AND NOT (a.low AND b.low) AND NOT (a.cut AND b.cut)")
                  .select(F.col("a.doc").alias("u"), F.col("b.doc").alias("v")).distinct()
-                 .join(star, ["u", "v"], "left_anti"))
+                 .join(tested, ["u", "v"], "left_anti"))
         pairs = store(pairs, "jaccard-pairs")
-        second = self._verify(pairs)
-        out = connected_components(comps.select(F.col("vertex").alias("u"), F.col("component").alias("v"))
-                                   .union(second))
-        forget(members, star, first, rest, pairs, second)
+        last = self._verify(pairs).union(self._verify_families(dense))
+        out = connected_components(comps.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(last))
+        forget(members, tested, links, comps, rest, pairs)
         return out
 
+    @staticmethod
+    def _families(rest: DataFrame):
+        """Split open keys: ``(dense, sparse)``. Members of keys with ``FAMILY_KEY`` or
+        more members form families; a family whose keys would make more pairs than
+        a share of all its pairs is dense (family, doc, blocks): all its pairs are
+        cheaper block by block. All other keys are sparse."""
+        big = rest.groupBy("key").agg(F.count("*").alias("g"), F.min("doc").alias("first"),
+                                      F.max("cross").alias("cross")).where(f"g >= {FAMILY_KEY}")
+        big = store(big, "jaccard-big")
+        of = rest.select("key", "doc").join(big, "key")
+        family = store(connected_components(of.select(F.col("doc").alias("u"), F.col("first").alias("v")))
+                       .withColumnRenamed("component", "family"), "jaccard-family")
+        size = family.groupBy("family").agg(F.count("*").alias("n"))
+        made = big.join(family, F.col("first") == F.col("vertex")).groupBy("family").agg(F.sum("cross").alias("pairs"))
+        heavy = size.join(made, "family").where(f"pairs >= {FAMILY_SHARE} * n * n")
+        heavy = store(heavy.select("family", F.ceil(F.col("n") / FAMILY_BLOCK).cast("int").alias("blocks")),
+                      "jaccard-heavy")
+        dense = store(family.join(heavy, "family").select("family", F.col("vertex").alias("doc_id"), "blocks"),
+                      "jaccard-dense")
+        done = big.join(dense, F.col("first") == F.col("doc_id")).select("key")
+        sparse = store(rest.join(done, "key", "left_anti"), "jaccard-sparse")
+        forget(big, family, heavy)
+        return dense, sparse
+
+    def _verify_families(self, dense: DataFrame) -> DataFrame:
+        """Links of all pairs of every dense family, by pairs of blocks of about
+        ``FAMILY_BLOCK`` sets; only connecting edges leave a task."""
+        ids = store(dense.select("doc_id").distinct(), "jaccard-ids")
+        sets = arrow_map(only_ids(self.texts, ids, ["doc_id"]), _set_rows(self.k), SETS_SCHEMA)
+        block = F.pmod(F.xxhash64("doc"), "blocks").cast("int")
+        blocks = (sets.join(dense, F.col("doc") == F.col("doc_id")).select("family", block.alias("b"), "doc", "s")
+                  .groupBy("family", "b").agg(F.collect_list(F.struct("doc", "s")).alias("m"))
+                  .select("family", "b", F.col("m.doc").alias("docs"), F.col("m.s").alias("sets")))
+        blocks = store(blocks, "jaccard-blocks")
+        met = (blocks.alias("x").join(blocks.alias("y"), "family").where("x.b <= y.b")
+               .select("x.docs", "x.sets", F.col("y.docs").alias("docs2"), F.col("y.sets").alias("sets2")))
+        return store(arrow_map(met, _family_rows(self.num, self.den), "u long, v long"), "jaccard-links")
+
     def components(self) -> DataFrame:
         """Per input row: doc_id, n_shingles, component_id (least linked doc_id)."""
         comps = self.class_components()
