@@ -38,7 +38,7 @@ def _norm(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, int):
-        return repr(float(v)) if False else str(v)
+        return str(v)
     return str(v)
 
 

@@ -80,7 +80,9 @@ def test_csv_round_trip_and_manifest(spark):
     man = {r.file_name: r for r in files.file_manifest(spark, os.path.join(d, "*.csv")).collect()}
     assert man["people.csv"].verdict == "ok" and len(man["people.csv"].sha256) == 64
     small = files.file_manifest(spark, os.path.join(d, "*.csv"), max_bytes=10).collect()[0]
-    assert small.verdict == "too_large" and small.sha256 is None
+    assert small.verdict == "too_large" and small.sha256 == man["people.csv"].sha256
+    wrong = files.file_manifest(spark, os.path.join(d, "*.csv"), expected_sha256={"people.csv": "0"}).collect()[0]
+    assert wrong.verdict == "checksum_mismatch"
     top = files.preview(load_table(spark, SF_SMALL, "orders"), ["o_orderkey"]).collect()
     assert len(top) == 5 and [r.o_orderkey for r in top] == sorted(r.o_orderkey for r in top)
 

@@ -32,11 +32,12 @@ NON_NUMBER_CHARS = r"[^0-9.\-]"
 
 INTEGER_TEXT_PATTERN = r"^\s*[-+]?[0-9]+\s*$"
 
-# Necessary shapes of any text a long / double cast can accept (digits, or the
-# inf / infinity / nan words in any case); checked first because a failed cast
-# is expensive (an exception per value).
-LONG_GUARD_PATTERN = r"^\s*[-+]?[0-9]"
-DOUBLE_GUARD_PATTERN = r"^\s*[-+]?([0-9]|\.[0-9]|(?i:inf|nan))"
+# The whole text of a plain number. A cast alone also takes suffixed literals
+# (``12D``, ``7F``), which are codes, not numbers; and a failed cast is expensive
+# (an exception per value), so the shape is checked first.
+LONG_GUARD_PATTERN = INTEGER_TEXT_PATTERN
+DOUBLE_GUARD_PATTERN = (r"^\s*[-+]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?"
+                        r"|(?i:inf|infinity|nan))\s*$")
 
 
 def guarded_number(c: Column, kind: str) -> Column:

@@ -9,8 +9,9 @@ storage partitions, no global sort), and consecutive numbers form batches of
 ``batch_tokens`` tokens.
 
 Tokens: the vocabulary's pre-tokens never cross white space, so a text's ids are
-its white-space-separated chunks' ids in order; each worker keeps the ids of the
-chunks that it has met, up to ``CACHE_CHUNKS``. A text with the control
+its white-space-separated chunks' ids in order, and a chunk of letters with marks
+behind it is the letters' ids and the marks'. Each worker keeps the ids of the
+chunks that it has met, about ``CACHE_CHUNKS``. A text with the control
 characters U+001C to U+001F, which Python splits at and the vocabulary does not,
 is encoded whole.
 
@@ -22,6 +23,7 @@ ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -33,7 +35,9 @@ from washframe.llm.common import ID_BROADCAST_ROWS, arrow_map, store
 
 LONGEST = 2048
 END_ID = 1
-CACHE_CHUNKS = 400_000     # chunks whose ids a worker keeps
+CACHE_CHUNKS = 1_200_000     # chunks whose ids a worker keeps
+_MARKS = ".,;:!?"
+_MARK_RUN = re.compile(r"[^\w\s][.,]\s|_[.,]\s")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _workers: dict[str, "ChunkEncoder"] = {}
 
@@ -45,37 +49,86 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return out + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def _apart(text: str) -> str:
+    """The text with commas and full stops behind a letter or number set apart,
+    which changes no pre-token; as it is if a mark may stand behind another mark."""
+    if _MARK_RUN.search(text):
+        return text
+    return text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+
+
 class ChunkEncoder:
     """Token ids of texts as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
+        import json
         import os
 
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)   # ids that end a word
+        if suffix:
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, encoded together and cut at the ids that end
+        a word."""
+        out = []
+        for lo in range(0, len(words), 2000):
+            part = words[lo:lo + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(part):
+                out += self._encode(part)
+                continue
+            raw, a = ids.tobytes(), 0
+            for b in ends.tolist():
+                out.append(raw[a:b])
+                a = b
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks: a plain word, or one and marks behind it, by its parts."""
+        known, plain, rest = self.known, {}, []
+        words = [c for c in chunks if c.isascii() and c.isalpha()]
+        known.update(zip(words, self._encode_words(words)))
+        for c in chunks:
+            if c in known:
+                continue
+            core = c.rstrip(_MARKS)
+            if core.isalpha() and core.lower().isalpha() and unicodedata.is_normalized("NFC", core):
+                plain[c] = core
+            else:
+                rest.append(c)
+        words = [w for w in set(plain.values()) if w not in known]
+        known.update(zip(words, self._encode_words(words)))
+        marks = list({c[len(w):] for c, w in plain.items()} - {""} - known.keys())
+        known.update(zip(rest + marks, self._encode(rest + marks)))
+        for c, w in plain.items():
+            if len(w) < len(c):
+                known[c] = known[w] + known[c[len(w):]]
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        known, out = self.known, [b""] * len(texts)
+        out = [b""] * len(texts)
         whole = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t)]
         for i, b in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = b
         odd = set(whole)
-        for i, text in enumerate(texts):
-            if i in odd:
-                continue
-            chunks = text.split()
-            new = [c for c in set(chunks) if c not in known]
-            if new:
-                if len(known) + len(new) > CACHE_CHUNKS:
-                    known.clear()
-                    new = list(set(chunks))
-                known.update(zip(new, self._encode(new)))
+        split = {i: _apart(t).split() for i, t in enumerate(texts) if i not in odd}
+        wanted = set().union(*split.values())
+        if len(self.known) > CACHE_CHUNKS:
+            self.known.clear()
+        self._learn(list(wanted - self.known.keys()))
+        known = self.known
+        for i, chunks in split.items():
             out[i] = b"".join([known[c] for c in chunks])
         return out
 

@@ -38,7 +38,8 @@ def line_data(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFram
 
 def group_mean_topn(df: DataFrame, x: str, y: str, n: int = TOP_GROUPS) -> DataFrame:
     """If x has more than ``n`` distinct values, keep rows of the ``n`` x values
-    with the largest mean(y) (ties: smaller x first); else all rows."""
+    with the largest mean(y) (ties: smaller x first; groups without a mean never
+    count among them); else all rows."""
     means = df.groupBy(q(x).alias("_x")).agg(F.avg(value_of(df, y)).alias("_m")) \
               .where(F.col("_x").isNotNull())
     # One top-k job (per-task top n+1, then a merge): n+1 rows answer both
@@ -46,7 +47,7 @@ def group_mean_topn(df: DataFrame, x: str, y: str, n: int = TOP_GROUPS) -> DataF
     top = means.orderBy(F.col("_m").desc_nulls_last(), F.col("_x").asc()).limit(n + 1).collect()
     if len(top) <= n:
         return df
-    return df.where(q(x).isin([r["_x"] for r in top[:n]]))
+    return df.where(q(x).isin([r["_x"] for r in top[:n] if r["_m"] is not None]))
 
 
 def bar_data(df: DataFrame, x: str, y: str, hue: str | None = None, n: int = TOP_GROUPS) -> DataFrame:
@@ -81,7 +82,9 @@ def histogram_data(df: DataFrame, x: str, bins: int | str = "auto", approx: bool
     st = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()[0]
     n, lo, hi = st["n"], st["lo"], st["hi"]
     if n == 0:
-        return df.sparkSession.createDataFrame([], "bin int, bin_low double, bin_high double, count long, density double")
+        none = df.limit(0).select(*([q(hue).alias(hue)] if hue else []))
+        return none.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("bin", "long"), ("bin_low", "double"), ("bin_high", "double"), ("count", "long"), ("density", "double"))])
     if bins == "auto":
         qs = exact_quantiles(df.select(v.alias("_v")), [], "_v", [0.25, 0.75], approx=approx,
                              max_group_size=n).collect()[0]
@@ -92,7 +95,7 @@ def histogram_data(df: DataFrame, x: str, bins: int | str = "auto", approx: bool
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / k
     norm = k / (hi - lo)
-    b = F.least(F.floor((v - F.lit(lo)) * F.lit(norm)), F.lit(k - 1)).cast("int")
+    b = F.least(F.floor((v - F.lit(lo)) * F.lit(norm)), F.lit(k - 1)).cast("long")
     if hue:
         counts = df.where(v.isNotNull()).groupBy(q(hue).alias(hue), b.alias("bin")) \
                    .agg(F.count(F.lit(1)).alias("count"))
@@ -103,9 +106,13 @@ def histogram_data(df: DataFrame, x: str, bins: int | str = "auto", approx: bool
              .otherwise(F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_high"),
             "count", (F.col("count") / (F.sum("count").over(per) * F.lit(width))).alias("density"))
     counts = df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    # The bin axis is derived from the data (k from its statistics), k rows.
-    axis = df.sparkSession.range(k).select(F.col("id").cast("int").alias("bin"))
-    out = axis.join(F.broadcast(counts) if k <= SMALL_SIDE_ROWS else counts, on="bin", how="left")
+    # The bin axis is derived from the data (k from its statistics), k rows; a
+    # heavy tail can ask for more bins than rows, then only occupied bins are listed.
+    if k <= max(SMALL_SIDE_ROWS, n):
+        axis = df.sparkSession.range(k).select(F.col("id").alias("bin"))
+        out = axis.join(F.broadcast(counts) if k <= SMALL_SIDE_ROWS else counts, on="bin", how="left")
+    else:
+        out = counts
     cnt = F.coalesce(F.col("count"), F.lit(0)).cast("long")
     return out.select("bin",
                       (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_low"),
@@ -153,13 +160,14 @@ def box_outliers(df: DataFrame, x: str, y: str, whis: float = 1.5, approx: bool
 
 
 def kde_data(df: DataFrame, y: str, by: str | None = None, gridsize: int = 100, cut: float = 2.0,
-             bins: int = 512) -> DataFrame:
+             fine: float = 8.0) -> DataFrame:
     """Gaussian KDE (Scott bandwidth h = sample std * n^(-1/5)) of y per group on
     ``gridsize`` points over [min - cut*h, max + cut*h].
 
-    Rows are first counted into ``bins`` equal-width bins per group; the grid
-    is then evaluated against bin centres (bins x grid per group, never rows x
-    grid). Output: group, point index, grid value, density.
+    Rows are first counted into bins of width h / ``fine`` per group, so the error
+    does not depend on the range or tails; every occupied bin, at its mean, then adds
+    to the grid points within 8.5 h (beyond that a term is below 1e-15). Output:
+    group, point index, grid value, density.
     """
     v = value_of(df, y).cast("double")
     gcol = q(by) if by else F.lit("all")
@@ -170,15 +178,21 @@ def kde_data(df: DataFrame, y: str, by: str | None = None, gridsize: int = 100,
            .where(F.col("_h") > 0).persist()
     groups = st.count()
     span = F.col("_hi") - F.col("_lo")
-    b = F.least(F.floor((F.col("_y") - F.col("_lo")) / span * F.lit(bins)), F.lit(bins - 1)).cast("int")
+    wide = F.col("_h") / F.lit(float(fine))
+    b = F.floor((F.col("_y") - F.col("_lo")) / wide)
     binned = (base.join(_maybe_broadcast(st, groups), on="_g")
-              .groupBy("_g", b.alias("_b")).agg(F.count(F.lit(1)).alias("_w")))
+              .groupBy("_g", b.alias("_b")).agg(F.count(F.lit(1)).alias("_w"), F.avg("_y").alias("_c")))
     binned = binned.join(_maybe_broadcast(st, groups), on="_g")
-    centre = F.col("_lo") + (F.col("_b") + F.lit(0.5)) * span / F.lit(bins)
     start = F.col("_lo") - F.lit(cut) * F.col("_h")
     step = (span + F.lit(2 * cut) * F.col("_h")) / F.lit(gridsize - 1)
-    pts = binned.select("_g", "_n", "_h", "_w", centre.alias("_c"), start.alias("_s"), step.alias("_st"),
-                        F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
+    near = binned.select("_g", "_n", "_h", "_w", "_c", start.alias("_s"), step.alias("_st"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("_c") - 8.5 * F.col("_h") - F.col("_s")) / F.col("_st"))).cast("int")
+    last = F.least(F.lit(gridsize - 1), F.floor((F.col("_c") + 8.5 * F.col("_h") - F.col("_s")) / F.col("_st"))).cast("int")
+    # a term of weight 0 per point keeps grid points that no bin reaches
+    blank = st.select("_g", "_n", "_h", F.lit(0).cast("long").alias("_w"), F.col("_lo").alias("_c"),
+                      start.alias("_s"), step.alias("_st"),
+                      F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
+    pts = near.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("point")).unionByName(blank)
     g = F.col("_s") + F.col("point") * F.col("_st")
     contrib = F.col("_w") * F.exp(F.lit(-0.5) * F.pow((g - F.col("_c")) / F.col("_h"), 2))
     dens = pts.groupBy("_g", "point").agg(
@@ -191,9 +205,9 @@ def kde_data(df: DataFrame, y: str, by: str | None = None, gridsize: int = 100,
 
 
 def violin_data(df: DataFrame, x: str, y: str, gridsize: int = 100, cut: float = 2.0,
-                bins: int = 512) -> DataFrame:
+                fine: float = 8.0) -> DataFrame:
     """Density of y per x (the violin outline)."""
-    return kde_data(df, y, x, gridsize, cut, bins)
+    return kde_data(df, y, x, gridsize, cut, fine)
 
 
 def pair_columns(df: DataFrame, max_cols: int = PAIR_COLUMNS) -> list[str]:
@@ -206,7 +220,7 @@ def pair_data(df: DataFrame, max_cols: int = PAIR_COLUMNS, hue: str | None = Non
     ``hue`` is kept only when it has fewer than 10 distinct values."""
     cols = pair_columns(df, max_cols)
     if not cols:
-        raise ValueError("No numeric columns available for pair plot")
+        raise ValueError("a pair plot needs a numeric column")
     if hue and df.select(hue).distinct().limit(10).count() >= 10:
         hue = None
     items = F.array(*[F.struct(F.lit(a).alias("x_name"), F.lit(b).alias("y_name"),
@@ -224,19 +238,22 @@ def pair_diagonal(df: DataFrame, max_cols: int = PAIR_COLUMNS, gridsize: int = 1
     return kde_data(long_df, "value", "column_name", gridsize=gridsize)
 
 
-PLOT_TYPES = ("line", "bar", "scatter", "histogram", "heatmap")
+# chart -> (table of the chart, whether it needs y)
+_PLOTS = {
+    "line": (line_data, True),
+    "bar": (bar_data, True),
+    "scatter": (scatter_data, True),
+    "histogram": (lambda df, x, y: histogram_data(df, x), False),
+    "heatmap": (lambda df, x, y: heatmap_data(df), False),
+}
+PLOT_TYPES = tuple(_PLOTS)
 
 
 def create_plot(df: DataFrame, plot_type: str, x_column: str, y_column: str | None = None) -> DataFrame:
     """Chart table by plot type; the heatmap ignores x and y."""
-    if plot_type == "line":
-        return line_data(df, x_column, y_column or "")
-    if plot_type == "bar":
-        return bar_data(df, x_column, y_column or "")
-    if plot_type == "scatter":
-        return scatter_data(df, x_column, y_column or "")
-    if plot_type == "histogram":
-        return histogram_data(df, x_column)
-    if plot_type == "heatmap":
-        return heatmap_data(df)
-    raise ValueError(f"Unsupported plot type: {plot_type}")
+    if plot_type not in _PLOTS:
+        raise ValueError(f"no chart named {plot_type!r}; choose one of {', '.join(_PLOTS)}")
+    table, needs_y = _PLOTS[plot_type]
+    if needs_y and not y_column:
+        raise ValueError(f"a {plot_type} chart needs a y column")
+    return table(df, x_column, y_column)

@@ -8,6 +8,7 @@ columns are tried: numbers never become timestamps.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -16,12 +17,30 @@ from pyspark.sql import functions as F
 from washframe.functions.columns import columns_of_kind, q
 from washframe.functions.text import (DOUBLE_GUARD_PATTERN, INTEGER_TEXT_PATTERN, NUMBER_TEXT_PATTERN,
                                      number_from_text)
+from washframe.functions.text import strip_whitespace as strip_expr
 from washframe.report import StepLog
 
 
+BOOLEAN_TEXT_PATTERN = r"^\s*(?i:true|false)\s*$"
+# A time of day with a zone or offset behind it names an instant.
+ZONED_TEXT_PATTERN = r":[0-9.]+\s*(Z|UTC|[-+][0-9]{1,2}(:?[0-9]{2})?)\s*$"
+# Tried in this order for a column whose format is not given; ISO comes first.
+DATE_FORMATS = ("M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d", "M/d/yyyy H:mm:ss",
+                "d/M/yyyy H:mm:ss", "M/d/yyyy H:mm", "d/M/yyyy H:mm", "d.M.yyyy H:mm:ss", "MMM d, yyyy", "d MMM yyyy")
+
+
 def to_number(c: Column) -> Column:
-    """Unparseable text -> null."""
-    return c.try_cast("double")
+    """Unparseable text -> null; only whole numbers in plain notation parse."""
+    return F.when(c.rlike(DOUBLE_GUARD_PATTERN), c.try_cast("double"))
+
+
+def _utc_wall(instant: Column) -> Column:
+    """An instant as its wall time in UTC, whatever the session's time zone."""
+    micros = F.unix_micros(instant)
+    day = F.floor(micros / F.lit(86_400_000_000)).cast("int")
+    secs = ((micros - day.cast("long") * F.lit(86_400_000_000)).cast("decimal(20,0)") / F.lit(1_000_000)).cast(
+        "decimal(18,6)")
+    return F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(days=day, secs=secs)
 
 
 _ZONE_LETTERS = re.compile(r"[VzOXxZ]")
@@ -40,14 +59,16 @@ def _parse_one(c: Column, fmt: str) -> Column:
     evaluates the branch lazily). With zone fields the text names an instant."""
     lit = F.lit(fmt)
     if _has_zone(fmt):
-        return F.try_to_timestamp(c, lit).cast("timestamp_ntz")
+        return _utc_wall(F.try_to_timestamp(c, lit))
     return F.when(F.try_to_timestamp(c, lit).isNotNull(), F.to_timestamp_ntz(c, lit))
 
 
 def to_timestamp(c: Column, formats: list[str] | None = None) -> Column:
-    """Unparseable text -> null. ISO forms by default; ``formats`` are tried in order."""
+    """Unparseable text -> null. ISO forms by default; ``formats`` are tried in order.
+    Text with an offset or zone becomes its UTC wall time."""
     if not formats:
-        return c.try_cast("timestamp_ntz")
+        return F.when(c.rlike(ZONED_TEXT_PATTERN), _utc_wall(c.try_cast("timestamp"))).otherwise(
+            c.try_cast("timestamp_ntz"))
     return F.coalesce(*[_parse_one(c, fmt) for fmt in formats])
 
 
@@ -88,6 +109,7 @@ def detection_aggs(cols: list[str], clean_numbers: bool = False,
                        & as_num.isNotNull())
              .alias(f"{prefix}d{i}"),
             F.count_if(nn & to_timestamp(v, formats).isNotNull()).alias(f"{prefix}t{i}"),
+            F.count_if(nn & v.rlike(BOOLEAN_TEXT_PATTERN)).alias(f"{prefix}b{i}"),
         ]
     return exprs
 
@@ -98,7 +120,7 @@ def decide_types(row, cols: list[str], min_ratio: float = 1.0, clean_numbers: bo
     (or ``min_ratio`` of them) must parse."""
     out = {}
     for i, c in enumerate(cols):
-        n, ints, nums, times = (row[f"{prefix}{k}{i}"] for k in "nidt")
+        n, ints, nums, times, truths = (row[f"{prefix}{k}{i}"] for k in "nidtb")
         need = n * min_ratio
         if n == 0:
             out[c] = "string"
@@ -108,6 +130,8 @@ def decide_types(row, cols: list[str], min_ratio: float = 1.0, clean_numbers: bo
             out[c] = "double"
         elif times >= need and times > 0:
             out[c] = "timestamp"
+        elif truths >= need and truths > 0:
+            out[c] = "boolean"
         else:
             out[c] = "string"
     return out
@@ -115,7 +139,7 @@ def decide_types(row, cols: list[str], min_ratio: float = 1.0, clean_numbers: bo
 
 def detect_types(df: DataFrame, cols: list[str] | None = None, min_ratio: float = 1.0,
                  clean_numbers: bool = False, formats: list[str] | None = None) -> dict[str, str]:
-    """Per text column the detected type: ``long``, ``double``, ``timestamp`` or ``string``."""
+    """Per text column the detected type: ``long``, ``double``, ``timestamp``, ``boolean`` or ``string``."""
     text = columns_of_kind(df, "string")
     cols = [c for c in (cols if cols is not None else text) if c in text]
     if not cols:
@@ -133,6 +157,8 @@ def converted(v: Column, kind: str, clean_numbers: bool = False,
         return number_from_text(v) if clean_numbers else to_number(v)
     if kind == "timestamp":
         return to_timestamp(v, formats)
+    if kind == "boolean":
+        return v.try_cast("boolean")
     return v
 
 
@@ -153,6 +179,8 @@ def detect_and_convert(df: DataFrame, cols: list[str] | None = None, min_ratio:
                 log.add(f"converted_{c}_to_numeric", columns=[c])
             elif kind == "timestamp":
                 log.add(f"converted_{c}_to_datetime", columns=[c])
+            elif kind == "boolean":
+                log.add(f"converted_{c}_to_boolean", columns=[c])
     return convert_types(df, types, clean_numbers, formats)
 
 
@@ -164,11 +192,41 @@ def date_like_columns(df: DataFrame, date_columns: list[str] | None = None) -> l
     return named + extra
 
 
+def fit_date_formats(df: DataFrame, cols: list[str], formats: list[str] | None = None,
+                     strip: bool = False) -> dict[str, tuple[list[str] | None, int]]:
+    """Per text column the formats that parse it (None: ISO) and the number of cells
+    they do not parse. One aggregation counts every candidate's successes; the
+    candidate that parses most cells wins (earlier ones on a tie), so month-first
+    or day-first is decided by the values. A column that nothing parses is left
+    out. ``formats`` given are used together, as they are."""
+    if not cols:
+        return {}
+    tried = [list(formats)] if formats else [None, *[[f] for f in DATE_FORMATS]]
+    aggs = []
+    for i, c in enumerate(cols):
+        v = strip_expr(q(c)) if strip else q(c)
+        aggs.append(F.count(v).alias(f"n{i}"))
+        aggs += [F.count(to_timestamp(v, f)).alias(f"f{i}_{j}") for j, f in enumerate(tried)]
+    row = df.agg(*aggs).collect()[0]
+    out = {}
+    for i, c in enumerate(cols):
+        hits = [row[f"f{i}_{j}"] for j in range(len(tried))]
+        if max(hits) > 0:
+            out[c] = (tried[hits.index(max(hits))], row[f"n{i}"] - max(hits))
+    return out
+
+
 def parse_dates(df: DataFrame, date_columns: list[str] | None = None,
-                formats: list[str] | None = None, log: StepLog | None = None) -> DataFrame:
-    """Text columns named like dates (or listed) become timestamps; bad cells null."""
-    cols = date_like_columns(df, date_columns)
+                formats: list[str] | None = None, log: StepLog | None = None,
+                fitted: dict[str, tuple[list[str] | None, int]] | None = None) -> DataFrame:
+    """Text columns named like dates (or listed) become timestamps; cells that the
+    column's format does not parse become null (counted in the log); a column
+    that no format parses stays text. ``fitted`` skips the fit."""
+    cols = [c for c in date_like_columns(df, date_columns)]
+    fitted = fit_date_formats(df, cols, formats) if fitted is None else fitted
     if log is not None:
         for c in cols:
-            log.add(f"parsed_{c}_as_datetime", columns=[c])
-    return coerce_datetime(df, cols, formats)
+            if c in fitted:
+                log.add(f"parsed_{c}_as_datetime", columns=[c], detail=f"{fitted[c][1]} cells not parsed")
+    return df.select(*[to_timestamp(q(c), fitted[c][0]).alias(c) if c in cols and c in fitted else q(c)
+                       for c in df.columns])

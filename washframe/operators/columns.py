@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from washframe.functions.columns import columns_of_kind, missing_sql, q, value_sql
-from washframe.functions.names import standard_names
+from washframe.functions.names import standard_name_list
 from washframe.report import StepLog
 
 
 def standardize_columns(df: DataFrame, log: StepLog | None = None) -> DataFrame:
     """snake_case names (see ``functions.names``); collisions get ``_2``, ``_3``."""
-    mapping = standard_names(df.columns)
+    names = standard_name_list(df.columns)
     if log is not None:
         log.add("standardized_column_names",
-                detail=";".join(f"{a}->{b}" for a, b in mapping.items() if a != b),
-                columns=list(mapping.values()))
-    return df.select(*[q(old).alias(new) for old, new in mapping.items()])
+                detail=";".join(f"{a}->{b}" for a, b in zip(df.columns, names) if a != b),
+                columns=names)
+    # by position: names that repeat or differ in case only cannot be looked up
+    return df.toDF(*names)
 
 
 def fit_null_counts(df: DataFrame, cols: list[str] | None = None) -> tuple[int, dict[str, int]]:
@@ -103,9 +104,9 @@ def require_columns(df: DataFrame, columns: list[str], allow_empty: bool = False
     """Raise on unknown columns or (unless allowed) an empty table; else return ``df``."""
     unknown = [c for c in columns if c and c not in df.columns]
     if unknown:
-        raise ValueError(f"Column '{unknown[0]}' not found in dataframe")
+        raise ValueError(f"no such column: {unknown[0]!r}")
     if not allow_empty and df.isEmpty():
-        raise ValueError("Cannot use an empty dataframe")
+        raise ValueError("the table has no rows")
     return df
 
 

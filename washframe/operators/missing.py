@@ -84,12 +84,15 @@ def fill_mean(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def column_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
     """Most frequent non-missing value per column; ties -> smallest value."""
     out: dict[str, object] = {}
-    groups: dict[str, list[str]] = {"double": [], "string": []}
+    # integers are counted as integers: as doubles, large ones would merge
+    groups: dict[str, list[str]] = {"double": [], "bigint": [], "string": []}
     others = []
     for c in cols:
         dt = dtype_of(df, c)
-        if is_numeric(dt):
+        if isinstance(dt, (T.DoubleType, T.FloatType)):
             groups["double"].append(c)
+        elif isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            groups["bigint"].append(c)
         elif is_string(dt):
             groups["string"].append(c)
         else:
@@ -120,13 +123,7 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
 def fill_mode(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Missing -> most frequent value (ties: smallest). Default: string columns."""
     cols = cols if cols is not None else columns_of_kind(df, "string")
-    modes = column_modes(df, cols)
-    for c in cols:
-        if modes[c] is not None and is_numeric(dtype_of(df, c)) and \
-                not isinstance(dtype_of(df, c), (T.DoubleType, T.FloatType)):
-            if float(modes[c]).is_integer():
-                modes[c] = int(modes[c])
-    return _apply_fills(df, modes)
+    return _apply_fills(df, column_modes(df, cols))
 
 
 def fill_constant(df: DataFrame, strategy: str | float = "0",

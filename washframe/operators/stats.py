@@ -9,6 +9,7 @@ Exact quantiles come from ``quantiles.column_quantiles`` (no single-task merge).
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,9 @@ def fit_stats(df: DataFrame, cols: list[str], which=("count", "mean", "std_pop",
     row = df.groupBy().agg(*[F.expr(e) for e in exprs]).collect()[0]
     out = ColumnStats(rows=row["__rows"])
     for i, c in enumerate(cols):
-        out.stats[c] = {name: row[f"{name}__{i}"] for name in which}
+        got = {name: row[f"{name}__{i}"] for name in which}
+        # decimals meet doubles in the fitted expressions
+        out.stats[c] = {k: float(v) if isinstance(v, Decimal) else v for k, v in got.items()}
         if missing:
             out.stats[c]["missing"] = row[f"missing__{i}"]
     if quantiles and cols:

@@ -40,6 +40,8 @@ class CleaningOptions:
     remove_constant_columns: bool = True
     custom_na_values: list[str] | None = None
     date_columns: list[str] | None = None
+    # Datetime patterns of the date columns; by default chosen per column.
+    date_formats: list[str] | None = None
     outlier_threshold: float | None = 3.0
     # Row order for forward filling date columns (names before or after renaming).
     order_by: list[str] | None = None
@@ -59,9 +61,19 @@ class CleaningResult:
     rows_removed: int = 0
     missing_values_filled: int = 0
     columns_renamed: dict[str, str] = field(default_factory=dict)
+    # Missing cells per (renamed) column after NA tokens became null, before any step.
+    nulls_before: dict[str, int] = field(default_factory=dict)
     # Scratch tables in the shared checkpoint folder that ``df`` reads from.
     scratch: list[str] = field(default_factory=list)
 
+    def dtypes(self) -> dict[str, str]:
+        """Types of the cleaned columns."""
+        return dict(self.df.dtypes)
+
+    def nulls_after(self) -> dict[str, int]:
+        """Missing cells per cleaned column (one aggregation over the result)."""
+        return columns.fit_null_counts(self.df)[1]
+
     def release(self) -> None:
         """Delete the plan's scratch tables; call once ``df`` has been written
         or is no longer needed (``df`` cannot be read afterwards)."""
@@ -98,20 +110,22 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
     opt = options or CleaningOptions()
     log = StepLog()
     tokens = opt.custom_na_values if opt.fill_missing else None
-    # Missing counts are taken once, after NA tokens are read as null (the
-    # replacement keeps row and column counts).
-    rows, before = columns.fit_null_counts(missing.replace_na_tokens(df, tokens) if tokens else df)
-    result = CleaningResult(df=df, log=log, original_shape=(rows, len(df.columns)))
     order_by = list(opt.order_by or [])
     partition_by = list(opt.partition_by or [])
-
-    if opt.standardize_columns:
+    width = len(df.columns)
+    if opt.standardize_columns:     # first: names may differ in case only
         mapping = standard_names(df.columns)
-        result.columns_renamed = mapping
+        result_names = mapping
         df = columns.standardize_columns(df, log=log)
         order_by = [mapping.get(c, c) for c in order_by]
         partition_by = [mapping.get(c, c) for c in partition_by]
-        before = {mapping[c]: m for c, m in before.items()}
+    else:
+        result_names = {}
+    # Missing counts are taken once, after NA tokens are read as null (the
+    # replacement keeps row and column counts).
+    rows, before = columns.fit_null_counts(missing.replace_na_tokens(df, tokens) if tokens else df)
+    result = CleaningResult(df=df, log=log, original_shape=(rows, width),
+                            columns_renamed=result_names, nulls_before=dict(before))
 
     if opt.fill_missing:
         if tokens:
@@ -179,6 +193,8 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
                 log.add(f"converted_{c}_to_numeric", columns=[c])
             elif kind == "timestamp":
                 log.add(f"converted_{c}_to_datetime", columns=[c])
+            elif kind == "boolean":
+                log.add(f"converted_{c}_to_boolean", columns=[c])
         df = coerce.convert_types(df, types)
     else:
         types = {}
@@ -191,6 +207,8 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
     live = [c for c in columns_of_kind(df, "numeric") if c in moments and moments[c][2]]
     final_text = columns_of_kind(df, "string")
     date_cols = coerce.date_like_columns(df, opt.date_columns) if opt.fix_dates else []
+    date_formats = coerce.fit_date_formats(df, date_cols, opt.date_formats, strip=opt.strip_whitespace)
+    date_cols = [c for c in date_cols if c in date_formats]
     bounds_cols = ([f.name for f in df.schema.fields if columns._orderable(f.dataType)]
                    if opt.remove_constant_columns else [])
 
@@ -199,7 +217,7 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
         if c in final_text and opt.strip_whitespace:
             v = strip_expr(v)
         if c in date_cols:
-            v = coerce.to_timestamp(v)
+            v = coerce.to_timestamp(v, date_formats[c][0])
         return v
 
     b_aggs = []
@@ -238,7 +256,7 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
     if opt.strip_whitespace:
         df = strings.strip_whitespace(df, log=log)
     if opt.fix_dates:
-        df = coerce.parse_dates(df, date_columns=opt.date_columns, log=log)
+        df = coerce.parse_dates(df, date_columns=opt.date_columns, log=log, fitted=date_formats)
     if opt.remove_constant_columns:
         const = []
         for i, c in enumerate(bounds_cols):

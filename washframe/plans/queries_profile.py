@@ -168,10 +168,10 @@ def _hist_sql(table, col):
 w AS (SELECT *, (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * (q3 - q1) * pow(n, -1.0 / 3.0) AS fd FROM s),
 p AS (SELECT n, lo, hi, CAST(ceil((hi - lo) / CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END)
                             AS INTEGER) AS k FROM w),
-b AS (SELECT CAST(least(floor((CAST({col} AS DOUBLE) - lo) * (k / (hi - lo))), k - 1) AS INTEGER) AS bin,
+b AS (SELECT CAST(least(floor((CAST({col} AS DOUBLE) - lo) * (k / (hi - lo))), k - 1) AS BIGINT) AS bin,
              count(*) AS cnt
       FROM {table}, p WHERE {col} IS NOT NULL GROUP BY 1)
-SELECT CAST(r.bin AS INTEGER) AS bin, lo + r.bin * ((hi - lo) / k) AS bin_low,
+SELECT CAST(r.bin AS BIGINT) AS bin, lo + r.bin * ((hi - lo) / k) AS bin_low,
        CASE WHEN r.bin = k - 1 THEN hi ELSE lo + (r.bin + 1) * ((hi - lo) / k) END AS bin_high,
        coalesce(b.cnt, 0) AS count, coalesce(b.cnt, 0) / (n * ((hi - lo) / k)) AS density
 FROM p, range(0, p.k) AS r(bin) LEFT JOIN b ON b.bin = r.bin""", ["bin_low", "bin_high", "density"])
@@ -188,7 +188,7 @@ _HIST_HUE_SQL = sql_rounded("""WITH s AS (
 w AS (SELECT *, (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * (q3 - q1) * pow(n, -1.0 / 3.0) AS fd FROM s),
 p AS (SELECT lo, hi, CAST(ceil((hi - lo) / CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END)
                         AS INTEGER) AS k FROM w),
-b AS (SELECT event_type, CAST(least(floor((value - lo) * (k / (hi - lo))), k - 1) AS INTEGER) AS bin,
+b AS (SELECT event_type, CAST(least(floor((value - lo) * (k / (hi - lo))), k - 1) AS BIGINT) AS bin,
              count(*) AS cnt
       FROM events, p WHERE value IS NOT NULL GROUP BY 1, 2)
 SELECT event_type, bin, lo + bin * ((hi - lo) / k) AS bin_low,
@@ -235,15 +235,15 @@ def q_box_outliers(spark, sf):
 
 # ---------------------------------------------------------------- V7, V8
 
-def _kde_sql(src_sql, gname, gridsize=100, cut=2.0, bins=512):
+def _kde_sql(src_sql, gname, gridsize=100, cut=2.0, fine=8.0):
     return sql_rounded(f"""WITH src AS ({src_sql}),
 st AS (SELECT g, count(y) AS n, min(y) AS lo, max(y) AS hi, stddev_samp(y) * pow(count(y), -0.2) AS h
        FROM src WHERE y IS NOT NULL GROUP BY g),
 st2 AS (SELECT * FROM st WHERE h > 0),
-binned AS (SELECT src.g, CAST(least(floor((y - lo) / (hi - lo) * {bins}), {bins - 1}) AS INTEGER) AS b,
-                  count(*) AS w
+binned AS (SELECT src.g, CAST(floor((y - lo) / (h / {fine})) AS BIGINT) AS b,
+                  count(*) AS w, avg(y) AS c
            FROM src JOIN st2 ON src.g = st2.g WHERE y IS NOT NULL GROUP BY 1, 2),
-pts AS (SELECT binned.g, b, w, n, h, lo + (b + 0.5) * (hi - lo) / {bins} AS c, lo - {cut!r} * h AS s,
+pts AS (SELECT binned.g, b, w, n, h, c, lo - {cut!r} * h AS s,
                ((hi - lo) + {2 * cut!r} * h) / {gridsize - 1} AS st
         FROM binned JOIN st2 ON binned.g = st2.g)
 SELECT g AS {gname}, point, first(s + point * st) AS value,

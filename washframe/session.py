@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -17,19 +18,27 @@ def build_session(master: str | None = None, app: str = "washframe",
     the UI stays off (no server, no port).
     """
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("WASHFRAME_DRIVER_MEMORY", "16g"))
-    )
+    wanted = {
+        "spark.master": master or f"local[{cpus}]",
+        "spark.app.name": app,
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": str(shuffle_partitions or cpus),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.driver.memory": os.environ.get("WASHFRAME_DRIVER_MEMORY", "16g"),
+    }
+    if "PYSPARK_GATEWAY_PORT" in os.environ:     # under spark-submit the settings are in the JVM
+        SparkContext._ensure_initialized()
+    given = SparkConf()
+    builder = SparkSession.builder
+    for key, value in wanted.items():
+        asked = (key == "spark.master" and master) or (key == "spark.sql.shuffle.partitions" and shuffle_partitions)
+        if asked or not given.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -45,7 +54,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
-        return current
+        return _shared(spark, current)
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         if not sc.master.startswith("local"):
@@ -53,10 +62,21 @@ def checkpoint_root(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder "
                                "(HDFS / object store) for cluster runs")
         configured = tempfile.mkdtemp(prefix="washframe-ckpt-")
-    sc.setCheckpointDir(configured)
+    sc.setCheckpointDir(_shared(spark, configured))
     return sc.getCheckpointDir()
 
 
+def _shared(spark: SparkSession, path: str) -> str:
+    """``path``, or an error if a cluster session would write to machine-local disks
+    (set WASHFRAME_SHARED_FILES=1 where a ``file:`` folder is mounted everywhere)."""
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") and not os.environ.get("WASHFRAME_SHARED_FILES"):
+        hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        if hpath.getFileSystem(sc._jsc.hadoopConfiguration()).getScheme() == "file":
+            raise RuntimeError(f"spark.checkpoint.dir must be shared by all machines, not {path}")
+    return path
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique folder name inside the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")

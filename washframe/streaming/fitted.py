@@ -21,6 +21,7 @@ from washframe.functions.columns import columns_of_kind, dtype_of, ident, is_num
 from washframe.functions.names import standard_names
 from washframe.functions.text import null_if_token, strip_whitespace
 from washframe.operators import coerce, columns, missing
+from washframe.operators.coerce import converted
 from washframe.operators.outliers import _zscore_flags
 from washframe.operators.quantiles import column_quantiles
 from washframe.session import scratch_path
@@ -85,12 +86,8 @@ class StreamCleaner:
                 dt = T.DoubleType() if is_numeric(dtype_of(df, c)) else dtype_of(df, c)
                 v = F.coalesce(v.cast(dt), F.lit(self.fills[c]).cast(dt))
             kind = self.types.get(c)
-            if kind == "long":
-                v = v.try_cast("long")
-            elif kind == "double":
-                v = v.try_cast("double")
-            elif kind == "timestamp":
-                v = v.try_cast("timestamp_ntz")
+            if kind is not None:
+                v = converted(v, kind)
             if c in self.outliers:
                 mean, std, med = self.outliers[c]
                 v = v.cast("double")
