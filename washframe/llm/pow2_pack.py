@@ -11,9 +11,9 @@ storage partitions, no global sort), and consecutive numbers form batches of
 Tokens: the vocabulary's pre-tokens never cross white space, so a text's ids are
 its white-space-separated chunks' ids in order, and a chunk of letters with marks
 behind it is the letters' ids and the marks'. Each worker keeps the ids of the
-chunks that it has met, about ``CACHE_CHUNKS``. A text with the control
-characters U+001C to U+001F, which Python splits at and the vocabulary does not,
-is encoded whole.
+chunks that it has met, about ``CACHE_CHUNKS``. Texts that Python would split
+(U+001C to U+001F) or lower-case (capital sigma, dotted capital I) in another
+way than the vocabulary, or that are not in normal form C, are encoded whole.
 
 Defined results: a null or empty text has the end id alone; every row is packed,
 copies of a row like any other row; a null doc_id stays null. Extra columns are
@@ -37,7 +37,7 @@ LONGEST = 2048
 END_ID = 1
 CACHE_CHUNKS = 1_200_000     # chunks whose ids a worker keeps
 _MARKS = ".,;:!?"
-_MARK_RUN = re.compile(r"[^\w\s][.,]\s|_[.,]\s")
+_MARK_RUN = re.compile(r"[.,](?<=[\W_][.,])(?<!\s[.,])\s")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _workers: dict[str, "ChunkEncoder"] = {}
 
@@ -68,10 +68,17 @@ class ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)   # ids that end a word
         if suffix:
             self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        # for plain words, lower-cased and normalised already: the model alone
+        spec["normalizer"] = None
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
+                                          "use_regex": False}]}
+        self.model = Tokenizer.from_str(json.dumps(spec))
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -84,7 +91,8 @@ class ChunkEncoder:
         out = []
         for lo in range(0, len(words), 2000):
             part = words[lo:lo + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, dtype="<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(ends) != len(part):
                 out += self._encode(part)
@@ -97,36 +105,32 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Ids of new chunks: a plain word, or one and marks behind it, by its parts."""
-        known, plain, rest = self.known, {}, []
-        words = [c for c in chunks if c.isascii() and c.isalpha()]
-        known.update(zip(words, self._encode_words(words)))
+        known, parts, rest = self.known, {}, []
         for c in chunks:
-            if c in known:
-                continue
-            core = c.rstrip(_MARKS)
-            if core.isalpha() and core.lower().isalpha() and unicodedata.is_normalized("NFC", core):
-                plain[c] = core
-            else:
-                rest.append(c)
-        words = [w for w in set(plain.values()) if w not in known]
+            if not c.isalpha():
+                core = c.rstrip(_MARKS)
+                if core.isalpha():
+                    parts[c] = core
+                else:
+                    rest.append(c)
+        words = [c for c in chunks if c.isalpha()]
+        words += list(set(parts.values()) - known.keys() - set(words))
         known.update(zip(words, self._encode_words(words)))
-        marks = list({c[len(w):] for c, w in plain.items()} - {""} - known.keys())
-        known.update(zip(rest + marks, self._encode(rest + marks)))
-        for c, w in plain.items():
-            if len(w) < len(c):
-                known[c] = known[w] + known[c[len(w):]]
+        rest += list({c[len(w):] for c, w in parts.items()} - known.keys())
+        known.update(zip(rest, self._encode(rest)))
+        known.update((c, known[w] + known[c[len(w):]]) for c, w in parts.items())
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t)]
+        whole = [i for i, t in enumerate(texts) if not t.isascii() and (
+            "\u0130" in t or "\u03a3" in t or not unicodedata.is_normalized("NFC", t)) or _ODD_SPACE.search(t)]
         for i, b in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = b
         odd = set(whole)
-        split = {i: _apart(t).split() for i, t in enumerate(texts) if i not in odd}
-        wanted = set().union(*split.values())
+        split = {i: _apart(t.lower()).split() for i, t in enumerate(texts) if i not in odd}
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
-        self._learn(list(wanted - self.known.keys()))
+        self._learn(list(set().union(*split.values()) - self.known.keys()))
         known = self.known
         for i, chunks in split.items():
             out[i] = b"".join([known[c] for c in chunks])
