@@ -4,7 +4,9 @@ A document's set holds its distinct k-word shingles (hashed to 64 bits). Sizes
 are cut into bands such that two sets that reach the threshold lie in the same
 or in neighbouring bands. For a band, ``H`` bounds the symmetric difference of
 any linked pair whose larger set is in it; the hash universe is cut into
-``H + 1`` segments, so a linked pair agrees on one whole segment at least. Each
+``H + 1`` segments and some to spare for empty ones, so a linked pair agrees on
+one whole segment that is not empty (sets with too many empty segments index
+those as well). Each
 set is indexed by one key per segment under its own band's scheme and probes
 the scheme of the next band.
 
@@ -30,6 +32,7 @@ one document for links. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -48,6 +51,7 @@ STALLED = 0.7          # share of pairs left from one round to the next that end
 FAMILY_KEY = 32        # members of a key from which it can make a family
 FAMILY_SHARE = 0.05    # pairs of its keys, of all its pairs, from which a family is dense
 FAMILY_BLOCK = 256
+KEY_BROADCAST_ROWS = 2_000_000   # shared keys up to this counted number are broadcast
 KEY_MASK = _U((1 << 48) - 1)   # shorter keys take less room; pairs are verified anyway
 
 
@@ -99,7 +103,7 @@ class Bands:
         self.starts = [1]
         while self.starts[-1] <= longest:
             self.starts.append(self.starts[-1] * den // num + 1)
-        self.segments = []
+        self.segments, self.slack = [], []
         for i in range(len(self.starts) - 1):
             lo, hi = self.starts[max(i - 1, 0)], self.starts[i + 1] - 1
             # the bound grows with both sizes up to rounding: look at the largest few
@@ -107,7 +111,12 @@ class Bands:
             for t in range(hi, max(self.starts[i], hi - 24) - 1, -1):
                 for s in range(t, max(lo, t - 24) - 1, -1):
                     far = max(far, most_apart(s, t, num, den))
-            self.segments.append(far + 1 if far > 0 else 0)  # 0: only equal sets link
+            # Segments that are empty in both sets tell nothing, and all sets share them.
+            # With as many segments more as a set has empty ones, a linked pair agrees
+            # on one that is not empty; sets with still more index their empty ones too.
+            empty = (far + 1) * math.exp(-self.starts[i] / (far + 1))
+            self.slack.append(math.ceil(empty + 2 * math.sqrt(empty)) if far > 0 and empty > 0.02 else 0)
+            self.segments.append(far + 1 + self.slack[-1] if far > 0 else 0)  # 0: only equal sets link
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, side="right") - 1
@@ -151,7 +160,37 @@ def _keys(sums: np.ndarray, scheme: int, seg: np.ndarray) -> np.ndarray:
     return mix(sums ^ mix(place * _U(0xC2B2AE3D27D4EB4F))) & KEY_MASK
 
 
-INDEX_SCHEMA = "doc_id long, n long, fa long, fb long, keys array<long>"
+INDEX_SCHEMA = "doc_id long, n long, fa long, fb long, keys array<long>, codes array<long>, bits binary"
+
+
+def parity_bits(s: np.ndarray) -> bytes:
+    """Parities of a set's elements per hash bucket, about one bit an element. Each
+    element of a symmetric difference flips one bit, so the bits of two sets differ
+    in no more places than the sets do."""
+    size = max(64, 1 << int(len(s) - 1).bit_length()) if len(s) else 64
+    at = (mix(s ^ _U(0x369DEA0F31A53F85)) & _U(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Places in which two parity strings differ; the longer one is folded."""
+    x, y = (np.frombuffer(v, dtype=np.uint64) for v in (a, b))
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near_rows(num: int, den: int):
+    """Pairs (u, v, sizes, parity bits) that may reach the threshold."""
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in (2, 3))
+            ba, bb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            keep = np.array([bits_apart(x, y) <= most_apart(int(s), int(t), num, den)
+                             for x, y, s, t in zip(ba, bb, na, nb)], dtype=bool)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[keep]) for c in (0, 1)],
+                                             names=["u", "v"])
+    return run
 
 
 def _index_rows(num: int, den: int, k: int):
@@ -159,7 +198,7 @@ def _index_rows(num: int, den: int, k: int):
         bands = all_bands(num, den)
         segments = np.array(bands.segments + [0])
         for batch in batches:
-            ids, out = batch.column(0), {"n": [], "fa": [], "fb": [], "keys": []}
+            ids, out = batch.column(0), {"n": [], "fa": [], "fb": [], "keys": [], "codes": [], "bits": []}
             for _, s in doc_sets(batch.column(1), k):
                 out["n"].append(len(s))
                 fa = mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
@@ -167,17 +206,24 @@ def _index_rows(num: int, den: int, k: int):
                 pair = signed(np.array([fa, fb], dtype=np.uint64))
                 out["fa"].append(int(pair[0]))
                 out["fb"].append(int(pair[1]))
-                own, keys = int(bands.of(np.array([max(len(s), 1)]))[0]), []
+                out["bits"].append(parity_bits(s))
+                own, keys, codes = int(bands.of(np.array([max(len(s), 1)]))[0]), [], []
                 for scheme in (own, own + 1):
                     m = int(segments[scheme]) if len(s) else 0
                     if m:
-                        sums = _scheme_sums(s, scheme, m)[1]
-                        keys.append(_keys(sums, scheme, np.arange(m)))
+                        seg, sums = _scheme_sums(s, scheme, m)
+                        at = np.flatnonzero(np.bincount(seg, minlength=m))
+                        if m - len(at) > bands.slack[scheme]:
+                            at = np.arange(m)
+                        keys.append(_keys(sums[at], scheme, at))
+                        codes.append((scheme << 40) + (at << 1) + (scheme != own))
                 out["keys"].append(signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64))
+                out["codes"].append(np.concatenate(codes) if codes else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["fa"], pa.int64()),
-                 pa.array(out["fb"], pa.int64()), pa.array(out["keys"], pa.list_(pa.int64()))],
-                names=["doc_id", "n", "fa", "fb", "keys"])
+                 pa.array(out["fb"], pa.int64()), pa.array(out["keys"], pa.list_(pa.int64())),
+                 pa.array(out["codes"], pa.list_(pa.int64())), pa.array(out["bits"], pa.binary())],
+                names=["doc_id", "n", "fa", "fb", "keys", "codes", "bits"])
     return run
 
 
@@ -302,18 +348,17 @@ class JaccardJoin:
     # ------------------------------------------------------------ candidates
 
     def _entries(self) -> DataFrame:
-        """(key, doc, low, scheme, seg) of the classes' representatives; low marks a
-        probe of the next band's scheme."""
-        bands = all_bands(self.num, self.den)
-        sizes = F.array(*[F.lit(m) for m in bands.segments])
-        band = _band_column(bands)
-        own = F.element_at(sizes, F.least(band, F.lit(len(bands.segments))))
-        reps = without_ids(self.index.where("size(keys) > 0 AND doc_id IS NOT NULL"), self.copies, ["rid"])
-        flat = reps.select(F.col("doc_id").alias("doc"), own.alias("own"), F.posexplode("keys").alias("i", "key"),
-                           band.alias("band"))
-        low = F.col("i") >= F.col("own")
-        return flat.select("key", "doc", low.alias("low"), (F.col("band") - 1 + low.cast("int")).alias("scheme"),
-                           F.when(low, F.col("i") - F.col("own")).otherwise(F.col("i")).alias("seg"))
+        """(key, doc, code) of the classes' representatives; code holds the scheme, the
+        segment and, in its last bit, whether the key probes the next band's scheme."""
+        reps = without_ids(self.index.where("size(keys) > 0 AND doc_id IS NOT NULL").select(
+            "rid", "doc_id", "keys", "codes"), self.copies, ["rid"])
+        return reps.select(F.col("doc_id").alias("doc"), F.inline(F.arrays_zip("keys", "codes"))).select(
+            F.col("keys").alias("key"), "doc", F.col("codes").alias("code"))
+
+    @staticmethod
+    def _decoded(rows: DataFrame) -> DataFrame:
+        return rows.select("*", (F.expr("code & 1") == 1).alias("low"), F.shiftright("code", 40).cast("int").alias("scheme"),
+                           F.expr("cast(shiftright(code, 1) & 549755813887 AS int)").alias("seg")).drop("code")
 
     @staticmethod
     def _shared(entries: DataFrame, whole) -> DataFrame:
@@ -354,9 +399,11 @@ class JaccardJoin:
     def _candidate_keys(self) -> DataFrame:
         """Members (key, head, doc, low, cut) of the keys that pair documents."""
         entries = self._entries()
-        narrow = entries.select("key", "doc", "low")
+        narrow = entries.select("key", "doc", (F.expr("code & 1") == 1).alias("low"))
         shared = store(self._shared(narrow, ~F.col("low")), "jaccard-keys")
-        members = store(entries.join(shared, "key"), "jaccard-members")
+        few = shared.count() <= KEY_BROADCAST_ROWS
+        members = self._decoded(entries.join(F.broadcast(shared) if few else shared, "key"))
+        members = store(members, "jaccard-members")
         forget(shared)
         self.swaps = self._allocate(members)
         out = members.select("key", "head", "doc", "low", F.lit(False).alias("cut"))
@@ -387,7 +434,14 @@ class JaccardJoin:
                 .select(F.least("a.doc", "b.doc").alias("u"), F.greatest("a.doc", "b.doc").alias("v")).distinct())
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose whole sets reach the threshold."""
+        """Pairs whose whole sets reach the threshold. Parity bits, which never rule a
+        linked pair out, drop pairs of unlike sets before any set is sent."""
+        marks = without_ids(self.index.where("n > 0 AND doc_id IS NOT NULL").select("rid", "doc_id", "n", "bits"),
+                            self.copies, ["rid"])
+        mark = [marks.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+                for x in ("u", "v")]
+        near = pairs.join(mark[0], "u").join(mark[1], "v").select("u", "v", "nu", "nv", "bu", "bv")
+        pairs = store(arrow_map(near, _near_rows(self.num, self.den), "u long, v long").distinct(), "jaccard-near")
         ids = store(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "jaccard-ids")
         sets = store(arrow_map(only_ids(self.texts, ids, ["doc_id"]), _set_rows(self.k), SETS_SCHEMA)
                      .dropDuplicates(["doc", "s"]), "jaccard-sets")
@@ -395,7 +449,7 @@ class JaccardJoin:
         with_v = with_u.join(sets.select(F.col("doc").alias("v"), F.col("s").alias("sv")), "v")
         out = store(arrow_map(with_v.select("u", "v", "su", "sv"), _verify_rows(self.num, self.den), "u long, v long"),
                     "jaccard-links")
-        forget(ids, sets)
+        forget(ids, sets, pairs)
         return out
 
     # --------------------------------------------------------------- results
