@@ -40,6 +40,7 @@ TERMS = 4_000            # candidate terms of the classifier
 VOTERS = 400             # lexicon voters
 PREFIXES = (4, 5, 6)
 CORRELATED = 0.3
+SAME = 0.95
 _U = np.uint64
 _BODY = np.zeros(256, dtype=bool)
 _BODY[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 256)]] = True
@@ -97,7 +98,13 @@ def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[
     prior = min(max(prior, 0.005), 0.5)
     says = (votes == 1).sum(axis=1) - 0.5 * (votes == 2).sum(axis=1)
     q = 1 / (1 + np.exp(-np.clip(says - 0.5, -4, 4)))
-    weight, corr = np.full(m, 1 / max(1.0, m / 40)), np.eye(m)
+    x = (votes == 1).astype(np.float64) - (votes == 2)
+    # voters that say nearly the same share one voter's evidence from the start, or
+    # they would pass for the class itself
+    flat = x - x.mean(axis=0)
+    size = np.sqrt((flat * flat).mean(axis=0)) + 1e-9
+    same = np.abs(flat.T @ flat / n / np.outer(size, size)) >= SAME
+    weight, corr = 1 / same.sum(axis=1).clip(1) / max(1.0, m / 40), np.eye(m)
     model = None
     for phase in range(2):
         for _ in range(rounds):
@@ -114,7 +121,6 @@ def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[
                 break
         if phase == 0:
             # correlation of answers given the class, pooled over the classes
-            x = (votes == 1).astype(np.float64) - (votes == 2)
             mean = np.stack([(share @ x) / max(share.sum(), 1e-9) for share in (1 - q, q)])
             rest = x - (1 - q)[:, None] * mean[0] - q[:, None] * mean[1]
             spread = np.sqrt((rest * rest).mean(axis=0)) + 1e-9
