@@ -114,9 +114,9 @@ class ChunkEncoder:
                 else:
                     rest.append(c)
         words = [c for c in chunks if c.isalpha()]
-        words += list(set(parts.values()) - known.keys() - set(words))
+        words += [w for w in set(parts.values()).difference(words) if w not in known]
         known.update(zip(words, self._encode_words(words)))
-        rest += list({c[len(w):] for c, w in parts.items()} - known.keys())
+        rest += [m for m in {c[len(w):] for c, w in parts.items()} if m not in known]
         known.update(zip(rest, self._encode(rest)))
         known.update((c, known[w] + known[c[len(w):]]) for c, w in parts.items())
 
@@ -130,8 +130,9 @@ class ChunkEncoder:
         split = {i: _apart(t.lower()).split() for i, t in enumerate(texts) if i not in odd}
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
-        self._learn(list(set().union(*split.values()) - self.known.keys()))
         known = self.known
+        # one look-up a chunk: a set minus a dict's keys would walk all the keys
+        self._learn([c for c in set().union(*split.values()) if c not in known])
         for i, chunks in split.items():
             out[i] = b"".join([known[c] for c in chunks])
         return out
