@@ -10,6 +10,8 @@ costs one JVM call per expression.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,47 @@ def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False)
         "q25 double, q50 double, q75 double, max double")
 
 
+def _micros_sql(df: DataFrame, c: str) -> str:
+    v, kind = value_sql(df, c), dtype_of(df, c).typeName()
+    if kind == "timestamp":
+        return f"unix_micros({v})"
+    return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({v} AS TIMESTAMP_NTZ))"
+
+
+def describe_datetime(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
+    """Datetime describe, one row per column: count, mean, min, linear quartiles and
+    max, as times without zone (UTC for columns of instants), to the microsecond.
+
+    Quartiles are taken of the distance from the column's minimum, which a double
+    holds exactly up to 285 years. A column without values has nulls."""
+    cols = cols if cols is not None else columns_of_kind(df, "datetime")
+    schema = ("column_name string, count bigint, mean timestamp_ntz, min timestamp_ntz, q25 timestamp_ntz, "
+              "q50 timestamp_ntz, q75 timestamp_ntz, max timestamp_ntz")
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], schema)
+    micros = df.selectExpr(*[f"{_micros_sql(df, c)} AS t{i}" for i, c in enumerate(cols)])
+    ends = micros.groupBy().agg(*[F.expr(f"{f}(t{i}) AS {f}{i}") for i in range(len(cols))
+                                  for f in ("count", "min", "max")]).collect()[0]
+    away = micros.selectExpr(*[f"CAST(t{i} - {ends[f'min{i}'] or 0}L AS DOUBLE) AS t{i}" for i in range(len(cols))])
+    means = away.groupBy().agg(*[F.expr(f"avg(t{i}) AS a{i}") for i in range(len(cols))]).collect()[0]
+    qs = column_quantiles(away, away.columns, [0.25, 0.5, 0.75], approx=approx,
+                          max_group_size=max(ends[f"count{i}"] for i in range(len(cols))))
+
+    def time(micros_from_epoch):
+        return datetime(1970, 1, 1) + timedelta(microseconds=micros_from_epoch)
+
+    rows = []
+    for i, c in enumerate(cols):
+        lo = ends[f"min{i}"]
+        if lo is None:
+            rows.append((c, 0, *[None] * 6))
+        else:
+            mid = [time(lo + round(x)) for x in (means[f"a{i}"], *qs[f"t{i}"])]
+            rows.append((c, ends[f"count{i}"], mid[0], time(lo), *mid[1:], time(ends[f"max{i}"])))
+    return spark.createDataFrame(rows, schema)
+
+
 def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, value as text, cnt) for every distinct non-missing value."""
     items = "inline(array(" + ", ".join(
@@ -81,30 +124,51 @@ def describe_text(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 SAMPLE_VALUES = 3
 
 
-def sample_values(df: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame:
-    """(column_name, sample_values): the ``k`` smallest distinct non-missing values
-    of each column as text (text order), joined by ', '. A ``row_number() <= k``
-    window: Spark keeps k rows per column on each task before the shuffle."""
-    items = "inline(array(" + ", ".join(
-        f"named_struct('column_name', {sql_literal(c)}, 'value', CAST({value_sql(df, c)} AS STRING))"
-        for c in df.columns) + "))"
-    vals = df.selectExpr(items).where(F.col("value").isNotNull()).distinct()
+def _distinct_values(df: DataFrame) -> DataFrame:
+    """(column_name, key, value) of every distinct non-missing value: the key tells
+    values apart (instants by their microseconds, bytes in hex, -0.0 as 0.0), the
+    value is their text. One pass over the table, combined before the shuffle."""
+    items = []
+    for c in df.columns:
+        v, kind = value_sql(df, c), dtype_of(df, c).typeName()
+        if kind in ("float", "double"):
+            v = f"({v} + CAST(0 AS {kind}))"
+        key = {"timestamp": f"unix_micros({v})", "binary": f"hex({v})"}.get(kind, v)
+        items.append(f"named_struct('column_name', {sql_literal(c)}, 'key', CAST({key} AS STRING), "
+                     f"'value', CAST({v} AS STRING))")
+    long_df = df.selectExpr("inline(array(" + ", ".join(items) + "))")
+    return long_df.where(F.col("value").isNotNull()).distinct()
+
+
+def _first_values(values: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("column_name").orderBy("value")
-    top = vals.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    top = values.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     return top.groupBy("column_name").agg(
         F.expr("array_join(transform(array_sort(collect_list(named_struct('r', _r, 'v', value))), "
                "x -> x.v), ', ')").alias("sample_values"))
 
 
-def column_summary(df: DataFrame, samples: bool = True, approx: bool = False) -> DataFrame:
-    """Per column: dtype, missing, unique, mean/std/min/max when numeric, and a
-    few sample values. ``approx``: HyperLogLog unique counts and no samples
-    (no per-value shuffle at all)."""
+def sample_values(df: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame:
+    """(column_name, sample_values): the ``k`` smallest distinct non-missing values
+    of each column as text (text order), joined by ', '. A ``row_number() <= k``
+    window: Spark keeps k rows per column on each task before the shuffle."""
+    return _first_values(_distinct_values(df), k)
+
+
+def column_summary(df: DataFrame, samples: int = SAMPLE_VALUES, approx: bool = False) -> DataFrame:
+    """Per column: dtype, missing, unique, mean/std/min/max when numeric, and the
+    ``samples`` smallest values as text (0: null).
+
+    Missing counts and moments come from one aggregation; unique counts and samples
+    share one shuffle of distinct (column, value) rows, so no row is multiplied for
+    several distinct counts. ``approx``: HyperLogLog unique counts in the first
+    aggregation, no such shuffle, and null samples."""
     aggs = []
     for i, c in enumerate(df.columns):
         v = value_sql(df, c)
-        uniq = f"approx_count_distinct({v})" if approx else f"count(DISTINCT {v})"
-        aggs += [f"count_if({missing_sql(df, c)}) AS m{i}", f"{uniq} AS u{i}"]
+        aggs.append(f"count_if({missing_sql(df, c)}) AS m{i}")
+        if approx:
+            aggs.append(f"approx_count_distinct({v}) AS u{i}")
         if is_numeric(dtype_of(df, c)):
             aggs += [f"avg({v}) AS a{i}", f"stddev_samp({v}) AS s{i}",
                      f"CAST(min({v}) AS DOUBLE) AS lo{i}", f"CAST(max({v}) AS DOUBLE) AS hi{i}"]
@@ -113,16 +177,22 @@ def column_summary(df: DataFrame, samples: bool = True, approx: bool = False) ->
     for i, c in enumerate(df.columns):
         num = is_numeric(dtype_of(df, c))
         specs.append({"name": c, "dtype": dtype_of(df, c).simpleString(),
-                      "missing_count": f"@m{i}", "unique_count": f"@u{i}",
+                      "missing_count": f"@m{i}", "unique_count": f"@u{i}" if approx else None,
                       "mean": f"@a{i}" if num else None, "std": f"@s{i}" if num else None,
                       "min": f"@lo{i}" if num else None, "max": f"@hi{i}" if num else None})
-    out = _unpivot_one_row(one, specs)
-    out = out.selectExpr("name", "dtype", "missing_count", "unique_count",
-                         *[f"CAST({s} AS DOUBLE) AS {s}" for s in ("mean", "std", "min", "max")])
-    if not samples or approx:
-        return out
-    sv = sample_values(df).withColumnRenamed("column_name", "name")
-    return out.join(sv, on="name", how="left")
+    out = _unpivot_one_row(one, specs).withColumn("sample_values", F.lit(None).cast("string"))
+    if not approx:
+        values = _distinct_values(df)
+        found = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("_u"))
+        if samples:
+            found = found.join(_first_values(values, samples), "column_name")
+        else:
+            found = found.withColumn("sample_values", F.lit(None).cast("string"))
+        out = (out.drop("unique_count", "sample_values")
+               .join(found.withColumnRenamed("column_name", "name"), "name", "left")
+               .withColumn("unique_count", F.coalesce("_u", F.lit(0))))
+    return out.selectExpr("name", "dtype", "missing_count", "CAST(unique_count AS BIGINT) AS unique_count",
+                          *[f"CAST({s} AS DOUBLE) AS {s}" for s in ("mean", "std", "min", "max")], "sample_values")
 
 
 def data_summary(df: DataFrame) -> DataFrame:
@@ -208,7 +278,7 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
     """
     cols = cols if cols is not None else columns_of_kind(df, "numeric")
     if len(cols) < 2:
-        raise ValueError("Need at least 2 numeric columns for correlation heatmap")
+        raise ValueError("correlation takes two or more numeric columns")
     vals = {c: f"CAST({value_sql(df, c)} AS DOUBLE)" for c in cols}
     first = df.groupBy().agg(F.expr("count(1)").alias("rows"), *[
         F.expr(e) for i, c in enumerate(cols)
@@ -275,7 +345,9 @@ def _correlation_wide(df: DataFrame, cols: list[str], centred_sql: dict[str, str
     if lower_only:
         pairs = pairs.where("i > j")
     else:
-        pairs = pairs.unionByName(pairs.where("i > j").selectExpr("j AS i", "i AS j", "corr"))
+        # mirror the finished rows: a union with itself would run the matrix pass twice
+        both = "array(named_struct('i', i, 'j', j), named_struct('i', j, 'j', i))"
+        pairs = pairs.selectExpr("corr", f"inline(slice({both}, 1, IF(i = j, 1, 2)))")
     # ``names`` has k rows (the column list): a bounded broadcast.
     ni, nj = F.broadcast(names).alias("ni"), F.broadcast(names).alias("nj")
     return (pairs.join(ni, F.col("i") == F.col("ni.idx")).join(nj, F.col("j") == F.col("nj.idx"))

@@ -39,7 +39,7 @@ class TransformModel:
             return F.ln(v + F.lit(p["shift"])) if p["shift"] else F.ln(v)
         if self.kind == "sqrt":
             return F.sqrt(v + F.lit(p["shift"])) if p["shift"] else F.sqrt(v)
-        raise ValueError(f"Unsupported transformation type: {self.kind}")
+        raise ValueError(f"no transformation named {self.kind!r}")
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.select(*[
@@ -50,13 +50,13 @@ class TransformModel:
 def fit_transform_model(df: DataFrame, columns: list[str], kind: str,
                         feature_range=(0, 1)) -> TransformModel:
     if kind not in KINDS:
-        raise ValueError(f"Unsupported transformation type: {kind}")
+        raise ValueError(f"no transformation named {kind!r}")
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"unknown columns {missing}")
     a, b = (float(feature_range[0]), float(feature_range[1]))
     if kind == "scale" and a >= b:
-        raise ValueError(f"Minimum of desired feature range must be smaller than maximum: {feature_range}")
+        raise ValueError(f"the scale range must rise: {feature_range}")
     which = {"normalize": ("min", "max"), "scale": ("min", "max"),
              "standardize": ("mean", "std_pop"), "log": ("min",), "sqrt": ("min",)}[kind]
     st = fit_stats(df, columns, which=which)

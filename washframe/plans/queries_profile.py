@@ -55,6 +55,21 @@ def q_describe_text(spark, sf):
     return A.describe_text(load_table(spark, sf, "part"))
 
 
+_A2D_STATS = ("mean", "min", "q25", "q50", "q75", "max")
+_A2D_SQL = sql_rounded("""SELECT 'ts' AS column_name, count(ts) AS count, avg(epoch_us(ts)) / 1e6 AS mean,
+  epoch_us(min(ts)) / 1e6 AS min, quantile_cont(epoch_us(ts), 0.25) / 1e6 AS q25,
+  quantile_cont(epoch_us(ts), 0.5) / 1e6 AS q50, quantile_cont(epoch_us(ts), 0.75) / 1e6 AS q75,
+  epoch_us(max(ts)) / 1e6 AS max FROM events""", list(_A2D_STATS), 3)
+
+
+@register("describe_datetime", _A2D_SQL)
+def q_describe_datetime(spark, sf):
+    """Times as seconds since 1970, to the millisecond."""
+    found = A.describe_datetime(load_table(spark, sf, "events"))
+    seconds = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {0}) / 1e6D AS {0}"
+    return rounded(found.selectExpr("column_name", "count", *[seconds.format(c) for c in _A2D_STATS]), 3)
+
+
 def _a3_row(c, t, numeric):
     stats = (f"avg({c}) AS mean, stddev_samp({c}) AS std, CAST(min({c}) AS DOUBLE) AS min, "
              f"CAST(max({c}) AS DOUBLE) AS max" if numeric else
