@@ -127,36 +127,51 @@ def heatmap_data(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return correlation_matrix(df, cols, lower_only=True)
 
 
-def box_data(df: DataFrame, x: str, y: str, whis: float = 1.5, approx: bool = False) -> DataFrame:
-    """Per x: n, q1, median, q3 (exact linear), whiskers (most extreme values
-    within whis * IQR of the box) and the outlier count."""
-    v = value_of(df, y).cast("double")
-    base = df.select(q(x).alias(x), v.alias("_y")).where(F.col("_y").isNotNull())
-    qs = exact_quantiles(base, [x], "_y", [0.25, 0.5, 0.75], approx=approx)
-    qs = qs.select(x, F.col("_n").alias("n"), F.col("q0").alias("q1"), F.col("q1").alias("median"),
+def _box_rows(df: DataFrame, x: str | None, y: str, hue: str | None) -> tuple[DataFrame, list[str]]:
+    """Rows with a value and all keys, as doubles, and the keys; without keys all
+    rows are the group ``all``."""
+    keys = [k for k in (x, hue) if k]
+    groups = [q(k).alias(k) for k in keys] or [F.lit("all").alias("group")]
+    keys = keys or ["group"]
+    rows = df.select(*groups, value_of(df, y).cast("double").alias("_y")).where(F.col("_y").isNotNull())
+    for k in keys:
+        rows = rows.where(q(k).isNotNull())
+    return rows, keys
+
+
+def box_data(df: DataFrame, x: str | None, y: str, whis: float = 1.5, approx: bool = False,
+             hue: str | None = None) -> DataFrame:
+    """Per x (and hue): n, q1, median, q3 (exact linear), whiskers (most extreme
+    values within whis * IQR of the box) and the outlier count. Without x: one box."""
+    base, keys = _box_rows(df, x, y, hue)
+    named = [q(k) for k in keys]
+    qs = exact_quantiles(base, keys, "_y", [0.25, 0.5, 0.75], approx=approx)
+    qs = qs.select(*named, F.col("_n").alias("n"), F.col("q0").alias("q1"), F.col("q1").alias("median"),
                    F.col("q2").alias("q3"))
     qs = qs.withColumn("_lo", F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))) \
            .withColumn("_hi", F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))).persist()
     groups = qs.count()
-    fences = _maybe_broadcast(qs.select(x, "_lo", "_hi"), groups)
+    fences = _maybe_broadcast(qs.select(*named, "_lo", "_hi"), groups)
     yv = F.col("_y")
     inside = (yv >= F.col("_lo")) & (yv <= F.col("_hi"))
-    w = base.join(fences, on=x, how="inner").groupBy(x).agg(
+    w = base.join(fences, on=keys, how="inner").groupBy(*named).agg(
         F.min(F.when(inside, yv)).alias("whisker_low"),
         F.max(F.when(inside, yv)).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"))
-    return qs.drop("_lo", "_hi").join(w, on=x, how="left")
+    return qs.drop("_lo", "_hi").join(w, on=keys, how="left")
 
 
-def box_outliers(df: DataFrame, x: str, y: str, whis: float = 1.5, approx: bool = False) -> DataFrame:
-    """The rows drawn as outlier points: y beyond the per-x fences."""
-    v = value_of(df, y).cast("double")
-    base = df.select(q(x).alias(x), v.alias(y)).where(q(y).isNotNull())
-    qs = exact_quantiles(base, [x], y, [0.25, 0.75], approx=approx)
-    fences = qs.select(x, (F.col("q0") - F.lit(whis) * (F.col("q1") - F.col("q0"))).alias("_lo"),
+def box_outliers(df: DataFrame, x: str | None, y: str, whis: float = 1.5, approx: bool = False,
+                 hue: str | None = None) -> DataFrame:
+    """The rows drawn as outlier points: y beyond the fences of its x (and hue)."""
+    base, keys = _box_rows(df, x, y, hue)
+    qs = exact_quantiles(base, keys, "_y", [0.25, 0.75], approx=approx)
+    fences = qs.select(*[q(k) for k in keys],
+                       (F.col("q0") - F.lit(whis) * (F.col("q1") - F.col("q0"))).alias("_lo"),
                        (F.col("q1") + F.lit(whis) * (F.col("q1") - F.col("q0"))).alias("_hi")).persist()
     fences = _maybe_broadcast(fences, fences.count())
-    return base.join(fences, on=x).where((q(y) < F.col("_lo")) | (q(y) > F.col("_hi"))).drop("_lo", "_hi")
+    return (base.join(fences, on=keys).where((F.col("_y") < F.col("_lo")) | (F.col("_y") > F.col("_hi")))
+            .select(*[q(k) for k in keys], F.col("_y").alias(y)))
 
 
 def kde_data(df: DataFrame, y: str, by: str | None = None, gridsize: int = 100, cut: float = 2.0,
@@ -204,10 +219,22 @@ def kde_data(df: DataFrame, y: str, by: str | None = None, gridsize: int = 100,
     return out
 
 
-def violin_data(df: DataFrame, x: str, y: str, gridsize: int = 100, cut: float = 2.0,
-                fine: float = 8.0) -> DataFrame:
-    """Density of y per x (the violin outline)."""
-    return kde_data(df, y, x, gridsize, cut, fine)
+def violin_data(df: DataFrame, x: str | None, y: str, gridsize: int = 100, cut: float = 2.0,
+                fine: float = 8.0, hue: str | None = None) -> DataFrame:
+    """Density of y per x (and hue): the violin outline. Without x: one violin."""
+    keys = [k for k in (x, hue) if k]
+    if len(keys) < 2:
+        return kde_data(df, y, keys[0] if keys else None, gridsize, cut, fine)
+    both = df.where(q(x).isNotNull() & q(hue).isNotNull()).select(
+        F.struct(q(x).alias("x"), q(hue).alias("hue")).alias("_by"), value_of(df, y).cast("double").alias("_v"))
+    out = kde_data(both, "_v", "_by", gridsize, cut, fine)
+    return out.select(F.col("_by.x").alias(x), F.col("_by.hue").alias(hue), "point", "value", "density")
+
+
+def histogram_curve(df: DataFrame, x: str, hue: str | None = None, gridsize: int = 200) -> DataFrame:
+    """The density curve over a histogram: the KDE of x (per hue) from its least to
+    its greatest value."""
+    return kde_data(df, x, hue, gridsize, cut=0.0)
 
 
 def pair_columns(df: DataFrame, max_cols: int = PAIR_COLUMNS) -> list[str]:

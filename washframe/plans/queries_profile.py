@@ -273,6 +273,24 @@ def q_violin_data(spark, sf):
     return rounded(V.violin_data(load_table(spark, sf, "events"), "event_type", "value"))
 
 
+@register("histogram_curve", _kde_sql("SELECT 'all' AS g, value AS y FROM events", '"group"', 200, 0.0))
+def q_histogram_curve(spark, sf):
+    return rounded(V.histogram_curve(load_table(spark, sf, "events"), "value"))
+
+
+@register("box_single", sql_rounded("""WITH q AS (SELECT count(c_acctbal) AS n,
+  quantile_cont(CAST(c_acctbal AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(c_acctbal AS DOUBLE), 0.5) AS median,
+  quantile_cont(CAST(c_acctbal AS DOUBLE), 0.75) AS q3 FROM customer),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT 'all' AS "group", n, q1, median, q3,
+  CAST(min(c_acctbal) FILTER (WHERE c_acctbal >= lo AND c_acctbal <= hi) AS DOUBLE) AS whisker_low,
+  CAST(max(c_acctbal) FILTER (WHERE c_acctbal >= lo AND c_acctbal <= hi) AS DOUBLE) AS whisker_high,
+  count(*) FILTER (WHERE c_acctbal < lo OR c_acctbal > hi) AS n_outliers
+FROM customer, f GROUP BY n, q1, median, q3""", ["q1", "median", "q3", "whisker_low", "whisker_high"]))
+def q_box_single(spark, sf):
+    return rounded(V.box_data(load_table(spark, sf, "customer"), None, "c_acctbal"))
+
+
 _PART_NUM = ["p_partkey", "p_size", "p_retailprice"]
 
 
