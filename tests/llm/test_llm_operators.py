@@ -154,6 +154,25 @@ def test_jaccard_families(spark, monkeypatch):
     assert {(r.u, r.v) for r in join.links().collect()} == want
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_jaccard_rounds_run_out(spark, monkeypatch, rounds):
+    """Pairs that are left when the last round of stars is over are verified too."""
+    monkeypatch.setattr(set_join, "MAX_STAR_ROUNDS", rounds)
+    monkeypatch.setattr(set_join, "STALLED", 1e9)   # only the number of rounds ends them
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(90):
+        w = [f"t{j}" for j in range(60)]
+        for j in rng.integers(0, 60, int(rng.integers(1, 6))):
+            w[j] = f"e{i}_{j}"
+        rows.append((i, " ".join(w)))
+    calls, verify = [], set_join.JaccardJoin._verify
+    monkeypatch.setattr(set_join.JaccardJoin, "_verify", lambda self, pairs: calls.append(1) or verify(self, pairs))
+    join = set_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100, 3)
+    assert collections.Counter(map(tuple, join.components().collect())) == brute_join(rows, 3, 80, 100)
+    assert len(calls) == rounds + 2   # the first stars, all rounds, what is left
+
+
 def test_jaccard_empty(spark):
     assert set_join.JaccardJoin(empty(spark)).components().count() == 0
 

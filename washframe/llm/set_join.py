@@ -475,7 +475,7 @@ class JaccardJoin:
         tested = store(star, "jaccard-star")
         links = self._verify(tested)
         left = None
-        for turn in range(MAX_STAR_ROUNDS):
+        for turn in range(MAX_STAR_ROUNDS + 1):   # the last turn makes no round: it leaves what is open then
             comps = store(connected_components(links), "jaccard-comps")
             placed = (members.join(comps, members["doc"] == comps["vertex"], "left")
                       .select("key", "doc", "low", "cut", F.coalesce("component", "doc").alias("comp")))
@@ -486,7 +486,7 @@ class JaccardJoin:
                                                                   ((F.col("g") * F.col("g") - F.col("g2")) / 2).alias("cross"))
             rest = store(placed.join(open_keys, "key"), "jaccard-rest")
             before, left = left, rest.select("key", "cross").distinct().agg(F.sum("cross")).first()[0] or 0
-            if left <= rest.count() or (before is not None and left > STALLED * before):
+            if turn == MAX_STAR_ROUNDS or left <= rest.count() or (before is not None and left > STALLED * before):
                 break
             # the next centre of a key: a member of its largest component, another each round
             centre = rest.where("comp = most AND NOT low AND NOT cut").groupBy("key").agg(
@@ -496,10 +496,11 @@ class JaccardJoin:
                     .select(F.least("doc", "centre").alias("u"), F.greatest("doc", "centre").alias("v")).distinct())
             star = store(star.join(tested, ["u", "v"], "left_anti"), "jaccard-star")
             more = self._verify(star)
+            old = (links, tested)
             links = store(comps.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(more),
                           "jaccard-links")
             tested = store(tested.union(star), "jaccard-tested")
-            forget(comps, rest, star, more)
+            forget(comps, rest, star, more, *old)
         dense, sparse = self._families(rest)
         pairs = (sparse.alias("a").join(sparse.alias("b"), "key")
                  .where("a.doc < b.doc AND a.comp <> b.comp AND NOT (a.low AND b.low) AND NOT (a.cut AND b.cut)")
