@@ -340,6 +340,17 @@ def test_mixture(spark, docs):
     assert mixing.Mixture(empty(spark)).plan().count() == 0
 
 
+def test_mixture_fills_up_behind_a_long_document(spark):
+    """A long document where the words end leaves its room to later ranges."""
+    rows = [(1001 * s + i, "w " * (3750 if i == 1000 else 10), f"s{s:02}") for s in range(12) for i in range(1001)]
+    got = mixing.Mixture(spark.createDataFrame(rows, "doc_id long, text string, source string")).plan().collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r.doc_id // 1001] += r.taken
+        target[r.doc_id // 1001] = r.target
+    assert max(abs(taken[s] - target[s]) for s in target) <= 5 + 1e-6
+
+
 def test_water_filling_is_feasible():
     got = mixing.targets_by_hand([1, 10, 1000, 0], [1, 2, 3, 1], 3)
     assert abs(sum(got) - 1011) < 1e-9 and got[0] == 3 and got[1] == 30 and got[3] == 0

@@ -11,7 +11,9 @@ the rest, a seeded choice: documents in order of a hash of seed, doc_id and
 text are taken once more while the words last. Prefix sums over hash ranges of
 about ``RANGE_ROWS`` rows find where that is, so a hot source is never ordered
 in one task; only the range at the end is gone through document by document,
-filling up with the longest that still fit and a last one if that comes nearer.
+filling up with the longest that still fit. What room is left goes to documents of
+the following ranges, again by prefix sums: those longer than the room are set
+aside, and so on until no document fits. A last one is taken if that comes nearer.
 
 Defined results: a null or wordless text has size 0; a null source is a source,
 last in order; rows equal in doc_id and text share one decision; an empty table
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washframe.llm.common import ID_BROADCAST_ROWS, numbered, store
+from washframe.llm.common import ID_BROADCAST_ROWS, forget, numbered, store
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 RANGE_ROWS = 256
@@ -66,7 +68,7 @@ def water_level(sources: DataFrame, max_epochs: float) -> float:
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     """Choose rows of one range: in turn up to the first that is too long, then the
-    longest that still fit, then a last one if that comes nearer."""
+    longest that still fit."""
     pdf = pdf.sort_values(["u", "doc_id"], kind="stable")
     left, words = float(pdf["room"].iloc[0]), pdf["words"].to_numpy()
     take = np.cumsum(words) <= left
@@ -74,10 +76,10 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     for i in np.argsort(-words, kind="stable"):
         if not take[i] and words[i] <= left:
             take[i], left = True, left - float(words[i])
-    off = np.where(take | (words == 0), np.inf, np.abs(words - left))
-    if off.min() < left:
-        take[int(off.argmin())] = True
-    return pdf.loc[take, ["skey", "u", "doc_id"]]
+    return pdf.loc[take, ["skey", "u", "doc_id", "words"]]
+
+
+_TAKEN = "skey string, u long, doc_id long, words long"
 
 
 class Mixture:
@@ -117,25 +119,62 @@ class Mixture:
         """Hash range of a row within its source; grows with u as an unsigned half."""
         return F.floor(F.shiftrightunsigned("u", 1) / F.lit(float(1 << 63)) * F.col("ranges"))
 
+    @staticmethod
+    def _edges(rows: DataFrame, room: str, words: str) -> DataFrame:
+        """Per source the range in which its words pass its room, and the room there."""
+        sums = rows.groupBy("skey", room, "range").agg(F.sum(words).alias("words"))
+        run = sums.selectExpr("skey", f"{room} AS room", "range", "words",
+                              "sum(words) OVER (PARTITION BY skey ORDER BY range) AS upto")
+        return store(run.where("upto > room").groupBy("skey").agg(
+            F.min(F.struct("range", (F.col("room") - F.col("upto") + F.col("words")).alias("room"))).alias("e"))
+            .select("skey", F.col("e.range").alias("edge"), "e.room"), "mix-edges")
+
+    @staticmethod
+    def _room_left(rooms: DataFrame, got: DataFrame) -> DataFrame:
+        """rooms (skey, left) less the words of got."""
+        used = got.groupBy("skey").agg(F.sum("words").alias("used"))
+        return store(rooms.join(used, "skey", "left").select(
+            "skey", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")), "mix-rooms")
+
     def _choose(self) -> None:
-        """Per source the range where the words end, and the rows taken of it."""
+        """Per source the range where the words end, and the rows taken from there on."""
         rows = self.sized.join(_checked(self.sources.select("skey", "rest", "ranges")), "skey") \
             .withColumn("range", self._range())
-        sums = rows.groupBy("skey", "rest", "range").agg(F.sum("size").alias("words"))
-        run = sums.selectExpr("skey", "rest", "range", "words",
-                              "sum(words) OVER (PARTITION BY skey ORDER BY range) AS upto")
-        edge = store(run.where("upto > rest").groupBy("skey").agg(
-            F.min(F.struct("range", (F.col("rest") - F.col("upto") + F.col("words")).alias("room"))).alias("e"))
-            .select("skey", "e.range", "e.room"), "mix-edges")
-        at_edge = rows.join(_checked(edge), ["skey", "range"]).groupBy("skey", "u", "doc_id", "room").agg(
-            F.sum("size").alias("words"))
-        taken = at_edge.groupBy("skey").applyInPandas(_fit, "skey string, u long, doc_id long")
-        self.taken = store(taken, "mix-taken")
-        self.edges = edge
+        self.edges = self._edges(rows, "rest", "size")
+        behind = rows.join(_checked(self.edges), "skey").where("range >= edge")
+        at_edge = behind.where("range = edge").groupBy("skey", "u", "doc_id", "room").agg(F.sum("size").alias("words"))
+        taken = store(at_edge.groupBy("skey").applyInPandas(_fit, _TAKEN), "mix-taken")
+        rooms = self._room_left(self.edges.select("skey", F.col("room").alias("left")), taken)
+        # rows equal in doc_id and text are equal in size, so a long row rules its document out
+        later = behind.where("range > edge AND size > 0").join(_checked(rooms), "skey").where("size <= left")
+        later = later.groupBy("skey", "u", "doc_id", "range", "left").agg(F.sum("size").alias("words"))
+        later = store(later.where("words <= left"), "mix-later")
+        # Each round ends behind its edge, with less room or longer documents set aside.
+        while not later.isEmpty():
+            edge = self._edges(later, "left", "words")
+            placed = later.join(_checked(edge), "skey", "left")
+            whole = placed.where("edge IS NULL OR range < edge").select("skey", "u", "doc_id", "words")
+            ends = placed.where("range = edge").groupBy("skey").applyInPandas(_fit, _TAKEN)
+            got = store(whole.union(ends), "mix-got")
+            old = (later, taken, rooms)
+            rooms = self._room_left(rooms, got)
+            later = store(placed.where("range > edge").drop("left", "edge", "room").join(_checked(rooms), "skey")
+                          .where("words <= left"), "mix-later")
+            taken = store(taken.union(got), "mix-taken")
+            forget(edge, got, *old)
+        # all that is not taken is longer than the room: the shortest may come nearer
+        near = behind.where("size > 0").join(_checked(rooms), "skey").where("size < 2 * left")
+        near = near.groupBy("skey", "u", "doc_id", "left").agg(F.sum("size").alias("words")).where("words < 2 * left")
+        on = (F.col("n.skey") == F.col("t.skey")) & (F.col("n.u") == F.col("t.u")) & F.col("n.doc_id").eqNullSafe(
+            F.col("t.doc_id"))
+        near = near.alias("n").join(_checked(taken).alias("t"), on, "left_anti")
+        last = near.groupBy("skey").agg(F.min(F.struct("words", "u", "doc_id")).alias("m"))
+        self.taken = store(taken.union(last.select("skey", "m.u", "m.doc_id", "m.words")).drop("words"), "mix-taken")
+        forget(later, taken, rooms)
 
     def _decided(self, rows: DataFrame) -> DataFrame:
         """rows (skey, u, doc_id, size, ...) with target columns and copies."""
-        plan = self.sources.join(self.edges.select("skey", F.col("range").alias("edge")), "skey", "left")
+        plan = self.sources.join(self.edges.select("skey", "edge"), "skey", "left")
         taken = self.taken.withColumn("extra", F.lit(1)).withColumnRenamed("doc_id", "tid")
         on = (F.col("r.skey") == F.col("t.skey")) & (F.col("r.u") == F.col("t.u")) & F.col("r.doc_id").eqNullSafe(
             F.col("t.tid"))
@@ -143,7 +182,7 @@ class Mixture:
         out = out.alias("r").join(_checked(taken).alias("t"), on, "left").select("r.*", "t.extra")
         # no edge: the rest covers the whole source, or there is none
         extra = F.when(F.col("rest") <= 0, F.lit(0)).when(F.col("edge").isNull() | (F.col("range") < F.col("edge")), F.lit(1)) \
-            .when(F.col("range") == F.col("edge"), F.coalesce("extra", F.lit(0))).otherwise(F.lit(0))
+            .otherwise(F.coalesce("extra", F.lit(0)))
         return out.withColumn("copies", (F.col("whole") + extra).cast("long"))
 
     def plan(self) -> DataFrame:
