@@ -194,16 +194,21 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
 
 
-def fit(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text_col: str = "text",
-        lang_col: str = "lang") -> Model | None:
-    """Train on ``docs`` (only rows to learn from); None without labelled rows."""
+def _sample(docs: DataFrame, seed: int, id_col: str, text_col: str, lang_col: str, least_bytes: int) -> DataFrame:
+    """doc_id, text and lang of at most ``SAMPLE_DOCS`` labelled documents a language."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(f"lang IS NOT NULL AND octet_length(text) >= {TRAIN_BLOCK}")
+    rows = rows.where(f"lang IS NOT NULL AND octet_length(text) >= {least_bytes}")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(f"n <= {SAMPLE_DOCS}")
     ids = ids.select("doc_id", "lang").distinct()
-    few = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    return rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+
+
+def fit(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text_col: str = "text",
+        lang_col: str = "lang") -> Model | None:
+    """Train on ``docs`` (only rows to learn from); None without labelled rows."""
+    few = _sample(docs, seed, id_col, text_col, lang_col, TRAIN_BLOCK)
     got = arrow_map(few, _window_rows(seed), "lang string, w binary").toArrow()
     if not got.num_rows:
         return None
@@ -268,3 +273,14 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     out = arrow_map(rows, _predict_rows(model), f"row {kind}, lang_pred string, score double, shares array<double>")
     return out.select("row.*", *[F.col(c).alias(c if c not in docs.columns else f"{c}_found")
                                  for c in ("lang_pred", "score", "shares")])
+
+
+def least_scores(docs: DataFrame, model: Model | None, share: float, seed: int = 3, id_col: str = "doc_id",
+                 text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """Per language the score below which ``share`` of its labelled documents lie, of
+    those that the network labels right (a bounded sample of ``docs``, short texts too)."""
+    if model is None:
+        return {}
+    few = _sample(docs, seed, id_col, text_col, lang_col, 1)
+    rows = predict(few, model).where("lang = lang_pred").groupBy("lang").agg(F.percentile("score", F.lit(share)).alias("s"))
+    return {r["lang"]: r["s"] for r in rows.collect()}
