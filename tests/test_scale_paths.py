@@ -1,5 +1,7 @@
 """Brute-force checks of the operators built to avoid single-task hot spots."""
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -204,3 +206,11 @@ def test_shared_percentile_budget_keeps_results(spark, monkeypatch):
     tight_a, tight_b = run()
     pd.testing.assert_frame_equal(wide_a, tight_a)
     pd.testing.assert_frame_equal(wide_b, tight_b)
+
+
+def test_fill_boundaries_span_the_whole_sample(spark, monkeypatch):
+    """A sample larger than meant keeps its highest keys as split points."""
+    module = sys.modules[ordered_fill.__module__]
+    monkeypatch.setattr(module, "SAMPLE_MAX", 100)
+    bounds = module._boundaries(spark.range(10_000).toDF("k0"), 10, rows=1000)   # about 1000 keys sampled
+    assert len(bounds) == 9 and bounds[-1][0] > 8000

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from washframe.functions.columns import ident, q, sql_literal, value_of
 
 SAMPLE_PER_BLOCK = 64       # sampled keys per block when choosing boundaries
-SAMPLE_MAX = 200_000        # hard bound on the sampled keys brought to the driver
+SAMPLE_MAX = 200_000        # keys that a sample has at most on average; all sampled keys reach the driver
 
 
 def _blocks(df: DataFrame, blocks: int | None) -> int:
@@ -82,7 +82,7 @@ def _boundaries(keys: DataFrame, n_blocks: int, rows: int | None = None) -> list
     target = min(SAMPLE_PER_BLOCK * n_blocks, SAMPLE_MAX)
     if n > target:
         keys = keys.sample(fraction=target / n, seed=20240101)
-    rows = keys.orderBy(*[F.col(c).asc_nulls_first() for c in keys.columns]).limit(SAMPLE_MAX).collect()
+    rows = keys.orderBy(*[F.col(c).asc_nulls_first() for c in keys.columns]).collect()
     if not rows:
         return []
     step = len(rows) / n_blocks
