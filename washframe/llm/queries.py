@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from washframe.llm import blob_ledger, byte_gru, collision, importance, mixing, norm_topk, pow2_pack, rlz, set_join
-from washframe.llm import weak_toxicity
+from washframe.llm import align, blob_ledger, bpe_tree, byte_gru, collision, importance, merkle, mixing, norm_topk
+from washframe.llm import pow2_pack, rlz, set_join, weak_toxicity
 from washframe.llm.common import documents
 
 QUERIES: dict = {}
@@ -151,3 +151,64 @@ def op10_water_mix(spark, sf_dir):
     return mixing.Mixture(documents(spark, sf_dir)).plan()
 
 
+def _merkle_sql() -> str:
+    def field(x):
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(({x})::VARCHAR) || ':' || ({x})::VARCHAR END"
+
+    def leaf(chars):
+        return "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", chars, "text")) + ")"
+
+    def tree(name, key, start):
+        return f"""{name}(k, lvl, pos, h, n) AS ({start} UNION ALL
+  SELECT k, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1
+  GROUP BY k, lvl, pos // 2, n)"""
+
+    def side(name):
+        return f"""SELECT a.k, a.pos, t.lvl, CASE WHEN b.h IS NULL THEN '-' WHEN b.pos < a.pos >> t.lvl THEN 'L' || b.h
+  ELSE 'R' || b.h END AS e FROM {name} a JOIN (SELECT DISTINCT k, lvl FROM {name} WHERE n > 1) t ON t.k IS NOT DISTINCT FROM a.k
+  LEFT JOIN {name} b ON b.k IS NOT DISTINCT FROM a.k AND b.lvl = t.lvl AND b.pos = xor(a.pos >> t.lvl, 1) WHERE a.lvl = 0"""
+
+    return f"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(
+  list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) AS c
+  FROM range(256) r(i))),
+d AS (SELECT doc_id, lang, {leaf("n_chars")} AS leaf, {leaf("n_chars + 1")} AS changed, n_chars IS NOT NULL AND coalesce(
+  xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT) % 7 = 0, false) AS hit FROM documents, tab),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  count(*) OVER (PARTITION BY lang) AS n FROM d),
+{tree("up", "lang", "SELECT lang, 0, pos, leaf, n FROM l")},
+s AS (SELECT k AS lang, h AS subroot, row_number() OVER (ORDER BY encode(k) NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+  FROM up WHERE n = 1),
+{tree("top", "1", "SELECT 1, 0, place, subroot, n FROM s")},
+low AS ({side("up")}), high AS ({side("top")}),
+w AS (SELECT l.*, subroot, (SELECT h FROM top WHERE n = 1) AS root,
+  coalesce((SELECT list(e ORDER BY lvl) FROM low WHERE low.k IS NOT DISTINCT FROM l.lang AND low.pos = l.pos), [])
+  || coalesce((SELECT list(e ORDER BY lvl) FROM high WHERE high.pos = s.place), []) AS w
+  FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang)
+SELECT doc_id, leaf, subroot, root,
+  sha256(array_to_string(list_transform(list_filter(w, lambda e: e <> '-'), lambda e: e[2:]), '')) AS proof_sha256,
+  list_reduce(list_prepend(CASE WHEN hit THEN changed ELSE leaf END, w), lambda h, e: sha256(
+    CASE WHEN e[1] = 'L' THEN e[2:] || h WHEN e[1] = 'R' THEN h || e[2:] ELSE h END)) AS folded_root,
+  folded_root = root AS verified FROM w"""
+
+
+@query()
+def op11_anchor_align(spark, sf_dir):
+    """Alignment of the tokens of two vocabularies over all documents."""
+    import public_tokenizers
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align.Alignment(documents(spark, sf_dir), *paths).documents()
+
+
+@query(_merkle_sql())
+def op12_merkle_manifest(spark, sf_dir):
+    """Root, witness digest and verification of every document, every seventh tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.MerkleManifest(documents(spark, sf_dir), tampered).verified()
+
+
+@query()
+def op13_bpe_tree(spark, sf_dir):
+    """Token digests of all documents, and those of the bytes that they decode to."""
+    import public_tokenizers
+    return bpe_tree.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
