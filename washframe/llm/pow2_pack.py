@@ -13,7 +13,8 @@ its white-space-separated chunks' ids in order, and a chunk of letters with mark
 behind it is the letters' ids and the marks'. Each worker keeps the ids of the
 chunks that it has met, about ``CACHE_CHUNKS``. Texts that Python would split
 (U+001C to U+001F) or lower-case (capital sigma, dotted capital I) in another
-way than the vocabulary, or that are not in normal form C, are encoded whole.
+way than the vocabulary, that are not in normal form C, or that hold a special token's
+string in any case, are encoded whole; so are all texts under a vocabulary of another kind.
 
 Defined results: a null or empty text has the end id alone; every row is packed,
 copies of a row like any other row; a null doc_id stays null. Extra columns are
@@ -36,6 +37,7 @@ from washframe.llm.common import ID_BROADCAST_ROWS, arrow_map, store
 LONGEST = 2048
 END_ID = 1
 CACHE_CHUNKS = 1_200_000     # chunks whose ids a worker keeps
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"   # fixed: the pattern of the vocabulary's file
 _MARKS = ".,;:!?"
 _MARK_RUN = re.compile(r"[.,](?<=[\W_][.,])(?<!\s[.,])\s")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -57,6 +59,18 @@ def _apart(text: str) -> str:
     return text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
 
 
+def splits_at_space(spec: dict) -> bool:
+    """Whether a vocabulary lower-cases, drops white space and splits in the way that the
+    chunk shortcuts rely on; texts of others are encoded whole."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or [{}]
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = (parts[0].get("pattern") or {}).get("Regex")
+    return ([n.get("type") for n in steps] == ["NFC", "Replace", "Lowercase"]
+            and [p.get("type") for p in parts] == ["Split", "ByteLevel"]
+            and (split, parts[0].get("behavior"), parts[0].get("invert")) == (WORDS, "Removed", True)
+            and all(t["content"].startswith("<|") for t in spec["added_tokens"]))
+
+
 class ChunkEncoder:
     """Token ids of texts as little-endian 32-bit bytes."""
 
@@ -69,6 +83,11 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         spec = json.loads(self.tokenizer.to_str())
+        # Strings that the tokenizer takes out of a text before it lower-cases: a text
+        # that holds one in any case is encoded whole and unchanged.
+        added = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
+        self.by_words = splits_at_space(spec)
         suffix = spec["model"].get("end_of_word_suffix")
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)   # ids that end a word
         if suffix:
@@ -122,8 +141,9 @@ class ChunkEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not t.isascii() and (
-            "\u0130" in t or "\u03a3" in t or not unicodedata.is_normalized("NFC", t)) or _ODD_SPACE.search(t)]
+        whole = [i for i, t in enumerate(texts) if not self.by_words or not t.isascii() and (
+            "\u0130" in t or "\u03a3" in t or not unicodedata.is_normalized("NFC", t)) or _ODD_SPACE.search(t)
+            or "<|" in t and self.added and self.added.search(t)]
         for i, b in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = b
         odd = set(whole)
