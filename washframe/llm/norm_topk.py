@@ -30,6 +30,7 @@ from washframe.llm.common import arrow_map, forget, store
 
 BUCKET_ROWS = 1024
 QUERY_ROWS = 256
+VISITS = 64           # query blocks that meet a group in one place
 GROUP_VALUES = 1 << 22    # components of the candidates of one group at most, about
 COORD_FROM = 0.5
 FOCUS = 4
@@ -202,9 +203,12 @@ def _search(buckets: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 def top_k(items: DataFrame, queries: DataFrame, k: int = 5, group_values: int = GROUP_VALUES) -> DataFrame:
     """The k best items per query: query_id, rank, vec_id, score.
 
-    ``items`` and ``queries`` have ``id long, v array<long>``."""
+    ``items`` and ``queries`` have ``id long, v array<long>``. Rows that repeat a query's id
+    are one query (with the least vector, should they differ); every row of ``items`` is a
+    candidate, repeated ones too."""
     spark = items.sparkSession
     items, queries = (x.where("id IS NOT NULL AND size(v) > 0") for x in (items, queries))
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     total = items.agg(F.sum(F.size("v"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_values))
     buckets = _sorted_buckets(items, parts, BUCKET_ROWS, "topk-buckets")
@@ -225,10 +229,16 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 5, group_values: int =
     # a group is a range partition; a block visits those its thresholds allow
     groups = buckets.groupBy(F.col("part").cast("long").alias("deal"), "dim").agg(F.max("longest").alias("reach"))
     allowed = ready.join(groups, "dim").where(F.col("reach") * F.col("longest") * (1 + 1e-9) >= F.array_min("theta"))
-    found = _search(buckets.withColumn("deal", F.col("part").cast("long")),
-                    allowed.select("deal", "dim", "ids", "v", "theta", F.col("block").alias("b")), k)
+    # a group that many blocks visit is met in several places, each by a share of the blocks
+    shares = store(allowed.groupBy("deal").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("shares")), "topk-shares")
+    place = F.col("deal") * F.lit(1 << 20) + F.pmod(F.xxhash64("block"), F.col("shares"))
+    asked = allowed.join(shares, "deal").select(place.alias("deal"), "dim", "ids", "v", "theta", F.col("block").alias("b"))
+    held = (buckets.withColumn("deal", F.col("part").cast("long")).join(shares, "deal")
+            .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+            .withColumn("deal", F.col("deal") * F.lit(1 << 20) + F.col("share")))
+    found = _search(held, asked, k)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     out = store(found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
                 .select("query_id", "rank", "vec_id", "score"), "topk")
-    forget(buckets, start, ready)
+    forget(buckets, start, ready, shares)
     return out
