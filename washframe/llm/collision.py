@@ -131,7 +131,7 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         head = nxt
 
 
-BLOCKS = "label long, dim int, bid long, grp long, lo array<double>, hi array<double>, ids array<long>, " \
+BLOCKS = "label string, dim int, bid long, grp long, lo array<double>, hi array<double>, ids array<long>, " \
          "weights array<long>, unit array<double>"
 
 
@@ -145,7 +145,7 @@ def _block_rows(rows: int, group: int):
 
         def packed():
             lines = np.stack(units) @ directions(key[1])
-            cols = ((key[0], pa.int64()), (key[1], pa.int32()), (bid, pa.int64()), (grp, pa.int64()),
+            cols = ((key[0], pa.string()), (key[1], pa.int32()), (bid, pa.int64()), (grp, pa.int64()),
                     (lines.min(0), pa.list_(pa.float64())), (lines.max(0), pa.list_(pa.float64())),
                     (ids, pa.list_(pa.int64())), (weights, pa.list_(pa.int64())),
                     (np.concatenate(units), pa.list_(pa.float64())))
@@ -154,10 +154,11 @@ def _block_rows(rows: int, group: int):
                 names=["label", "dim", "bid", "grp", "lo", "hi", "ids", "weights", "unit"])
 
         for batch in batches:
-            labels, dims, keys, counts = (batch.column(i).to_numpy() for i in range(4))
+            labels = batch.column(0).to_pylist()
+            dims, keys, counts = (batch.column(i).to_numpy() for i in range(1, 4))
             values, offs = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
             for r in range(len(labels)):
-                new = (int(labels[r]), int(dims[r]))
+                new = (labels[r], int(dims[r]))
                 if ids and (new != key or len(ids) == rows):
                     yield packed()
                     bid, in_grp, ids, weights, units = bid + 1, in_grp + 1, [], [], []
@@ -189,7 +190,7 @@ def _unit_rows():
                              ("p0", float(unit @ directions(len(v))[:, 0]))):
                     out[c].append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["label"], pa.int64()), pa.array(out["dim"], pa.int32()), pa.array(out["id"], pa.int64()),
+                [pa.array(out["label"], pa.string()), pa.array(out["dim"], pa.int32()), pa.array(out["id"], pa.int64()),
                  pa.array(out["weight"], pa.int64()), pa.array(out["unit"], pa.list_(pa.float64())),
                  pa.array(out["p0"], pa.float64())], names=list(out))
     return run
@@ -239,15 +240,16 @@ def _count_rows(cosine: float, least: int):
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", label_col: str = "label",
                     vector_col: str = "embedding") -> DataFrame:
-    """Per input row: vec_id, n_links, component_id, kept."""
+    """Per input row: vec_id, n_links, component_id, kept. Labels of any type are compared
+    as text."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"),
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"),
                           F.col(vector_col).alias("v"))
     live = rows.where(usable("v") & F.expr("vec_id IS NOT NULL AND label IS NOT NULL AND exists(v, x -> x <> 0)"))
     classes = live.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
     classes = classes.select("label", "id", "weight", F.col("v").cast("array<double>").alias("v"))
     units = store(arrow_map(classes, _unit_rows(),
-                            "label long, dim int, id long, weight long, unit array<double>, p0 double"), "near-units")
+                            "label string, dim int, id long, weight long, unit array<double>, p0 double"), "near-units")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // (BLOCK_ROWS * GROUP_BLOCKS)))
     order = ["label", "dim", "p0", "id"]
     ordered = units.repartitionByRange(parts, *order).sortWithinPartitions(*order)
