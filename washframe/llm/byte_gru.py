@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from washframe.llm.common import arrow_map
+from washframe.llm.common import ID_BROADCAST_ROWS, arrow_map, store
 from washframe.llm.words import text_buffers
 
 BLOCK = 128
 HIDDEN = 6
 SAMPLE_DOCS = 500       # labelled documents per language that training may use
+CELL_BITS = 16    # hash ranges whose row counts bound the rows that are ranked
 WINDOWS = 6             # training windows of a document
 TRAIN_BLOCK = 48        # bytes of a training window
 STEPS = 260
@@ -199,10 +200,19 @@ def _sample(docs: DataFrame, seed: int, id_col: str, text_col: str, lang_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(f"lang IS NOT NULL AND octet_length(text) >= {least_bytes}")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(f"n <= {SAMPLE_DOCS}")
-    ids = ids.select("doc_id", "lang").distinct()
-    return rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    # A threshold on the hash, from counts by language and hash range, leaves a few rows
+    # more than needed; the exact cut ranks those alone.
+    drawn = store(rows.select("doc_id", "lang", F.xxhash64(F.lit(seed), "doc_id").alias("h")).distinct(), "sample-ids")
+    cell = F.shiftright("h", 64 - CELL_BITS)
+    cells = drawn.groupBy("lang", cell.alias("cell")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("cell")) - F.col("n")
+    last = cells.withColumn("before", before).where(f"before < {SAMPLE_DOCS}").groupBy("lang").agg(F.max("cell").alias("last"))
+    near = drawn.withColumn("cell", cell).join(last, "lang").where("cell <= last")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = store(near.withColumn("n", F.row_number().over(order)).where(f"n <= {SAMPLE_DOCS}").select("doc_id", "lang"),
+                "sample-ids")
+    out = rows.join(F.broadcast(ids) if ids.count() <= ID_BROADCAST_ROWS else ids, ["doc_id", "lang"], "left_semi")
+    return out.select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text_col: str = "text",
@@ -271,8 +281,17 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = docs.schema.simpleString()
     out = arrow_map(rows, _predict_rows(model), f"row {kind}, lang_pred string, score double, shares array<double>")
-    return out.select("row.*", *[F.col(c).alias(c if c not in docs.columns else f"{c}_found")
-                                 for c in ("lang_pred", "score", "shares")])
+    return out.select("row.*", *[F.col(c).alias(name) for c, name in result_names(docs).items()])
+
+
+def result_names(docs: DataFrame) -> dict[str, str]:
+    """Names of the columns that ``predict`` adds: none that ``docs`` has."""
+    names = {}
+    for c in ("lang_pred", "score", "shares"):
+        names[c] = c
+        while names[c].lower() in {x.lower() for x in docs.columns}:
+            names[c] += "_found"
+    return names
 
 
 def least_scores(docs: DataFrame, model: Model | None, share: float, seed: int = 3, id_col: str = "doc_id",
