@@ -148,12 +148,14 @@ def redacted(spark, docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_
     stay. Overlapping spans become one mark."""
     ledger = ledger or BlobLedger(spark)
     paths = ledger.update(docs, id_col, text_col)
-    found = ledger.findings().groupBy("blob").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_found"))
-    found = store(found.withColumnRenamed("blob", "_blob"), "ledger-redact")
+    found = store(ledger.findings().groupBy("blob").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found")), "ledger-redact")
     forget(paths)
+    # the caller's columns stay inside a struct, so none can clash with these names
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))).join(found, "_blob", "left")
+    rows = docs.select(columns, text.alias("text"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("blob"))
+    rows, text = rows.join(found, "blob", "left"), F.col("text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -162,8 +164,7 @@ def redacted(spark, docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_
         inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] >= acc["at"], new).otherwise(inside)
 
-    done = F.aggregate("_found", start, step, lambda acc: F.concat(
+    done = F.aggregate("found", start, step, lambda acc: F.concat(
         acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
-    out = F.when(F.col("_found").isNull(), text).otherwise(done)
-    return rows.withColumn("_new", out).select(
-        *[F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    out = F.when(F.col("found").isNull(), text).otherwise(done)
+    return rows.select(*[out.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
