@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washframe.llm.common import arrow_map, numbered
+from washframe.llm.common import arrow_map, forget, numbered, only_ids, store
 from washframe.llm.words import gram_hashes, word_hashes
 
 BUCKETS = 10_000
@@ -40,27 +40,30 @@ def _row_buckets(column):
 
 
 def _count_rows(batches):
-    counts = np.zeros((2, BUCKETS), dtype=np.int64)
+    counts = np.zeros(BUCKETS, dtype=np.int64)
     for batch in batches:
-        target = batch.column(1).to_pylist()
-        for row, b in _row_buckets(batch.column(0)):
-            n = np.bincount(b, minlength=BUCKETS)
-            counts[1] += n
-            if target[row]:
-                counts[0] += n
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(counts[0]), pa.array(counts[1])],
-                                     names=["bucket", "target", "raw"])
-
-
-def log_ratio(texts: DataFrame, smoothing: float = 1.0) -> np.ndarray:
-    """Per bucket the log ratio of the target and raw models; ``texts`` has text
-    and a boolean target."""
-    rows = arrow_map(texts.select(F.col("text").cast("string"), F.coalesce("target", F.lit(False))), _count_rows,
-                     "bucket long, target long, raw long")
-    sums = rows.groupBy("bucket").agg(F.sum("target").alias("t"), F.sum("raw").alias("r")).collect()
-    t, r = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for x in sums:
-        t[x["bucket"]], r[x["bucket"]] = x["t"], x["r"]
+        for _, offs, h in word_hashes(batch.column(0), lower=True):
+            counts += np.bincount((gram_hashes(h, 1) % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            twos = (gram_hashes(h, 2) % _U(BUCKETS)).astype(np.int64)
+            inside = np.ones(len(twos), dtype=bool)   # pairs over the border of two texts go
+            edges = offs[1:-1] - 1
+            inside[edges[(edges >= 0) & (edges < len(twos))]] = False
+            counts += np.bincount(twos[inside], minlength=BUCKETS)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(counts)], names=["bucket", "n"])
+
+
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """Words and word pairs of all texts per hash bucket; each task emits its sums."""
+    rows = arrow_map(texts.select(F.col("text").cast("string")), _count_rows, "bucket long, n long")
+    out = np.zeros(BUCKETS)
+    for x in rows.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[x["bucket"]] = x["n"]
+    return out
+
+
+def log_ratio(target: DataFrame, raw: DataFrame, smoothing: float = 1.0) -> np.ndarray:
+    """Per bucket the log ratio of the models of the target and of the raw texts."""
+    t, r = bucket_counts(target), bucket_counts(raw)
     if not t.sum():
         return np.zeros(BUCKETS)
     t, r = t + smoothing, r + smoothing
@@ -81,16 +84,18 @@ def resample(docs: DataFrame, target_ids: DataFrame, fraction: float, seed: int
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: doc_id, log_weight, gumbel_key, rank (from 1), kept.
 
-    ``target_ids`` (doc_id, distinct) names the target documents; the
+    ``target_ids`` (doc_id) names the target documents; the
     ``fraction`` of all rows with the greatest keys is kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = texts.join(target_ids.select("doc_id", F.lit(True).alias("target")), "doc_id", "left")
-    ratio = log_ratio(marked)
-    weights = arrow_map(texts, _weight_rows(ratio), "doc_id long, log_weight double")
+    # the raw pass joins nothing; the target pass filters in place while the list is short
+    ids = store(target_ids.select("doc_id").distinct(), "resample-target")
+    ratio = log_ratio(only_ids(texts, ids, ["doc_id"]), texts)
+    weights = store(arrow_map(texts, _weight_rows(ratio), "doc_id long, log_weight double"), "resample-weights")
     # uniform in (0, 1) from a seeded hash; -log(-log(u)) is Gumbel noise
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(1 << 53)
     keyed = weights.withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(u)))
     ranked = numbered(keyed, [F.col("gumbel_key").desc(), F.col("doc_id")], "position", "resample")
+    forget(ids, weights)
     keep = round(fraction * ranked.count())
     return ranked.select("doc_id", "log_weight", "gumbel_key", (F.col("position") + 1).alias("rank"),
                          (F.col("position") < keep).alias("kept"))

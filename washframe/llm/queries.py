@@ -43,9 +43,10 @@ def op1_norm_topk(spark, sf_dir):
 @query()
 def op2_importance_resample(spark, sf_dir):
     """Importance resampling towards the documents labelled as good; the kept share
-    is the labelled share of good ones."""
+    is the labelled share of good ones (all without labels, none without a good one)."""
     labels = documents(spark, sf_dir, "labels").where("quality IN (0, 1)")
-    share = labels.agg(F.avg("quality")).first()[0] or 1.0
+    share = labels.agg(F.avg("quality")).first()[0]
+    share = 1.0 if share is None else share
     good = labels.where("quality = 1").select("doc_id").distinct()
     return importance.resample(documents(spark, sf_dir), good, share)
 
