@@ -39,6 +39,19 @@ def ship_code(spark: SparkSession) -> None:
     sc._washframe_code = sc.applicationId
 
 
+def byte_slices(batch, column: int, limit: int = 1 << 21):
+    """Parts of an Arrow batch with about ``limit`` bytes of a text column each (or one
+    longer text), so what is made of them at a time is bounded."""
+    import pyarrow.compute as pc
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = (sizes.cumsum() - sizes) // limit
+    lo = 0
+    for hi in [*(part[1:] != part[:-1]).nonzero()[0] + 1, len(sizes)]:
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared checkpoint folder and read it.
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washframe.llm.common import arrow_map, forget, only_ids, store, without_ids
+from washframe.llm.common import arrow_map, byte_slices, forget, only_ids, store, without_ids
 from washframe.llm.components import connected_components
 from washframe.llm.words import gram_hashes, mix, signed, unsigned, word_hashes
 
@@ -52,6 +52,9 @@ FAMILY_KEY = 32        # members of a key from which it can make a family
 FAMILY_SHARE = 0.05    # pairs of its keys, of all its pairs, from which a family is dense
 FAMILY_BLOCK = 256
 KEY_BROADCAST_ROWS = 2_000_000   # shared keys up to this counted number are broadcast
+KEY_ROWS = 1 << 18     # index rows that a task combines at a time
+KEY_PART = 500_000     # keys of a shuffle partition
+MAX_PARTS = 20_000
 KEY_MASK = _U((1 << 48) - 1)   # shorter keys take less room; pairs are verified anyway
 
 
@@ -197,7 +200,7 @@ def _index_rows(num: int, den: int, k: int):
     def run(batches):
         bands = all_bands(num, den)
         segments = np.array(bands.segments + [0])
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, 1)):
             ids, out = batch.column(0), {"n": [], "fa": [], "fb": [], "keys": [], "codes": [], "bits": []}
             for _, s in doc_sets(batch.column(1), k):
                 out["n"].append(len(s))
@@ -231,7 +234,7 @@ def _variant_rows(num: int, den: int, k: int, raised: dict[int, list[int]]):
     """Keys of raised segments: the content itself and its one-deletion variants."""
     def run(batches):
         bands = all_bands(num, den)
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, 1)):
             docs, keys, low, dele, place = [], [], [], [], []
             ids = batch.column(0).to_pylist()
             for row, s in doc_sets(batch.column(1), k):
@@ -258,12 +261,39 @@ def _variant_rows(num: int, den: int, k: int, raised: dict[int, list[int]]):
     return run
 
 
+def _key_rows(batches):
+    """(key, g, own, head) of each run of about ``KEY_ROWS`` index rows (key, doc, low,
+    whole): how many rows have the key, the least doc that is not low, and the least
+    that is whole. A map-side combine of bounded size: nearly all keys are unique."""
+    none = np.iinfo(np.int64).max
+
+    def combined(parts):
+        key, doc, low, whole = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(key)
+        key, doc, low, whole = key[order], doc[order], low[order], whole[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        own, head = (np.minimum.reduceat(np.where(keep, doc, none), first) for keep in (~low, whole))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key[first]), pa.array(np.diff(np.append(first, len(key))))]
+            + [pa.array(x, mask=x == none) for x in (own, head)], names=["key", "g", "own", "head"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        n += len(batch)
+        if n >= KEY_ROWS:
+            yield combined(held)
+            held, n = [], 0
+    if n:
+        yield combined(held)
+
+
 SETS_SCHEMA = "doc long, s array<long>"
 
 
 def _set_rows(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, 1)):
             rows = [signed(s) for _, s in doc_sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc", "s"])
@@ -361,13 +391,16 @@ class JaccardJoin:
                            F.expr("cast(shiftright(code, 1) & 549755813887 AS int)").alias("seg")).drop("code")
 
     @staticmethod
-    def _shared(entries: DataFrame, whole) -> DataFrame:
-        """Keys that pair a member of the band itself with another (map-side
-        combined): the least such member that may pair with all others."""
-        return entries.groupBy("key").agg(
-            F.count("*").alias("g"), F.min(F.when(~F.col("low"), F.col("doc"))).alias("own"),
-            F.min(F.when(whole, F.col("doc"))).alias("head")).where("g > 1 AND own IS NOT NULL").select(
-            "key", F.coalesce("head", "own").alias("head"))
+    def _shared(entries: DataFrame, whole, rows: int) -> DataFrame:
+        """Keys that pair a member of the band itself with another: the least such member
+        that may pair with all others. Tasks combine their keys in bounded runs; the keys
+        of about so many rows are dealt to partitions of ``KEY_PART``."""
+        runs = arrow_map(entries.select("key", "doc", "low", whole.alias("whole")), _key_rows,
+                         "key long, g long, own long, head long")
+        parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTS, rows // KEY_PART))
+        return store(runs.repartition(parts, "key").groupBy("key").agg(
+            F.sum("g").alias("g"), F.min("own").alias("own"), F.min("head").alias("head"))
+            .where("g > 1 AND own IS NOT NULL").select("key", F.coalesce("head", "own").alias("head")), "jaccard-keys")
 
     def _allocate(self, members: DataFrame) -> dict[int, tuple[list[int], list[int]]]:
         """Per scheme the segments to leave out and those to raise instead. One row
@@ -400,7 +433,8 @@ class JaccardJoin:
         """Members (key, head, doc, low, cut) of the keys that pair documents."""
         entries = self._entries()
         narrow = entries.select("key", "doc", (F.expr("code & 1") == 1).alias("low"))
-        shared = store(self._shared(narrow, ~F.col("low")), "jaccard-keys")
+        rows = self.index.agg(F.sum(F.size("keys"))).first()[0] or 0
+        shared = self._shared(narrow, ~F.col("low"), rows)
         few = shared.count() <= KEY_BROADCAST_ROWS
         members = self._decoded(entries.join(F.broadcast(shared) if few else shared, "key"))
         members = store(members, "jaccard-members")
@@ -420,7 +454,7 @@ class JaccardJoin:
         more = arrow_map(only_ids(self.texts, ids, ["doc_id"]), _variant_rows(self.num, self.den, self.k, raised),
                          "key long, doc long, low boolean, cut boolean")
         more = store(more.distinct(), "jaccard-variants")
-        extra = store(self._shared(more, ~F.col("low") & ~F.col("cut")), "jaccard-raised")
+        extra = self._shared(more, ~F.col("low") & ~F.col("cut"), more.count())
         out = store(kept.select("key", "head", "doc", "low", F.lit(False).alias("cut")).unionByName(
             more.join(extra, "key").select("key", "head", "doc", "low", "cut")), "jaccard-swapped")
         forget(members, ids, more, extra)
