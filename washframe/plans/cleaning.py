@@ -217,7 +217,7 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
         if c in final_text and opt.strip_whitespace:
             v = strip_expr(v)
         if c in date_cols:
-            v = coerce.to_timestamp(v, date_formats[c][0])
+            v = coerce.to_timestamp(v, date_formats[c].formats)
         return v
 
     b_aggs = []
