@@ -13,12 +13,18 @@ Here the exact answer is found by narrowing instead:
    are grouped by value (partial aggregation again) and the exact order
    statistics are read off a running count over that bounded candidate set.
 
+Whole columns (``column_quantiles``) go the same way in wide aggregations, with a
+mergeable sketch per column and brackets as literals: no stacking, join or state.
+
 Counts verify every bracket, so the approximate sketch only steers; it never
 decides the answer. Results equal numpy / pandas ``linear`` quantiles.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +36,11 @@ ACCURACY = 4_000         # percentile_approx accuracy: rank error <= n / ACCURAC
 RESOLVE_MAX = 1_000_000  # values per group resolved exactly in one task (~100 MB value map)
 DIRECT_TOTAL_MAX = 4_000_000  # values of all columns in one exact wide aggregation
 BROADCAST_TARGETS = 200_000  # target rows broadcast to the scan; beyond, a shuffle join
+SKETCH_K = 4096          # sketch size: rank error about 0.05% of the values
+SKETCH_GRID = 1024       # equal rank steps at which a sketch is read
+SKETCH_PAD = 2           # steps added at both ends of a bracket
+SKETCHES = 64            # sketches of one aggregation
+READ_MAX = 200_000       # values of brackets whose distinct values come to the driver at a time
 MAX_ROUNDS = 1000   # an error, never a weaker answer
 
 
@@ -297,10 +308,143 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             out.update({c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
                         for i, c in enumerate(chunk)})
         return out
-    long_df = stack_columns(df, cols)
-    res = exact_quantiles(long_df, ["column"], "value", probs, approx=approx,
-                          max_group_size=max_group_size).collect()
-    out = {c: [None] * len(probs) for c in cols}
-    for row in res:
-        out[row["column"]] = [row[f"q{i}"] for i in range(len(probs))]
+    return _select_by_sketch(df, cols, probs)
+
+
+def _double_sql(c: str) -> str:
+    return f"nanvl(CAST({ident(c)} AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
+def _literal(x: float) -> str:
+    return f"CAST({sql_literal(repr(float(x)))} AS DOUBLE)"   # infinities too
+
+
+@dataclass
+class _Target:
+    """The order statistics ``ranks`` (0-based) of a column, closed in by [lo, hi]."""
+
+    column: int
+    ranks: tuple[int, int]
+    lo: float
+    hi: float
+    below: int = 0
+    found: dict[int, float] = field(default_factory=dict)
+
+    def open(self) -> list[int]:
+        return [r for r in set(self.ranks) if r not in self.found]
+
+
+def _grid_sql(values: list[str]) -> list[str]:
+    """Per value expression its count, least, greatest and (null if none) sketch grid."""
+    ranks = ", ".join(f"{k / SKETCH_GRID!r}D" for k in range(SKETCH_GRID + 1))
+    return [x for i, v in enumerate(values) for x in (
+        f"n{i}", f"mn{i}", f"mx{i}", f"IF(n{i} > 0, kll_sketch_get_quantile_double(s{i}, array({ranks})), NULL) AS g{i}")]
+
+
+def _sketched(df: DataFrame, values: list[str]):
+    """One wide aggregation (mergeable sketches, a few kilobytes each) and its row."""
+    aggs = [F.expr(x) for i, v in enumerate(values) for x in (
+        f"count({v}) AS n{i}", f"min({v}) AS mn{i}", f"max({v}) AS mx{i}", f"kll_sketch_agg_double({v}, {SKETCH_K}) AS s{i}")]
+    return df.groupBy().agg(*aggs).selectExpr(*_grid_sql(values)).collect()[0]
+
+
+def _closed_in(row, i: int, ranks: list[int], below: int) -> tuple[float, float]:
+    """Bracket of ranks from a grid over the values behind the ``below`` least ones."""
+    n, grid = row[f"n{i}"], row[f"g{i}"]
+    at = [(r - below) / max(n - 1, 1) * SKETCH_GRID for r in (min(ranks), max(ranks))]
+    first, last = math.floor(at[0]) - SKETCH_PAD, math.ceil(at[1]) + SKETCH_PAD
+    return (grid[first] if first > 0 else row[f"mn{i}"]), (grid[last] if last < SKETCH_GRID else row[f"mx{i}"])
+
+
+def _select_by_sketch(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of columns of any length. A mergeable sketch per column gives a
+    bracket for every target; one aggregation with the brackets as literals counts what
+    lies below, at and between their ends, so the counts decide and the sketch only
+    steers. Brackets with few values inside are read off; others get a sketch of their
+    inside. Every pass is wide: no stacking, no join, no stored state."""
+    values = [_double_sql(c) for c in cols]
+    row = _sketched(df, values)
+    targets: list[_Target] = []
+    for i in range(len(cols)):
+        n = row[f"n{i}"]
+        for p in probs if n else ():
+            ranks = (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))
+            targets.append(_Target(i, ranks, *_closed_in(row, i, list(ranks), 0)))
+    todo, bounds = targets, [(row[f"mn{i}"], row[f"mx{i}"]) for i in range(len(cols))]
+    for _ in range(MAX_ROUNDS):
+        if not todo:
+            break
+        todo = _narrowed(df, values, bounds, todo)
+    else:
+        raise RuntimeError("quantile brackets do not converge")
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    at = iter(targets)
+    for i, c in enumerate(cols):
+        for k, p in enumerate(probs if row[f"n{i}"] else ()):
+            t, place = next(at), p * (row[f"n{i}"] - 1)
+            v0, v1 = (t.found[r] for r in t.ranks)
+            part = place - math.floor(place)
+            # as ``percentile`` interpolates, so both paths agree on infinite neighbours
+            out[c][k] = v0 if v0 == v1 or part == 0 else (1 - part) * v0 + part * v1
     return out
+
+
+def _narrowed(df: DataFrame, values: list[str], bounds, todo: list[_Target]) -> list[_Target]:
+    """One round: counts, then values or a finer bracket. Gives the targets still open."""
+    aggs = []
+    for k, t in enumerate(todo):
+        v, lo, hi = values[t.column], _literal(t.lo), _literal(t.hi)
+        aggs += [F.expr(f"count_if({test}) AS {name}{k}") for name, test in (
+            ("b", f"{v} < {lo}"), ("l", f"{v} = {lo}"), ("i", f"{v} > {lo} AND {v} < {hi}"),
+            ("h", f"{v} = {hi} AND {lo} < {hi}"))]
+    row = df.groupBy().agg(*aggs).collect()[0]
+    few, many = [], []
+    for k, t in enumerate(todo):
+        below, at_lo, inside, at_hi = (row[f"{x}{k}"] for x in "blih")
+        t.below = below + at_lo
+        for r in t.open():
+            if below <= r < t.below:
+                t.found[r] = t.lo
+            elif t.below + inside <= r < t.below + inside + at_hi:
+                t.found[r] = t.hi
+        low, high = (min(t.open(), default=below), max(t.open(), default=below))
+        if not t.open():
+            continue
+        if low < below or high >= t.below + inside + at_hi:      # the sketch was off: that side opens up
+            t.lo = bounds[t.column][0] if low < below else t.lo
+            t.hi = bounds[t.column][1] if high >= t.below + inside + at_hi else t.hi
+            many.append((t, None))
+        else:
+            (few if inside <= READ_MAX else many).append((t, inside))
+    # read off: brackets in groups of bounded size
+    while few:
+        part, total = [], 0
+        while few and (not part or total + few[0][1] <= READ_MAX):
+            total += few[0][1]
+            part.append(few.pop(0)[0])
+        _read_off(df, values, part)
+    finer = [t for t, inside in many if inside is not None]
+    for lo in range(0, len(finer), SKETCHES):
+        part = finer[lo:lo + SKETCHES]
+        row = _sketched(df, [f"IF({values[t.column]} > {_literal(t.lo)} AND {values[t.column]} < {_literal(t.hi)}, "
+                             f"{values[t.column]}, NULL)" for t in part])
+        for k, t in enumerate(part):
+            t.lo, t.hi = _closed_in(row, k, t.open(), t.below)
+    return [t for t, _ in many]
+
+
+def _read_off(df: DataFrame, values: list[str], part: list[_Target]) -> None:
+    """Order statistics of brackets that hold at most ``READ_MAX`` values together:
+    their distinct values and counts come to the driver."""
+    inside = [f"{values[t.column]} > {_literal(t.lo)} AND {values[t.column]} < {_literal(t.hi)}" for t in part]
+    pairs = ", ".join(f"IF({test}, struct({k} AS k, {values[t.column]} AS v), NULL)"
+                      for k, (t, test) in enumerate(zip(part, inside)))
+    rows = (df.where(" OR ".join(f"({x})" for x in inside)).selectExpr(f"explode(array_compact(array({pairs}))) AS x")
+            .groupBy("x.k", "x.v").count().collect())
+    for k, t in enumerate(part):
+        reach = t.below
+        for v, n in sorted((r["v"], r["count"]) for r in rows if r["k"] == k):
+            for r in t.open():
+                if reach <= r < reach + n:
+                    t.found[r] = v
+            reach += n
