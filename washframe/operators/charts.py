@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from washframe.functions.columns import columns_of_kind, q, value_of
 from washframe.operators.profile import correlation_matrix
-from washframe.operators.quantiles import exact_quantiles, stack_columns
+from washframe.operators.quantiles import column_quantiles, exact_quantiles, stack_columns
+from washframe.report import StepLog
 
 Z95 = 1.959963984540054       # two-sided 95% normal quantile
 TOP_GROUPS = 20               # bar charts show at most this many x values
 PAIR_COLUMNS = 5              # pair plots use at most this many numeric columns
+MOST_BINS = 1 << 53           # finer bins cannot be told apart in doubles
 SMALL_SIDE_ROWS = 100_000     # per-group tables broadcast up to this many rows
 
 
@@ -66,19 +68,26 @@ def auto_bin_count(n: int, lo: float, hi: float, q25: float, q75: float) -> int:
     ptp = hi - lo
     if n == 0 or ptp == 0:
         return 1
+    if math.isinf(ptp):      # the count does not change with the scale
+        lo, hi, q25, q75 = lo / 4, hi / 4, q25 / 4, q75 / 4
+        ptp = hi - lo
     sturges = ptp / (math.log2(n) + 1.0)
     fd = 2.0 * (q75 - q25) * n ** (-1.0 / 3.0)
     width = min(fd, sturges) if fd > 0 else sturges
-    return max(1, int(math.ceil(ptp / width)))
+    return max(1, int(min(math.ceil(min(ptp / width, MOST_BINS)), MOST_BINS))) if width > 0 else 1
 
 
 def histogram_data(df: DataFrame, x: str, bins: int | str = "auto", approx: bool = False,
-                   hue: str | None = None) -> DataFrame:
+                   hue: str | None = None, log: StepLog | None = None) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed): bin, bin_low, bin_high,
     count and density (count / (n * width)). ``bins='auto'`` follows numpy.
     With ``hue``: the same bins for every category (common bins), counts and
-    density per category."""
+    density per category. Infinite values have no bin and are left out (counted in
+    ``log``). There are 2^53 bins at most: doubles tell no more apart."""
     v = value_of(df, x).cast("double")
+    if log is not None:
+        log.add("histogram_left_out", columns=[x], count=df.agg(F.count_if(F.abs(v) == math.inf)).first()[0])
+    v = F.when(F.abs(v) < F.lit(math.inf), v)
     st = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()[0]
     n, lo, hi = st["n"], st["lo"], st["hi"]
     if n == 0:
@@ -86,24 +95,34 @@ def histogram_data(df: DataFrame, x: str, bins: int | str = "auto", approx: bool
         return none.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (
             ("bin", "long"), ("bin_low", "double"), ("bin_high", "double"), ("count", "long"), ("density", "double"))])
     if bins == "auto":
-        qs = exact_quantiles(df.select(v.alias("_v")), [], "_v", [0.25, 0.75], approx=approx,
-                             max_group_size=n).collect()[0]
-        k = auto_bin_count(n, lo, hi, qs["q0"], qs["q1"])
+        q25, q75 = column_quantiles(df.select(v.alias("v")), ["v"], [0.25, 0.75], approx=approx, max_group_size=n)["v"]
+        k = auto_bin_count(n, lo, hi, q25, q75)
     else:
-        k = int(bins)
+        k = min(int(bins), MOST_BINS)
     if hi == lo:
-        lo, hi = lo - 0.5, hi + 0.5
-    width = (hi - lo) / k
-    norm = k / (hi - lo)
-    b = F.least(F.floor((v - F.lit(lo)) * F.lit(norm)), F.lit(k - 1)).cast("long")
+        lo, hi = (lo - 0.5, hi + 0.5) if lo - 0.5 < lo else (math.nextafter(lo, -math.inf), math.nextafter(hi, math.inf))
+    if math.isinf(hi - lo):      # a range that no double holds: halves of it
+        width = 2 * ((hi / 2 - lo / 2) / k)
+        at = F.floor((v / 2 - F.lit(lo / 2)) / F.lit(width / 2))
+    else:
+        width = (hi - lo) / k
+        norm = k / (hi - lo)
+        at = F.floor((v - F.lit(lo)) * F.lit(norm)) if not math.isinf(norm) else F.floor((v - F.lit(lo)) / F.lit(hi - lo) * k)
+    b = F.least(at.cast("double"), F.lit(float(k - 1))).cast("long")
+
+    def edge(bin_):
+        if math.isinf(hi - lo):
+            return F.lit(2.0) * (F.lit(lo / 2) + bin_ * F.lit(width / 2))
+        return F.lit(lo) + bin_ * F.lit(width)
+
     if hue:
         counts = df.where(v.isNotNull()).groupBy(q(hue).alias(hue), b.alias("bin")) \
                    .agg(F.count(F.lit(1)).alias("count"))
         per = Window.partitionBy(hue)
         return counts.select(
-            hue, "bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_low"),
+            hue, "bin", edge(F.col("bin")).alias("bin_low"),
             F.when(F.col("bin") == k - 1, F.lit(hi))
-             .otherwise(F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_high"),
+             .otherwise(edge(F.col("bin") + 1)).alias("bin_high"),
             "count", (F.col("count") / (F.sum("count").over(per) * F.lit(width))).alias("density"))
     counts = df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     # The bin axis is derived from the data (k from its statistics), k rows; a
@@ -115,9 +134,9 @@ def histogram_data(df: DataFrame, x: str, bins: int | str = "auto", approx: bool
         out = counts
     cnt = F.coalesce(F.col("count"), F.lit(0)).cast("long")
     return out.select("bin",
-                      (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_low"),
+                      edge(F.col("bin")).alias("bin_low"),
                       F.when(F.col("bin") == k - 1, F.lit(hi))
-                       .otherwise(F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_high"),
+                       .otherwise(edge(F.col("bin") + 1)).alias("bin_high"),
                       cnt.alias("count"),
                       (cnt / F.lit(n * width)).alias("density"))
 
@@ -127,12 +146,12 @@ def heatmap_data(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return correlation_matrix(df, cols, lower_only=True)
 
 
-def _box_rows(df: DataFrame, x: str | None, y: str, hue: str | None) -> tuple[DataFrame, list[str]]:
-    """Rows with a value and all keys, as doubles, and the keys; without keys all
-    rows are the group ``all``."""
-    keys = [k for k in (x, hue) if k]
-    groups = [q(k).alias(k) for k in keys] or [F.lit("all").alias("group")]
-    keys = keys or ["group"]
+def _box_rows(df: DataFrame, x: str | None, y: str, hue: str | None) -> tuple[DataFrame, dict[str, str]]:
+    """Rows with a value and all keys (g0, g1), as doubles, and the keys' names by theirs;
+    without keys all rows are the group ``all``."""
+    given = [k for k in (x, hue) if k]
+    groups = [q(k).alias(f"g{i}") for i, k in enumerate(given)] or [F.lit("all").alias("g0")]
+    keys = {f"g{i}": k for i, k in enumerate(given or ["group"])}
     rows = df.select(*groups, value_of(df, y).cast("double").alias("_y")).where(F.col("_y").isNotNull())
     for k in keys:
         rows = rows.where(q(k).isNotNull())
@@ -143,7 +162,8 @@ def box_data(df: DataFrame, x: str | None, y: str, whis: float = 1.5, approx: bo
              hue: str | None = None) -> DataFrame:
     """Per x (and hue): n, q1, median, q3 (exact linear), whiskers (most extreme
     values within whis * IQR of the box) and the outlier count. Without x: one box."""
-    base, keys = _box_rows(df, x, y, hue)
+    base, names = _box_rows(df, x, y, hue)
+    keys = list(names)
     named = [q(k) for k in keys]
     qs = exact_quantiles(base, keys, "_y", [0.25, 0.5, 0.75], approx=approx)
     qs = qs.select(*named, F.col("_n").alias("n"), F.col("q0").alias("q1"), F.col("q1").alias("median"),
@@ -158,20 +178,22 @@ def box_data(df: DataFrame, x: str | None, y: str, whis: float = 1.5, approx: bo
         F.min(F.when(inside, yv)).alias("whisker_low"),
         F.max(F.when(inside, yv)).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"))
-    return qs.drop("_lo", "_hi").join(w, on=keys, how="left")
+    out = qs.drop("_lo", "_hi").join(w, on=keys, how="left")
+    return out.toDF(*[names.get(c, c) for c in out.columns])
 
 
 def box_outliers(df: DataFrame, x: str | None, y: str, whis: float = 1.5, approx: bool = False,
                  hue: str | None = None) -> DataFrame:
     """The rows drawn as outlier points: y beyond the fences of its x (and hue)."""
-    base, keys = _box_rows(df, x, y, hue)
+    base, names = _box_rows(df, x, y, hue)
+    keys = list(names)
     qs = exact_quantiles(base, keys, "_y", [0.25, 0.75], approx=approx)
     fences = qs.select(*[q(k) for k in keys],
                        (F.col("q0") - F.lit(whis) * (F.col("q1") - F.col("q0"))).alias("_lo"),
                        (F.col("q1") + F.lit(whis) * (F.col("q1") - F.col("q0"))).alias("_hi")).persist()
     fences = _maybe_broadcast(fences, fences.count())
     return (base.join(fences, on=keys).where((F.col("_y") < F.col("_lo")) | (F.col("_y") > F.col("_hi")))
-            .select(*[q(k) for k in keys], F.col("_y").alias(y)))
+            .select(*[q(k).alias(name) for k, name in names.items()], F.col("_y").alias(y)))
 
 
 def kde_data(df: DataFrame, y: str, by: str | None = None, gridsize: int = 100, cut: float = 2.0,
@@ -258,11 +280,19 @@ def pair_data(df: DataFrame, max_cols: int = PAIR_COLUMNS, hue: str | None = Non
     return df.select(*extra, F.inline(items)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
-def pair_diagonal(df: DataFrame, max_cols: int = PAIR_COLUMNS, gridsize: int = 100) -> DataFrame:
-    """Diagonal panels of a pair plot: the KDE of each of the first numeric columns."""
+def pair_diagonal(df: DataFrame, max_cols: int = PAIR_COLUMNS, gridsize: int = 100, hue: str | None = None) -> DataFrame:
+    """Diagonal panels of a pair plot: the KDE of each of the first numeric columns,
+    per ``hue`` if it has fewer than 10 distinct values (rows without one are left out)."""
     cols = pair_columns(df, max_cols)
-    long_df = stack_columns(df, cols, "column_name", "value")
-    return kde_data(long_df, "value", "column_name", gridsize=gridsize)
+    if hue and df.select(q(hue)).distinct().limit(10).count() >= 10:
+        hue = None
+    if not hue:
+        return kde_data(stack_columns(df, cols, "column_name", "value"), "value", "column_name", gridsize=gridsize)
+    safe = df.where(q(hue).isNotNull()).select(q(hue).alias("h"), *[value_of(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
+    long_df = stack_columns(safe, [f"v{i}" for i in range(len(cols))], "name", "value", ["h"])
+    out = kde_data(long_df.select(F.struct("name", "h").alias("by"), "value"), "value", "by", gridsize=gridsize)
+    named = F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (f"v{i}", c)])
+    return out.select(named[F.col("by.name")].alias("column_name"), F.col("by.h").alias("hue"), "point", "value", "density")
 
 
 # chart -> (table of the chart, whether it needs y)
@@ -284,3 +314,12 @@ def create_plot(df: DataFrame, plot_type: str, x_column: str, y_column: str | No
     if needs_y and not y_column:
         raise ValueError(f"a {plot_type} chart needs a y column")
     return table(df, x_column, y_column)
+
+
+def plot_tables(df: DataFrame, plot_type: str, x_column: str, y_column: str | None = None) -> dict[str, DataFrame]:
+    """All tables of a chart: a histogram has its density curve beside its bins."""
+    tables = {"data": create_plot(df, plot_type, x_column, y_column)}
+    if plot_type == "histogram":
+        v = value_of(df, x_column).cast("double")
+        tables["curve"] = histogram_curve(df.select(F.when(F.abs(v) < F.lit(math.inf), v).alias(x_column)), x_column)
+    return tables

@@ -22,9 +22,12 @@ all rows) still lands in one task. Here the fill is done in two levels:
 
 A hot key spreads over many blocks. Ties of ``order_by`` are broken by a hash
 of the whole row (ties make any ordered fill arbitrary; this makes the choice
-deterministic), so a hot order value spreads over blocks too. Only exact
-copies of one row share a block; give a unique ``order_by`` when a third of
-all rows may be copies of one row.
+deterministic), so a hot order value spreads over blocks too. Exact copies of one
+row carry equal values: when the sample shows a row that fills a block with its
+copies, equal rows are collapsed to (row, number) first (map-side combined) and
+expanded after the fill, in chunks that are dealt evenly. Blocks follow the row
+count: ``LEAST_BLOCK_ROWS`` or more each, and about ``MOST_BLOCK_ROWS`` where the
+shuffle partitions alone would make larger ones.
 """
 
 from __future__ import annotations
@@ -41,10 +44,17 @@ SAMPLE_PER_BLOCK = 64       # sampled keys per block when choosing boundaries
 SAMPLE_MAX = 200_000        # keys that a sample has at most on average; all sampled keys reach the driver
 
 
-def _blocks(df: DataFrame, blocks: int | None) -> int:
+LEAST_BLOCK_ROWS = 10_000   # fewer blocks than shuffle partitions below this
+MOST_BLOCK_ROWS = 500_000   # more blocks than shuffle partitions above this
+CARRY_BROADCAST_BLOCKS = 4_096   # carried rows that are broadcast; more are joined
+COPIES_CHUNK = 65_536       # copies of one row that a task expands at a time
+
+
+def _blocks(df: DataFrame, blocks: int | None, rows: int) -> int:
     if blocks:
         return int(blocks)
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(parts, -(-rows // LEAST_BLOCK_ROWS)), -(-rows // MOST_BLOCK_ROWS))
 
 
 def _key_sql(df: DataFrame, name: str) -> tuple[str, T.DataType]:
@@ -73,7 +83,8 @@ def _literal(v, dt: T.DataType) -> str:
 
 def _boundaries(keys: DataFrame, n_blocks: int, rows: int | None = None) -> list[tuple]:
     """Sorted, distinct split points of the key from a bounded sample
-    (``rows``: the row count when already known)."""
+    (``rows``: the row count when already known). Fewer than ``n_blocks - 1`` mean
+    that copies of one key fill a block."""
     if n_blocks <= 1:
         return []
     n = rows if rows is not None else keys.count()
@@ -141,7 +152,40 @@ def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str],
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    part = list(partition_by or [])
+    # positional names inside, so that no column can clash with the helper columns
+    names = df.columns
+    place = {c.lower(): f"u{i}" for i, c in enumerate(names)} | {c: f"u{i}" for i, c in enumerate(names)}
+    unknown = [c for c in (*order_by, *(partition_by or [])) if c not in place and c.lower() not in place]
+    if unknown:
+        raise ValueError(f"unknown columns: {', '.join(unknown)}")
+
+    def inner(given):
+        return [place.get(c, place.get(c.lower())) for c in given]
+
+    n = rows if rows is not None else df.count()
+    out = _fill(df.toDF(*[f"u{i}" for i in range(len(names))]), inner(cols), inner(order_by), inner(partition_by or []),
+                backward, blocks, n)
+    return out.toDF(*names)
+
+
+def _collapsed(df: DataFrame) -> DataFrame:
+    """Distinct rows and the number of their copies."""
+    return df.groupBy(*[q(c) for c in df.columns]).agg(F.count("*").alias("_copies"))
+
+
+def _expanded(df: DataFrame) -> DataFrame:
+    """The rows of ``_collapsed`` with their copies, chunks of which are dealt evenly."""
+    chunk = F.lit(COPIES_CHUNK)
+    chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / chunk))))
+    size = F.least(chunk.cast("long"), F.col("_copies") - F.col("_chunk") * chunk)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.withColumn("_size", size.cast("int")).repartition(parts)
+    return dealt.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("_size")))).drop(
+        "_copies", "_chunk", "_size", "_copy")
+
+
+def _fill(df: DataFrame, cols: list[str], order_by: list[str], part: list[str], backward: bool, blocks: int | None,
+          n: int, collapse: bool = True) -> DataFrame:
     # Ties of the order key are broken by a hash of the whole row, so a hot
     # order value (a third of all rows at one timestamp) spreads over many
     # blocks. Only exact copies still tie, and copies carry equal values.
@@ -154,7 +198,12 @@ def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str],
     key_sql, key_types = zip(*[_key_sql(base, k) for k in keys])
     key_struct = "named_struct(" + ", ".join(f"'k{i}', {s}" for i, s in enumerate(key_sql)) + ")"
     base = base.withColumn("_key", F.expr(key_struct))
-    bounds = _boundaries(base.select("_key.*"), _blocks(df, blocks), rows)
+    n_blocks = _blocks(df, blocks, n)
+    bounds = _boundaries(base.select("_key.*"), n_blocks, n)
+    copies = n > n_blocks and len(bounds) < n_blocks - 1
+    if copies and collapse and len(hashable) == len(df.columns):
+        rows = _collapsed(df)
+        return _expanded(_fill(rows, cols, order_by, part, backward, blocks, rows.count(), collapse=False))
     base = base.withColumn("_blk", F.expr(_block_sql(bounds, list(key_types))).cast("int"))
 
     along = F.struct(*[q(o) for o in ordered])
@@ -175,7 +224,9 @@ def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str],
     # Only a block's first (backward: last) group continues across blocks.
     carried = (carried.withColumn("_rank", F.row_number().over(Window.partitionBy("_blk").orderBy(edge)))
                .where(F.col("_rank") == 1).drop("_rank"))
-    filled = base.withColumn("_g", gkey).join(F.broadcast(carried), on=["_blk", "_g"], how="left")
+    # One row per block: broadcast while the blocks are few, whatever their values' size
+    few = len(bounds) < CARRY_BROADCAST_BLOCKS
+    filled = base.withColumn("_g", gkey).join(F.broadcast(carried) if few else carried, on=["_blk", "_g"], how="left")
 
     order = [q(o).desc_nulls_last() if backward else q(o).asc_nulls_first() for o in ordered]
     w_local = (Window.partitionBy("_blk", "_g").orderBy(*order)
