@@ -28,6 +28,7 @@ import hashlib
 import json
 import math
 from array import array
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,7 @@ class ByteLevelTokens:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.lossless = False
         alphabet, special = byte_level_alphabet(), {t["content"] for t in spec["added_tokens"]}
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
         names = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items()}
@@ -70,7 +72,9 @@ class ByteLevelTokens:
             import tiktoken
             ranks = {b: i for i, b in names.items()}
             encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode = encoding.encode_ordinary
+            # every byte has an id and the pattern leaves no character out, so joined tokens are the text's bytes
+            self.lossless = len({b for b in ranks if len(b) == 1}) == 256
+            self.encode = partial(encoding.encode_to_numpy, disallowed_special=()) if self.lossless else encoding.encode_ordinary
         else:
             import os
 
@@ -88,7 +92,7 @@ class PieceTokens:
         import sentencepiece
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.encode = model.encode
-        self.bytes = []
+        self.bytes, self.lossless = [], False
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else
@@ -112,8 +116,10 @@ class Aligner:
         values, which the garbage collector need not visit."""
         (size_a, size_b), (name_a, name_b), shift = self.sizes, self.names, self.shift
         ids = array("i", key)
-        i, j = 0, next(k for k, t in enumerate(ids) if t >= shift)
-        last, a, b = j, ids[0], ids[j] - shift
+        j = 0
+        while ids[j] < shift:
+            j += 1
+        i, last, a, b = 0, j, ids[0], ids[j] - shift
         x, y, in_a, in_b = size_a[a], size_b[b], [name_a[a]], [name_b[b]]
         groups, links = [], [a << 32 | b]
         while True:
@@ -142,8 +148,8 @@ class Aligner:
         if not text:
             return None
         raw, a, b = (" " + text).encode(), self.a.encode(" " + text), self.b.encode(text)
-        for ids, names in ((a, self.a.bytes), (b, self.b.bytes)):
-            if b"".join([names[i] for i in ids]) != raw:
+        for ids, side in ((a, self.a), (b, self.b)):
+            if not side.lossless and b"".join(map(side.bytes.__getitem__, ids)) != raw:
                 return None
         a, b = np.array(a, dtype="<i4"), np.array(b, dtype="<i4")
         starts = []
@@ -151,10 +157,16 @@ class Aligner:
             s = np.zeros(len(ids), dtype=np.int64)
             np.cumsum(sizes[ids[:-1]], out=s[1:])
             starts.append(s)
-        anchors = np.intersect1d(starts[0][self.spaced[0][a]], starts[1][self.spaced[1][b]], assume_unique=True)
-        if not len(anchors) or anchors[0]:
-            anchors = np.concatenate([[0], anchors])
-        cuts = [np.append(np.searchsorted(s, anchors), len(s)) for s in starts]
+        # numbers of the tokens at which a window starts: the first, and all at anchors
+        spaced = [np.flatnonzero(mark[ids]) for mark, ids in zip(self.spaced, (a, b))]
+        marks = np.zeros((2, len(raw)), dtype=bool)
+        for mark, at, s in zip(marks, spaced, starts):
+            mark[s[at]] = True
+        both = marks[0] & marks[1]
+        cuts = []
+        for at, s in zip(spaced, starts):
+            at = at[both[s[at]]]
+            cuts.append(np.concatenate([at if len(at) and not at[0] else np.append(0, at), [len(s)]]))
         # the windows' ids one behind the other, those of A first, those of B shifted
         ids = np.empty(len(a) + len(b), dtype="<i4")
         ids[np.arange(len(a)) + np.repeat(cuts[1][:-1], np.diff(cuts[0]))] = a
