@@ -11,10 +11,10 @@ survives executor loss, columnar reads), optionally with an RDD checkpoint or
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from washframe.functions.columns import (columns_of_kind, dtype_of, ident, is_datetime, q, value_of,
@@ -46,6 +46,9 @@ class CleaningOptions:
     # Row order for forward filling date columns (names before or after renaming).
     order_by: list[str] | None = None
     partition_by: list[str] | None = None
+    # A column with the rows' places in their files (``read_csv(position=...)``): the order
+    # of fills where ``order_by`` names none. It takes no part in any step and is dropped.
+    position: str | None = None
     approx_quantiles: bool = False
     # How the frame is cut after the dedup: a parquet table in the shared
     # checkpoint folder ("table"), an RDD "checkpoint", "persist" or "none".
@@ -63,6 +66,7 @@ class CleaningResult:
     columns_renamed: dict[str, str] = field(default_factory=dict)
     # Missing cells per (renamed) column after NA tokens became null, before any step.
     nulls_before: dict[str, int] = field(default_factory=dict)
+    dtypes_before: dict[str, str] = field(default_factory=dict)
     # Scratch tables in the shared checkpoint folder that ``df`` reads from.
     scratch: list[str] = field(default_factory=list)
 
@@ -85,6 +89,38 @@ class CleaningResult:
         """One row per step: step number, name, affected columns, count."""
         return self.log.to_frame(spark)
 
+    def column_report(self) -> DataFrame:
+        """One row per column of the input: its name there and after renaming, its type
+        before and after (null: dropped), and its missing cells before any step (NA tokens
+        count as missing) and after all. What is left missing comes from one aggregation
+        over the result."""
+        old = {new: name for name, new in self.columns_renamed.items()}
+        after, kinds = self.nulls_after(), self.dtypes()
+        rows = [(i, old.get(c, c), c, self.dtypes_before[c], kinds.get(c), n, after.get(c), c not in kinds)
+                for i, (c, n) in enumerate(self.nulls_before.items())]
+        return self.df.sparkSession.createDataFrame(
+            rows, "position int, original_name string, column_name string, dtype_before string, dtype_after string, "
+                  "nulls_before long, nulls_after long, dropped boolean")
+
+    def observed(self, name: str = "washframe") -> tuple[DataFrame, Observation]:
+        """``df`` and an observation that counts its rows and the missing cells of each
+        column in whatever pass runs over it next, such as the write: no pass of its own.
+        ``log_observed`` puts what it found into the log."""
+        watch = Observation(name)
+        counts = [F.count_if(value_of(self.df, c).isNull()).alias(f"n{i}") for i, c in enumerate(self.df.columns)]
+        return self.df.observe(watch, F.count(F.lit(1)).alias("rows"), *counts), watch
+
+    def log_observed(self, watch: Observation) -> dict[str, int]:
+        """Missing cells per column as the finished pass saw them; one log entry each for
+        its rows and for the columns that have any."""
+        got = watch.get
+        found = {c: got[f"n{i}"] for i, c in enumerate(self.df.columns)}
+        self.log.add("rows_written", count=got["rows"])
+        for c, n in found.items():
+            if n:
+                self.log.add(f"missing_left_{c}", columns=[c], count=n)
+        return found
+
     def summary(self) -> dict:
         return {"original_shape": self.original_shape, "cleaned_shape": self.cleaned_shape,
                 "steps_applied": self.log.names(), "rows_removed": self.rows_removed,
@@ -112,20 +148,35 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
     tokens = opt.custom_na_values if opt.fill_missing else None
     order_by = list(opt.order_by or [])
     partition_by = list(opt.partition_by or [])
-    width = len(df.columns)
+    if opt.position and opt.position not in df.columns:
+        raise ValueError(f"no column named {opt.position!r}")
+    place = None
+    if opt.position:        # last, under a name of its own, until the fills are done
+        at, n = df.columns.index(opt.position), len(df.columns)
+        others = df.columns[:at] + df.columns[at + 1:]
+        place = "place_of_row"
+        while place in {c.lower() for c in (*others, *standard_names(others).values())}:
+            place += "_x"
+        df = df.toDF(*[f"u{i}" for i in range(n)])
+        df = df.select(*[f"u{i}" for i in range(n) if i != at], f"u{at}").toDF(*others, place)
+        order_by = order_by or [place]
+    user = [c for c in df.columns if c != place]
+    width = len(user)
     if opt.standardize_columns:     # first: names may differ in case only
-        mapping = standard_names(df.columns)
-        result_names = mapping
+        result_names = mapping = standard_names(user)
         df = columns.standardize_columns(df, log=log)
+        log.steps[-1].columns = [c for c in df.columns if c != place]
         order_by = [mapping.get(c, c) for c in order_by]
         partition_by = [mapping.get(c, c) for c in partition_by]
+        user = [c for c in df.columns if c != place]
     else:
         result_names = {}
     # Missing counts are taken once, after NA tokens are read as null (the
     # replacement keeps row and column counts).
-    rows, before = columns.fit_null_counts(missing.replace_na_tokens(df, tokens) if tokens else df)
+    rows, before = columns.fit_null_counts(missing.replace_na_tokens(df, tokens) if tokens else df, user)
     result = CleaningResult(df=df, log=log, original_shape=(rows, width),
-                            columns_renamed=result_names, nulls_before=dict(before))
+                            columns_renamed=result_names, nulls_before=dict(before),
+                            dtypes_before={c: t for c, t in df.dtypes if c != place})
 
     if opt.fill_missing:
         if tokens:
@@ -145,6 +196,8 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
             log.add(f"filled_missing_values_{c}", columns=[c], count=before[c])
     else:
         dates = []
+    if place:
+        df = df.drop(place)
 
     # Duplicates go in one shuffle that keeps each distinct row's copy count;
     # the frame is cut there once. Every later decision is a function of the
@@ -273,3 +326,12 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
     result.df = df
     result.cleaned_shape = (rows, len(df.columns))
     return result
+
+
+def clean_csv(spark: SparkSession, path, options: CleaningOptions | None = None, **read_options) -> CleaningResult:
+    """Read CSV files and clean them; the rows' order in the files is the order of fills
+    where the options name none. ``read_options`` are those of ``read_csv``."""
+    from washframe.sources.files import read_csv, unused_name
+    place = unused_name(spark, path, **read_options)
+    df = read_csv(spark, path, position=place, **read_options)
+    return clean_data(df, replace(options or CleaningOptions(), position=place))

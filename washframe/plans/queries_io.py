@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from washframe.functions.text import STRIP_PATTERN
 from washframe.plans import dirt
-from washframe.plans.cleaning import CleaningOptions, clean_data
+from washframe.plans.cleaning import CleaningOptions, clean_csv, clean_data
 from washframe.plans.registry import register, rounded, sql_rounded
 from washframe.session import scratch_path
 from washframe.sources import files as S
@@ -35,6 +35,31 @@ def q_write_csv(spark, sf):
     return rounded(S.read_csv(spark, path, schema=df.schema))
 
 
+_LINED_SQL = """replace(replace(text, ', ', chr(10) || '"'), '. ', '.' || chr(10) || chr(10))"""
+
+
+@register("read_csv_multiline", f"SELECT doc_id, lang, {_LINED_SQL} AS text FROM documents")
+def q_read_csv_multiline(spark, sf):
+    """documents with newlines and quotes put into the texts, through CSV files whose
+    quoted cells span lines and splits."""
+    docs = load_table(spark, sf, "documents")
+    lined = F.replace(F.replace("text", F.lit(", "), F.lit('\n"')), F.lit(". "), F.lit(".\n\n"))
+    df = docs.select("doc_id", "lang", lined.alias("text"))
+    return S.read_csv(spark, S.write_csv(df, scratch_path(spark, "csv-lines")), schema=df.schema)
+
+
+@register("clean_csv", """SELECT event_id, last_value(CASE WHEN event_id % 7 <> 0 THEN ts END IGNORE NULLS) OVER (
+         ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ts, user_id, event_type
+FROM events""")
+def q_clean_csv(spark, sf):
+    """events with null times written as CSV in event order, then cleaned: the times are
+    filled along the order of the rows in the files."""
+    ts = F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts")
+    df = load_table(spark, sf, "events").select("event_id", ts, "user_id", "event_type").orderBy("event_id")
+    path = S.write_csv(df, scratch_path(spark, "csv-order"))
+    return clean_csv(spark, path, CleaningOptions(handle_outliers=False, remove_constant_columns=False)).df
+
+
 @register("preview", sql_rounded("SELECT * FROM orders ORDER BY o_orderkey LIMIT 5", ["o_totalprice"]))
 def q_preview(spark, sf):
     return rounded(S.preview(load_table(spark, sf, "orders"), ["o_orderkey"]))
@@ -145,6 +170,27 @@ def q_cleaning_report(spark, sf):
     return res.report(spark).select("step_no", "step", "count")
 
 
+_COLUMNS_SQL = "WITH " + _DIRTY_SQL + """,
+cleaned AS (""" + _CLEAN_SQL + """),
+b AS (SELECT count(*) AS n, count(event_time) AS t, count(event_type) AS y, count(value) AS v FROM tok),
+a AS (SELECT count(*) AS n, count(event_time) AS t, count(signup_date) AS s FROM cleaned)
+SELECT position, original_name, column_name,
+       CASE column_name WHEN 'event_time' THEN b.n - b.t WHEN 'event_type' THEN b.n - b.y WHEN 'value' THEN b.n - b.v
+                        WHEN 'empty' THEN b.n ELSE 0 END AS nulls_before,
+       CASE WHEN dropped THEN NULL WHEN column_name = 'event_time' THEN a.n - a.t
+            WHEN column_name = 'signup_date' THEN a.n - a.s ELSE 0 END AS nulls_after, dropped
+FROM (VALUES (0, 'Event ID', 'event_id', false), (1, 'Event Time', 'event_time', false),
+             (2, 'User-Id', 'user_id', false), (3, 'Event Type', 'event_type', false), (4, 'Value ($)', 'value', false),
+             (5, 'Source', 'source', true), (6, 'Empty', 'empty', true), (7, 'Signup Date', 'signup_date', false),
+             (8, 'Props', 'props', false)) AS c(position, original_name, column_name, dropped), a, b"""
+
+
+@register("column_report", _COLUMNS_SQL)
+def q_column_report(spark, sf):
+    """The cleaning report's columns: missing cells before and after, and what was dropped."""
+    return _run_plan(spark, sf).column_report().drop("dtype_before", "dtype_after")
+
+
 # ---------------------------------------------------------------- streaming apply
 
 _STREAM_SQL = sql_rounded("WITH " + dirt.EVENTS_CLEAN_NULLS_SQL + """,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
@@ -105,3 +106,20 @@ def drop_scratch(spark: SparkSession, path: str) -> bool:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.delete(hpath, True))
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send the package's sources to the executors once per Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_washframe_code", None) == sc.applicationId:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="washframe-", suffix=".zip")
+    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._washframe_code = sc.applicationId

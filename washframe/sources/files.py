@@ -15,6 +15,7 @@ from washframe.functions.columns import q
 from washframe.functions.text import DEFAULT_NA_TOKENS
 from washframe.operators.coerce import detect_and_convert
 from washframe.operators.missing import replace_na_tokens
+from washframe.sources.split_csv import PLAIN_OPTIONS, can_split, read_records
 
 # Declared upload limits of the service being re-expressed.
 ALLOWED_EXTENSIONS = ("csv", "xlsx", "xls")
@@ -24,14 +25,22 @@ TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def read_csv(spark: SparkSession, path: str, na_tokens=None, detect: bool = True,
-             schema=None, multi_line: bool = True, **options) -> DataFrame:
+             schema=None, multi_line: bool = True, position: str | None = None, **options) -> DataFrame:
     """Header row, quoted fields with doubled quotes, NA tokens -> null, detected types.
 
     ``schema`` skips detection; its cells are null only for the ``na_tokens`` that
     are named (without a schema the usual tokens hold). Quoted newlines and blanks
-    around cells are kept. ``multi_line=False`` lets Spark split one large file
-    over tasks, for files without quoted newlines.
+    around cells are kept, and large files are split over tasks (``split_csv``);
+    options that change where records end (comments, other encodings, escapes or line
+    ends, no header) are left to Spark's reader, one task a file. ``multi_line=False``
+    is for files without quoted newlines: Spark's reader, split at line ends.
+    ``position`` adds a long column of that name: the row's place 0, 1, ... over all
+    files in the order of their paths, an order for fills.
     """
+    if multi_line and can_split(options):
+        return _read_split(spark, path, na_tokens, detect, schema, position, options)
+    if position:
+        raise ValueError("positions need multi_line and plain options")
     reader = (spark.read.option("header", True).option("escape", '"')
               .option("multiLine", multi_line).option("mode", "PERMISSIVE")
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
@@ -48,6 +57,48 @@ def read_csv(spark: SparkSession, path: str, na_tokens=None, detect: bool = True
     return detect_and_convert(df) if detect else df
 
 
+_PLAIN = {"escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def header_names(spark: SparkSession, path, **options) -> list[str]:
+    """Column names of CSV files, of which Spark reads one record."""
+    return spark.read.options(header=True, multiLine=True, **{**_PLAIN, **options}).csv(path).columns
+
+
+def unused_name(spark: SparkSession, path, schema=None, **options) -> str:
+    """A column name that CSV files do not have."""
+    plain = {k: v for k, v in options.items() if k.lower() in {p.lower() for p in PLAIN_OPTIONS}}
+    taken = {c.lower() for c in header_names(spark, path, **plain)}
+    return next(name for name in ("row_position" + "_" * i for i in range(len(taken) + 1)) if name not in taken)
+
+
+def _read_split(spark, path, na_tokens, detect, schema, position, options) -> DataFrame:
+    plain = {**_PLAIN, **options}
+    lower = {k.lower(): v for k, v in options.items()}
+    if schema is None:
+        names = header_names(spark, path, **options)
+    else:
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        names = schema.names
+    if position in names:
+        raise ValueError(f"the files have a column named {position!r} already")
+    rows = read_records(spark, path, lower.get("sep", lower.get("delimiter", ",")), lower.get("quote", '"'))
+    typed = schema is not None and na_tokens is None
+    kinds = [f.dataType.simpleString() if typed else "string" for f in schema.fields] if schema else ["string"] * len(names)
+    record = F.from_csv("value", ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)), {**plain, "multiLine": "true"})
+    place = [F.col("position").alias(position)] if position else []
+    df = rows.select("position", record.alias("r")).select(
+        *[F.col(f"r.c{i}").alias(name) for i, name in enumerate(names)], *place)
+    if typed:
+        return df
+    if schema is not None:
+        df = replace_na_tokens(df, na_tokens)
+        return df.select(*[q(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields],
+                         *([q(position)] if position else []))
+    df = replace_na_tokens(df, DEFAULT_NA_TOKENS if na_tokens is None else na_tokens)
+    return detect_and_convert(df) if detect else df
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Header, no index; a directory of part files (one per partition)."""
     (df.write.mode(mode).option("header", True).option("escape", '"')
