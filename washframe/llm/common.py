@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washframe.session import drop_scratch, scratch_path
+from washframe.session import drop_scratch, scratch_path, ship_code
 
 ID_BROADCAST_ROWS = 1_000_000   # id lists up to this counted size are broadcast
 _written: list[tuple[SparkSession, str]] = []
@@ -22,23 +19,6 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Send the package's sources to the executors once per Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_washframe_code", None) == sc.applicationId:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    fd, path = tempfile.mkstemp(prefix="washframe-", suffix=".zip")
-    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
-        for folder, _, names in os.walk(package):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    sc.addPyFile(path)
-    sc._washframe_code = sc.applicationId
-
-
 def byte_slices(batch, column: int, limit: int = 1 << 21):
     """Parts of an Arrow batch with about ``limit`` bytes of a text column each (or one
     longer text), so what is made of them at a time is bounded."""
