@@ -57,10 +57,34 @@ def bar_data(df: DataFrame, x: str, y: str, hue: str | None = None, n: int = TOP
     return line_data(group_mean_topn(df, x, y, n), x, y, hue)
 
 
-def scatter_data(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
-    """Every (x, y) point with both present: a narrow projection, no sampling."""
-    cols = [x, y] + ([hue] if hue else [])
-    return df.select(*[value_of(df, c).alias(c) for c in cols]).where(q(x).isNotNull() & q(y).isNotNull())
+def scatter_data(df: DataFrame, x: str, y: str, hue: str | None = None, max_points: int | None = None,
+                 seed: int = 0) -> DataFrame:
+    """Every (x, y) point with both present: a narrow projection, no sampling.
+
+    ``max_points`` (default: all points) keeps that many points of each ``hue`` group
+    (points without one are a group), those with the least seeded hash. Equal points are
+    counted first and tell their copies apart by number, so the choice depends on the
+    points alone: the same for any order, partitioning or machine."""
+    cols = list(dict.fromkeys([x, y] + ([hue] if hue else [])))
+    rows = df.select(*[value_of(df, c).alias(c) for c in cols]).where(q(x).isNotNull() & q(y).isNotNull())
+    if max_points is None:
+        return rows
+    if max_points < 1:
+        raise ValueError("max_points must be 1 or more")
+    # no more than max_points copies of a point can be chosen; copies are combined before the shuffle
+    inner = rows.toDF(*[f"c{i}" for i in range(len(cols))])
+    names = inner.columns
+    counted = inner.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(max_points).cast("long"))))
+    copies = counted.select(*names, copy.alias("copy"))
+    group = [f"c{cols.index(hue)}"] if hue else []
+    ranked = copies.withColumn("h", F.xxhash64(F.lit(seed), *names, "copy"))
+    if not group:
+        kept = ranked.orderBy("h", *names, "copy").limit(max_points)        # a top-k on each task, then one merge
+    else:       # Spark keeps the first rows of a group on each task before the shuffle
+        w = Window.partitionBy(*group).orderBy("h", *names, "copy")
+        kept = ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_points)
+    return kept.select(*names).toDF(*cols)
 
 
 def auto_bin_count(n: int, lo: float, hi: float, q25: float, q75: float) -> int:
@@ -78,12 +102,15 @@ def auto_bin_count(n: int, lo: float, hi: float, q25: float, q75: float) -> int:
 
 
 def histogram_data(df: DataFrame, x: str, bins: int | str = "auto", approx: bool = False,
-                   hue: str | None = None, log: StepLog | None = None) -> DataFrame:
+                   hue: str | None = None, log: StepLog | None = None, empty_bins: bool | None = None) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed): bin, bin_low, bin_high,
     count and density (count / (n * width)). ``bins='auto'`` follows numpy.
     With ``hue``: the same bins for every category (common bins), counts and
     density per category. Infinite values have no bin and are left out (counted in
-    ``log``). There are 2^53 bins at most: doubles tell no more apart."""
+    ``log``). There are 2^53 bins at most: doubles tell no more apart. ``empty_bins``:
+    whether bins without values are listed (never with ``hue``); by default they are while
+    there are no more bins than 100,000 or than rows, as a far tail asks for very many. The
+    bins that hold values, and their counts, are the same either way."""
     v = value_of(df, x).cast("double")
     if log is not None:
         log.add("histogram_left_out", columns=[x], count=df.agg(F.count_if(F.abs(v) == math.inf)).first()[0])
@@ -125,9 +152,9 @@ def histogram_data(df: DataFrame, x: str, bins: int | str = "auto", approx: bool
              .otherwise(edge(F.col("bin") + 1)).alias("bin_high"),
             "count", (F.col("count") / (F.sum("count").over(per) * F.lit(width))).alias("density"))
     counts = df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    # The bin axis is derived from the data (k from its statistics), k rows; a
-    # heavy tail can ask for more bins than rows, then only occupied bins are listed.
-    if k <= max(SMALL_SIDE_ROWS, n):
+    if empty_bins is None:
+        empty_bins = k <= max(SMALL_SIDE_ROWS, n)
+    if empty_bins:      # the axis is derived from the data: k comes from its statistics
         axis = df.sparkSession.range(k).select(F.col("id").alias("bin"))
         out = axis.join(F.broadcast(counts) if k <= SMALL_SIDE_ROWS else counts, on="bin", how="left")
     else:
@@ -263,19 +290,21 @@ def pair_columns(df: DataFrame, max_cols: int = PAIR_COLUMNS) -> list[str]:
     return columns_of_kind(df, "numeric")[:max_cols]
 
 
-def pair_data(df: DataFrame, max_cols: int = PAIR_COLUMNS, hue: str | None = None) -> DataFrame:
+def pair_data(df: DataFrame, max_cols: int = PAIR_COLUMNS, hue: str | None = None, mirrored: bool = True) -> DataFrame:
     """Off-diagonal panels of a pair plot: (x_name, y_name, x, y[, hue]) for each
     ordered pair of the first ``max_cols`` numeric columns (rows with both present).
-    ``hue`` is kept only when it has fewer than 10 distinct values."""
+    ``hue`` is kept only when it has fewer than 10 distinct values. ``mirrored=False``
+    gives each unordered pair once (x before y in column order), half as many rows: the
+    other half of the plot swaps the axes."""
     cols = pair_columns(df, max_cols)
     if not cols:
         raise ValueError("a pair plot needs a numeric column")
-    if hue and df.select(hue).distinct().limit(10).count() >= 10:
+    if hue and df.select(q(hue)).distinct().limit(10).count() >= 10:
         hue = None
     items = F.array(*[F.struct(F.lit(a).alias("x_name"), F.lit(b).alias("y_name"),
                                value_of(df, a).cast("double").alias("x"),
                                value_of(df, b).cast("double").alias("y"))
-                      for a in cols for b in cols if a != b])
+                      for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j or (mirrored and i > j)])
     extra = [q(hue).alias("hue")] if hue else []
     return df.select(*extra, F.inline(items)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
@@ -300,20 +329,21 @@ _PLOTS = {
     "line": (line_data, True),
     "bar": (bar_data, True),
     "scatter": (scatter_data, True),
-    "histogram": (lambda df, x, y: histogram_data(df, x), False),
-    "heatmap": (lambda df, x, y: heatmap_data(df), False),
+    "histogram": (lambda df, x, y, **options: histogram_data(df, x, **options), False),
+    "heatmap": (lambda df, x, y, **options: heatmap_data(df, **options), False),
 }
 PLOT_TYPES = tuple(_PLOTS)
 
 
-def create_plot(df: DataFrame, plot_type: str, x_column: str, y_column: str | None = None) -> DataFrame:
-    """Chart table by plot type; the heatmap ignores x and y."""
+def create_plot(df: DataFrame, plot_type: str, x_column: str, y_column: str | None = None, **options) -> DataFrame:
+    """Chart table by plot type; the heatmap ignores x and y. ``options`` are those of the
+    chart's own function (``hue``, ``max_points``, ``empty_bins``, ...)."""
     if plot_type not in _PLOTS:
         raise ValueError(f"no chart named {plot_type!r}; choose one of {', '.join(_PLOTS)}")
     table, needs_y = _PLOTS[plot_type]
     if needs_y and not y_column:
         raise ValueError(f"a {plot_type} chart needs a y column")
-    return table(df, x_column, y_column)
+    return table(df, x_column, y_column, **options)
 
 
 def plot_tables(df: DataFrame, plot_type: str, x_column: str, y_column: str | None = None) -> dict[str, DataFrame]:

@@ -101,6 +101,35 @@ def describe_datetime(df: DataFrame, cols: list[str] | None = None, approx: bool
     return spark.createDataFrame(rows, schema)
 
 
+MIXED_STATS = ("mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def describe_mixed(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Describe of a table with numbers and times together, one row per numeric or
+    datetime column in the table's order: kind, count, and mean, min, quartiles and max
+    twice, as doubles and as times (``mean_time``, ...), one of which is null; times have
+    no std. A table with neither kind has no rows."""
+    kinds = {c: k for k in ("numeric", "datetime") for c in columns_of_kind(df, k)}
+    numbers = [c for c, k in kinds.items() if k == "numeric"]
+    times = [c for c, k in kinds.items() if k == "datetime"]
+    place = {c: i for i, c in enumerate(df.columns)}
+    double = ", ".join(f"CAST({{}} AS DOUBLE) AS {s}" for s in MIXED_STATS)
+    stamp = ", ".join(f"CAST({{}} AS TIMESTAMP_NTZ) AS {s}_time" for s in MIXED_STATS if s != "std")
+    parts = []
+    for cols, kind, table in ((numbers, "numeric", describe), (times, "datetime", describe_datetime)):
+        if cols:
+            values = (list(MIXED_STATS), ["NULL"] * 6) if kind == "numeric" else \
+                (["NULL"] * 7, [s for s in MIXED_STATS if s != "std"])
+            rows = table(df, cols, approx=approx)
+            at = "CASE column_name " + " ".join(f"WHEN {sql_literal(c)} THEN {place[c]}" for c in cols) + " END AS position"
+            parts.append(rows.selectExpr(at, "column_name", f"'{kind}' AS kind", "count",
+                                         *double.format(*values[0]).split(", "), *stamp.format(*values[1]).split(", ")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "position int, column_name string, kind string, count bigint, " + ", ".join(
+            [f"{s} double" for s in MIXED_STATS] + [f"{s}_time timestamp_ntz" for s in MIXED_STATS if s != "std"]))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, value as text, cnt) for every distinct non-missing value."""
     items = "inline(array(" + ", ".join(

@@ -107,6 +107,23 @@ def q_data_summary(spark, sf):
     return A.data_summary(df.unionByName(df.where(F.col("event_id") % 10 == 0)))
 
 
+_A2M_SQL = sql_rounded("\nUNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, 'numeric' AS kind, count({c}) AS count, avg({c}) AS mean, "
+    f"CAST(min({c}) AS DOUBLE) AS min, quantile_cont({c}, 0.5) AS q50, CAST(max({c}) AS DOUBLE) AS max FROM events"
+    for i, c in ((0, "event_id"), (2, "user_id"), (4, "value"))) + """
+UNION ALL SELECT 1, 'ts', 'datetime', count(ts), avg(epoch_us(ts)) / 1e6, epoch_us(min(ts)) / 1e6,
+  quantile_cont(epoch_us(ts), 0.5) / 1e6, epoch_us(max(ts)) / 1e6 FROM events""", ["mean", "min", "q50", "max"], 3)
+
+
+@register("describe_mixed", _A2M_SQL)
+def q_describe_mixed(spark, sf):
+    """Numbers and times of events together; times as seconds since 1970."""
+    found = A.describe_mixed(load_table(spark, sf, "events"))
+    seconds = "coalesce({0}, timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {0}_time) / 1e6D) AS {0}"
+    return rounded(found.selectExpr("position", "column_name", "kind", "count",
+                                    *[seconds.format(c) for c in ("mean", "min", "q50", "max")]), 3)
+
+
 # ---------------------------------------------------------------- A6, V5
 
 def _corr_sql(cols, lower_only):
@@ -302,6 +319,15 @@ def q_pair_data(spark, sf):
     return rounded(V.pair_data(load_table(spark, sf, "part")))
 
 
+@register("pair_half", sql_rounded("\nUNION ALL ".join(
+    f"SELECT '{a}' AS x_name, '{b}' AS y_name, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y "
+    f"FROM part WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+    for i, a in enumerate(_PART_NUM) for b in _PART_NUM[i + 1:]), ["x", "y"]))
+def q_pair_half(spark, sf):
+    """Each pair of columns once: the lower panels of a pair plot."""
+    return rounded(V.pair_data(load_table(spark, sf, "part"), mirrored=False))
+
+
 @register("pair_diagonal", _kde_sql("\nUNION ALL ".join(
     f"SELECT '{c}' AS g, CAST({c} AS DOUBLE) AS y FROM part" for c in _PART_NUM), "column_name"))
 def q_pair_diagonal(spark, sf):

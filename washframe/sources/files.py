@@ -15,6 +15,7 @@ from washframe.functions.columns import q
 from washframe.functions.text import DEFAULT_NA_TOKENS
 from washframe.operators.coerce import detect_and_convert
 from washframe.operators.missing import replace_na_tokens
+from washframe.sources.digests import streamed_digests
 from washframe.sources.split_csv import PLAIN_OPTIONS, can_split, read_records
 
 # Declared upload limits of the service being re-expressed.
@@ -114,18 +115,22 @@ def preview(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str, allowed=ALLOWED_EXTENSIONS,
-                  max_bytes: int = MAX_FILE_BYTES, expected_sha256: dict | None = None) -> DataFrame:
+                  max_bytes: int = MAX_FILE_BYTES, expected_sha256: dict | None = None,
+                  held_bytes: int = 2 ** 31 - 1024) -> DataFrame:
     """One row per file: name, size, modification time, SHA-256 and verdicts.
 
-    Every file is hashed, whatever its size; only one that the binary-file source
-    cannot hold (2 GB and more) gets no hash and the verdict ``not_hashed``. The
-    size limit shows in ``size_ok`` and the verdict.
+    Every file is hashed, whatever its size: those that the binary-file source can hold
+    (below 2 GB, ``held_bytes``) by it, larger ones in pieces inside a task
+    (``streamed_digests``). The size limit shows in ``size_ok`` and the verdict. Spark's
+    listing leaves empty files out.
     """
     listing = (spark.read.format("binaryFile").load(path)
                .select("path", "length", "modificationTime"))
-    hashed = (spark.read.format("binaryFile").load(path)
-              .where(F.col("length") < 2 ** 31 - 1024)
+    small = F.col("length") < held_bytes
+    hashed = (spark.read.format("binaryFile").load(path).where(small)
               .select("path", F.sha2("content", 256).alias("sha256")))
+    if listing.where(~small).limit(1).count():
+        hashed = hashed.unionByName(streamed_digests(listing.where(~small)))
     out = listing.join(hashed, on="path", how="left")
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     out = out.select(
@@ -143,7 +148,6 @@ def file_manifest(spark: SparkSession, path: str, allowed=ALLOWED_EXTENSIONS,
         out = out.withColumn("sha256_ok", F.lit(True))
     verdict = (F.when(~F.col("extension_ok"), F.lit("bad_extension"))
                .when(~F.col("size_ok"), F.lit("too_large"))
-               .when(F.col("sha256").isNull(), F.lit("not_hashed"))
                .when(~F.col("sha256_ok"), F.lit("checksum_mismatch"))
                .otherwise(F.lit("ok")))
     return out.withColumn("verdict", verdict)
