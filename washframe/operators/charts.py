@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from washframe.functions.columns import columns_of_kind, q, value_of
+from washframe.operators.hot_keys import join_groups
 from washframe.operators.profile import correlation_matrix
 from washframe.operators.quantiles import column_quantiles, exact_quantiles, stack_columns
 from washframe.report import StepLog
@@ -23,8 +24,9 @@ MOST_BINS = 1 << 53           # finer bins cannot be told apart in doubles
 SMALL_SIDE_ROWS = 100_000     # per-group tables broadcast up to this many rows
 
 
-def _maybe_broadcast(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= SMALL_SIDE_ROWS else small
+def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_groups: int) -> DataFrame:
+    """``rows`` with the columns of their group (``_n``: its rows); hot groups are not shuffled."""
+    return join_groups(rows, groups, keys, "_n", n_groups, SMALL_SIDE_ROWS)
 
 
 def line_data(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
@@ -198,10 +200,10 @@ def box_data(df: DataFrame, x: str | None, y: str, whis: float = 1.5, approx: bo
     qs = qs.withColumn("_lo", F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))) \
            .withColumn("_hi", F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))).persist()
     groups = qs.count()
-    fences = _maybe_broadcast(qs.select(*named, "_lo", "_hi"), groups)
+    fences = qs.select(*named, F.col("n").alias("_n"), "_lo", "_hi")
     yv = F.col("_y")
     inside = (yv >= F.col("_lo")) & (yv <= F.col("_hi"))
-    w = base.join(fences, on=keys, how="inner").groupBy(*named).agg(
+    w = _with_groups(base, fences, keys, groups).groupBy(*named).agg(
         F.min(F.when(inside, yv)).alias("whisker_low"),
         F.max(F.when(inside, yv)).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"))
@@ -215,11 +217,10 @@ def box_outliers(df: DataFrame, x: str | None, y: str, whis: float = 1.5, approx
     base, names = _box_rows(df, x, y, hue)
     keys = list(names)
     qs = exact_quantiles(base, keys, "_y", [0.25, 0.75], approx=approx)
-    fences = qs.select(*[q(k) for k in keys],
+    fences = qs.select(*[q(k) for k in keys], "_n",
                        (F.col("q0") - F.lit(whis) * (F.col("q1") - F.col("q0"))).alias("_lo"),
                        (F.col("q1") + F.lit(whis) * (F.col("q1") - F.col("q0"))).alias("_hi")).persist()
-    fences = _maybe_broadcast(fences, fences.count())
-    return (base.join(fences, on=keys).where((F.col("_y") < F.col("_lo")) | (F.col("_y") > F.col("_hi")))
+    return (_with_groups(base, fences, keys, fences.count()).where((F.col("_y") < F.col("_lo")) | (F.col("_y") > F.col("_hi")))
             .select(*[q(k).alias(name) for k, name in names.items()], F.col("_y").alias(y)))
 
 
@@ -244,9 +245,8 @@ def kde_data(df: DataFrame, y: str, by: str | None = None, gridsize: int = 100,
     span = F.col("_hi") - F.col("_lo")
     wide = F.col("_h") / F.lit(float(fine))
     b = F.floor((F.col("_y") - F.col("_lo")) / wide)
-    binned = (base.join(_maybe_broadcast(st, groups), on="_g")
-              .groupBy("_g", b.alias("_b")).agg(F.count(F.lit(1)).alias("_w"), F.avg("_y").alias("_c")))
-    binned = binned.join(_maybe_broadcast(st, groups), on="_g")
+    binned = (_with_groups(base, st, ["_g"], groups)
+              .groupBy("_g", "_n", "_lo", "_hi", "_h", b.alias("_b")).agg(F.count(F.lit(1)).alias("_w"), F.avg("_y").alias("_c")))
     start = F.col("_lo") - F.lit(cut) * F.col("_h")
     step = (span + F.lit(2 * cut) * F.col("_h")) / F.lit(gridsize - 1)
     near = binned.select("_g", "_n", "_h", "_w", "_c", start.alias("_s"), step.alias("_st"))

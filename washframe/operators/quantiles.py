@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from washframe.functions.columns import ident, q, sql_literal
+from washframe.operators.hot_keys import join_groups
 from washframe.session import checkpoint_root
 
 GRID = 256               # grid points per approximate pass
@@ -91,8 +92,8 @@ def _inside(v: Column, lo: Column, hi: Column) -> Column:
 
 
 def _attach(long_df: DataFrame, targets: DataFrame, keys: list[str], n_targets: int) -> DataFrame:
-    side = F.broadcast(targets) if n_targets <= BROADCAST_TARGETS else targets
-    return long_df.join(side, on=keys, how="inner")
+    """Rows with the targets of their group; above the broadcast bound hot groups stay unshuffled."""
+    return join_groups(long_df, targets, keys, "_n", n_targets, BROADCAST_TARGETS)
 
 
 def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
@@ -187,7 +188,7 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
             raise RuntimeError("quantile brackets do not converge")
         pending = targets.where(~F.coalesce(F.col("_ready"), F.lit(False)))
         v, plo, phi = F.col(nm.value), F.col("_lo"), F.col("_hi")
-        joined = _attach(data, pending.select(*keys, nm.idx, "_lo", "_hi"), keys, n_pending)
+        joined = _attach(data, pending.select(*keys, nm.idx, "_n", "_lo", "_hi"), keys, n_pending)
         # (rows with v == lo / v == hi, and the nearest values strictly inside,
         # let a bracket made of endpoint copies shrink when the grid cannot)
         joined = joined.withColumn("_in_bracket", _inside(v, plo, phi))
@@ -248,7 +249,7 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str,
         targets = new_targets
 
     # Resolution: candidates inside each bracket, grouped by value.
-    bounds = targets.select(*keys, nm.idx, "_lo", "_hi")
+    bounds = targets.select(*keys, nm.idx, "_n", "_lo", "_hi")
     joined = _attach(data, bounds, keys, n_targets)
     v = F.col(nm.value)
     cand = (joined.where(_inside(v, F.col("_lo"), F.col("_hi")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from washframe.operators import charts as V
 from washframe.operators import profile as A
+from washframe.operators import stored_profiles as P
 from washframe.plans import dirt
 from washframe.plans.registry import register, rounded, sql_rounded
 from washframe.sources.tables import load_table
@@ -90,6 +91,37 @@ def q_column_summary(spark, sf):
     return rounded(A.column_summary(dirt.events_tokens_nulled(spark, sf)))
 
 
+def _stored_row(c: str, dtype: str) -> str:
+    number, text, time = dtype in ("bigint", "double"), dtype == "string", dtype.startswith("timestamp")
+    moments = f"avg({c}), stddev_samp({c}), CAST(min({c}) AS DOUBLE), CAST(max({c}) AS DOUBLE)" if number else "NULL, NULL, NULL, NULL"
+    ends = f"min({c}), max({c})"
+    return f"""SELECT '{c}', '{dtype}', count(*), count(*) - count({c}), {moments}, {ends if text else "NULL, NULL"},
+  {ends if time else "NULL, NULL"}, true, {"true" if number else "NULL"} FROM events_cn"""
+
+
+_STORED_COLUMNS = ["name", "dtype", "n_rows", "missing_count", "mean", "std", "min", "max", "first_value", "last_value",
+                   "first_time", "last_time", "unique_close", "median_close"]
+_STORED_TYPES = [*((c, t) for c, t in _EV_TYPES if c != "user_id"), ("user_id", "bigint")]
+_STORED_SQL = sql_rounded(
+    "WITH " + dirt.EVENTS_CLEAN_NULLS_SQL + f", stored({', '.join(_STORED_COLUMNS)}) AS (\n"
+    + "\nUNION ALL ".join(_stored_row(c, t) for c, t in _STORED_TYPES) + ")\nSELECT * FROM stored",
+    ["mean", "std", "min", "max"])
+
+
+@register("profile_united", _STORED_SQL)
+def q_profile_united(spark, sf):
+    """Profiles of every event type's rows, united; estimates are held against exact values."""
+    df = dirt.events_tokens_nulled(spark, sf)
+    kinds = df.withColumn("kind", F.col("event_type"))
+    found = P.profile_summary(P.unite_profiles(P.profile_parts(kinds, by=["kind"])))
+    exact = A.column_summary(df, samples=0).select("name", "unique_count")
+    ranks = A.describe(df).select(F.col("column_name").alias("name"), F.col("q25").alias("e25"), F.col("q75").alias("e75"))
+    found = found.join(exact, "name").join(ranks, "name", "left")
+    unique = F.abs(F.col("unique_estimate") - F.col("unique_count")) <= 0.05 * F.col("unique_count") + 1
+    return rounded(found.withColumn("unique_close", unique)
+                   .withColumn("median_close", F.col("q50").between(F.col("e25"), F.col("e75"))).select(*_STORED_COLUMNS))
+
+
 _A4_SQL = "WITH " + dirt.EVENTS_CLEAN_NULLS_SQL + """,
 both_ AS (SELECT * FROM events_cn UNION ALL SELECT * FROM events_cn WHERE event_id % 10 = 0)
 SELECT count(*) AS total_rows, 6 AS total_columns,
