@@ -24,9 +24,12 @@ from washframe.functions.text import strip_whitespace as strip_expr
 from washframe.functions.names import standard_names
 from washframe.operators import coerce, columns, missing, outliers, strings
 from washframe.operators.quantiles import column_quantiles, direct_budget
+from washframe.operators.tiles import TILE, aggregate_row
 from washframe.report import StepLog
 from washframe.session import checkpoint_root, drop_scratch, materialize, scratch_path
 
+MEDIAN_WEIGHT = 8   # expressions that an exact median counts for when a wide pass is cut
+
 
 @dataclass
 class CleaningOptions:
@@ -224,14 +227,16 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
         candidates += [(c, "", value_of(df, c).cast("double")) for c in columns_of_kind(df, "numeric")]
         for c in text:
             candidates += [(c, k, guarded_number(q(c), k).cast("double")) for k in ("long", "double")]
-    pass_a = grouped.groupBy().agg(
+    # Wide tables go in tiles of columns, unless every tile would compute the plan anew.
+    tile = None if opt.materialize == "none" else TILE
+    pass_a = aggregate_row(grouped, [
         F.expr("coalesce(sum(_copies), 0) AS total"), F.expr("count(1) AS kept"),
         *[F.expr(f"coalesce(sum(IF({ident(c)} IS NULL, _copies, 0)), 0) AS g{i}")
           for i, c in enumerate(dates)],
         *coerce.detection_aggs(text, prefix="t_"),
         *[e for j, (_, _, v) in enumerate(candidates) for e in (
             F.count(v).alias(f"mn{j}"), F.avg(v).alias(f"mm{j}"), F.stddev_pop(v).alias(f"ms{j}"))]
-    ).collect()[0]
+    ], tile=tile)
     result.missing_values_filled -= sum(pass_a[f"g{i}"] for i in range(len(dates)))
     if opt.drop_duplicates:
         result.rows_removed = pass_a["total"] - pass_a["kept"]
@@ -273,7 +278,7 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
             v = coerce.to_timestamp(v, date_formats[c].formats)
         return v
 
-    b_aggs = []
+    b_aggs, weights = [], []
     direct = (direct_budget([moments[c][0] for c in live]) if not opt.approx_quantiles
               else [False] * len(live))
     for i, c in enumerate(live):
@@ -281,6 +286,7 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
         v = value_of(df, c).cast("double")
         out = F.abs((v - F.lit(mean)) / F.lit(std)) > F.lit(threshold)
         b_aggs.append(F.count_if(out).alias(f"o{i}"))
+        weights += [1, MEDIAN_WEIGHT] if direct[i] else [1]
         if direct[i]:
             b_aggs.append(F.expr(f"percentile(CAST({value_sql(df, c)} AS DOUBLE), 0.5D)").alias(f"p{i}"))
     for i, c in enumerate(bounds_cols):
@@ -290,11 +296,12 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None) -> Cleanin
             keep = ~(F.abs((v.cast("double") - F.lit(mean)) / F.lit(std)) > F.lit(threshold))
             v = F.when(keep, v.cast("double"))
         b_aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    pass_b = df.groupBy().agg(*b_aggs).collect()[0] if b_aggs else None
+        weights += [1, 1]
+    pass_b = aggregate_row(df, b_aggs, weights, tile)
 
     flagged = {c: pass_b[f"o{i}"] for i, c in enumerate(live) if pass_b[f"o{i}"] > 0}
     medians = {c: pass_b[f"p{i}"] for i, c in enumerate(live)
-               if c in flagged and f"p{i}" in pass_b.asDict()}
+               if c in flagged and f"p{i}" in pass_b}
     rest = [c for c in flagged if c not in medians]
     if rest:
         got = column_quantiles(df, rest, [0.5], approx=opt.approx_quantiles,
