@@ -340,6 +340,35 @@ def test_mixture(spark, docs):
     assert mixing.Mixture(empty(spark)).plan().count() == 0
 
 
+def test_mixture_with_two_level_prefix_sums(spark, docs, monkeypatch):
+    # ranges of 2 rows: one span of all ranges, and spans of 3, choose the same rows
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 2)
+    want = sorted(map(tuple, mixing.Mixture(docs).plan().collect()), key=repr)
+    monkeypatch.setattr(mixing, "SPAN_RANGES", 3)
+    assert sorted(map(tuple, mixing.Mixture(docs).plan().collect()), key=repr) == want
+    rows = [(i, "w " * (1 + i % 5), "s") for i in range(500)] + [(1000 + i, "w", "t" if i else None) for i in range(9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mixture(table, max_epochs=9)
+    held = {r.skey: r for r in mix.sources.collect()}
+    sized = [(r.skey, r.u, r["size"]) for r in mix.sized.collect()]
+    edges = {r.skey: (r.edge, r.room) for r in mix.edges.collect()}
+    for skey, row in held.items():      # the edge by hand
+        sums = {}
+        for s, u, size in sized:
+            if s == skey:
+                at = int(((u % (1 << 64)) >> 1) / float(1 << 63) * row.ranges)
+                sums[at] = sums.get(at, 0) + size
+        left, found = row.rest, None
+        for at in sorted(sums):
+            if sums[at] > left:
+                found = (at, left)
+                break
+            left -= sums[at]
+        assert (skey in edges) == (found is not None)
+        if found:
+            assert edges[skey][0] == found[0] and abs(edges[skey][1] - found[1]) < 1e-6
+
+
 def test_mixture_fills_up_behind_a_long_document(spark):
     """A long document where the words end leaves its room to later ranges."""
     rows = [(1001 * s + i, "w " * (3750 if i == 1000 else 10), f"s{s:02}") for s in range(12) for i in range(1001)]

@@ -34,6 +34,7 @@ from washframe.llm.common import ID_BROADCAST_ROWS, forget, numbered, store
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 RANGE_ROWS = 256
+SPAN_RANGES = 1024   # ranges whose prefix sums are ordered at a time
 
 
 def word_count(col) -> F.Column:
@@ -121,13 +122,25 @@ class Mixture:
 
     @staticmethod
     def _edges(rows: DataFrame, room: str, words: str) -> DataFrame:
-        """Per source the range in which its words pass its room, and the room there."""
-        sums = rows.groupBy("skey", room, "range").agg(F.sum(words).alias("words"))
-        run = sums.selectExpr("skey", f"{room} AS room", "range", "words",
-                              "sum(words) OVER (PARTITION BY skey ORDER BY range) AS upto")
-        return store(run.where("upto > room").groupBy("skey").agg(
+        """Per source the range in which its words pass its room, and the room there.
+
+        Prefix sums of two levels: over spans of ``SPAN_RANGES`` ranges first, then over
+        the ranges of the one span where the words pass, so no task orders all ranges of
+        a hot source."""
+        sums = rows.groupBy("skey", F.col(room).alias("room"), "range").agg(F.sum(words).alias("words"))
+        sums = store(sums.withColumn("span", F.floor(F.col("range") / SPAN_RANGES)), "mix-ranges")
+        spans = sums.groupBy("skey", "room", "span").agg(F.sum("words").alias("words")).selectExpr(
+            "skey", "room", "span", "words", "sum(words) OVER (PARTITION BY skey ORDER BY span) AS upto")
+        span = spans.where("upto > room").groupBy("skey").agg(
+            F.min(F.struct("span", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
+        span = store(span.select("skey", "e.span", "e.before"), "mix-spans")   # a row a source
+        run = sums.join(_checked(span), ["skey", "span"]).selectExpr(
+            "skey", "room", "range", "words", "before + sum(words) OVER (PARTITION BY skey ORDER BY range) AS upto")
+        edges = store(run.where("upto > room").groupBy("skey").agg(
             F.min(F.struct("range", (F.col("room") - F.col("upto") + F.col("words")).alias("room"))).alias("e"))
             .select("skey", F.col("e.range").alias("edge"), "e.room"), "mix-edges")
+        forget(sums, span)
+        return edges
 
     @staticmethod
     def _room_left(rooms: DataFrame, got: DataFrame) -> DataFrame:
