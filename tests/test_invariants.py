@@ -115,3 +115,24 @@ def test_checkpoint_root_requires_shared_folder_on_clusters():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_root(_Session())
+
+
+def test_cluster_sessions_use_a_mounted_checkpoint_folder(spark, tmp_path, monkeypatch):
+    """A ``file:`` folder that all machines mount is used; one that loses rows is refused."""
+    import pytest
+    from washframe import session
+    from washframe.operators.charts import box_data
+
+    monkeypatch.delenv("WASHFRAME_SHARED_FILES", raising=False)
+    session.checkpoint_root(spark)
+    sc = spark.sparkContext
+    monkeypatch.setattr(sc, "master", "spark://one:7077")
+    monkeypatch.setattr(sc, "_washframe_shared", set(), raising=False)
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0)], "k string, v double")
+    assert {r["k"]: r["median"] for r in box_data(df, "k", "v").collect()} == {"a": 2.0, "b": 2.0}
+    assert session._shared(spark, f"file://{tmp_path}") == f"file://{tmp_path}"
+    assert not list(tmp_path.iterdir())
+    monkeypatch.setattr(sc, "_washframe_shared", set())
+    monkeypatch.setattr(session, "_rows_seen", lambda spark, path, tasks: tasks - 1)
+    with pytest.raises(RuntimeError, match="shared by all machines"):
+        session.scratch_path(spark, "x")

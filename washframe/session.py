@@ -7,7 +7,9 @@ import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkConf, SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 
@@ -68,16 +70,37 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def _shared(spark: SparkSession, path: str) -> str:
-    """``path``, or an error if a cluster session would write to machine-local disks
-    (set WASHFRAME_SHARED_FILES=1 where a ``file:`` folder is mounted everywhere)."""
+    """``path``, or an error if a cluster session would write to machine-local disks: a
+    ``file:`` folder (a mounted one, say) counts as shared once all rows that tasks wrote
+    to it are read again. One small job per application and folder."""
     sc = spark.sparkContext
-    if not sc.master.startswith("local") and not os.environ.get("WASHFRAME_SHARED_FILES"):
-        hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-        if hpath.getFileSystem(sc._jsc.hadoopConfiguration()).getScheme() == "file":
-            raise RuntimeError(f"spark.checkpoint.dir must be shared by all machines, not {path}")
+    if sc.master.startswith("local") or os.environ.get("WASHFRAME_SHARED_FILES"):
+        return path
+    hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    tried = getattr(sc, "_washframe_shared", set())
+    if hpath.getFileSystem(sc._jsc.hadoopConfiguration()).getScheme() == "file" and path not in tried:
+        tasks = max(2, 2 * sc.defaultParallelism)
+        try:
+            seen = _rows_seen(spark, path, tasks)
+        except (PySparkException, Py4JJavaError) as e:
+            raise RuntimeError(f"spark.checkpoint.dir must be shared by all machines; a trial in {path} failed") from e
+        if seen != tasks:
+            raise RuntimeError(f"spark.checkpoint.dir must be shared by all machines: of {tasks} rows "
+                               f"written to {path}, {seen} are seen")
+        sc._washframe_shared = tried | {path}
     return path
 
 
+def _rows_seen(spark: SparkSession, path: str, tasks: int) -> int:
+    """How many of the rows that so many tasks write below ``path``, one each, are read again."""
+    trial = f"{path.rstrip('/')}/washframe-trial-{uuid.uuid4().hex}"
+    try:
+        spark.range(0, tasks, 1, tasks).write.parquet(trial)
+        return spark.read.schema("id long").parquet(trial).count()
+    finally:
+        drop_scratch(spark, trial)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique folder name inside the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")
