@@ -215,3 +215,31 @@ def test_queries_without_sql_cover_the_table(spark, name):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect()
     got = QUERIES[name](spark, SMALL).select("doc_id").distinct().collect()
     assert {r.doc_id for r in got} == {r.doc_id for r in docs}
+
+
+def test_least_scores_come_from_all_learning_documents(spark, monkeypatch):
+    """Not from as many documents as training may use."""
+    monkeypatch.setattr(byte_gru, "SAMPLE_DOCS", 3)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(120)
+    model = byte_gru.fit(docs)
+    by = collections.defaultdict(list)
+    for r in byte_gru.predict(docs, model).where("lang = lang_pred").collect():
+        by[r.lang].append(r.score)
+    assert max(map(len, by.values())) > 3
+    for share in (0.0, 0.4):
+        got = byte_gru.least_scores(docs, model, share)
+        assert got.keys() == by.keys()
+        assert all(abs(got[k] - np.quantile(v, share)) < 1e-5 for k, v in by.items())
+    assert byte_gru.least_scores(docs, None, 0.5) == {} == byte_gru.least_scores(docs.limit(0), model, 0.5)
+
+
+def test_arrow_batches_are_bounded(spark):
+    from washframe.llm import common
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+    rows = spark.range(0, 600, 1, 1).selectExpr("repeat('x', 100000) AS text")
+    got = [r.n for r in common.arrow_map(rows, sizes, "n long").collect()]
+    assert len(got) > 5 and max(got) < 2 * common.ARROW_BYTES

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from washframe.llm.common import ID_BROADCAST_ROWS, arrow_map, store
 from washframe.llm.words import text_buffers
+from washframe.operators.quantiles import exact_quantiles
 
 BLOCK = 128
 HIDDEN = 6
@@ -34,6 +35,7 @@ WINDOWS = 6             # training windows of a document
 TRAIN_BLOCK = 48        # bytes of a training window
 STEPS = 260
 BATCH = 192
+_FOUND = "lang_pred string, score double, shares array<double>"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -280,7 +282,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     ``model.labels``)."""
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = docs.schema.simpleString()
-    out = arrow_map(rows, _predict_rows(model), f"row {kind}, lang_pred string, score double, shares array<double>")
+    out = arrow_map(rows, _predict_rows(model), f"row {kind}, {_FOUND}")
     return out.select("row.*", *[F.col(c).alias(name) for c, name in result_names(docs).items()])
 
 
@@ -294,12 +296,16 @@ def result_names(docs: DataFrame) -> dict[str, str]:
     return names
 
 
-def least_scores(docs: DataFrame, model: Model | None, share: float, seed: int = 3, id_col: str = "doc_id",
-                 text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+def least_scores(docs: DataFrame, model: Model | None, share: float, text_col: str = "text",
+                 lang_col: str = "lang") -> dict[str, float]:
     """Per language the score below which ``share`` of its labelled documents lie, of
-    those that the network labels right (a bounded sample of ``docs``, short texts too)."""
+    those that the network labels right: all of ``docs``, short texts too."""
     if model is None:
         return {}
-    few = _sample(docs, seed, id_col, text_col, lang_col, 1)
-    rows = predict(few, model).where("lang = lang_pred").groupBy("lang").agg(F.percentile("score", F.lit(share)).alias("s"))
-    return {r["lang"]: r["s"] for r in rows.collect()}
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
+    rows = docs.select(F.struct(lang.alias("lang")).alias("row"), text.alias("text"))
+    rows = rows.where("row.lang IS NOT NULL AND octet_length(text) > 0")
+    out = arrow_map(rows, _predict_rows(model), f"row struct<lang: string>, {_FOUND}")
+    right = store(out.where("row.lang = lang_pred").select("lang_pred", "score"), "scores")
+    least = exact_quantiles(right, ["lang_pred"], "score", [share])
+    return {r["lang_pred"]: r["q0"] for r in least.collect()}

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from washframe.session import drop_scratch, scratch_path, ship_code
 
 ID_BROADCAST_ROWS = 1_000_000   # id lists up to this counted size are broadcast
+ARROW_BYTES = 4 << 20           # bytes of an Arrow batch, of which JVM and worker hold several copies
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[tuple[SparkSession, str]] = []
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package on the workers' path."""
+    """``df.mapInArrow`` with this package on the workers' path, in batches of about
+    ``ARROW_BYTES`` unless the session sets another size."""
     ship_code(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(_BATCH_SETTING, str(ARROW_BYTES))
     return df.mapInArrow(fn, schema)
 
 
