@@ -146,6 +146,20 @@ def test_memo_is_dropped_and_refilled(monkeypatch):
         assert got is None or got[:5] == w[:5] and got[5].tolist() == w[5].tolist()
 
 
+def test_texts_leave_nothing_behind():
+    """A worker's memory does not grow with the words it has met."""
+    aligner = align.Aligner(A, B)
+
+    def held():
+        return {k: len(v) for k, v in vars(aligner).items() if hasattr(v, "__len__")}
+    before = held()
+    many = [f"w{k} x{k * k}yz, {chr(0x4e00 + k)}" for k in range(300)]
+    want, _ = brute_alignment(many)
+    got = [aligner.text(t) for t in many]
+    assert [g and g[:4] for g in got] == [(w[0], w[1], w[2], w[3]) for w in want]
+    assert held() == before
+
+
 # ----------------------------------------------------------------- manifest
 
 def field(x):

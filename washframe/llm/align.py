@@ -1,20 +1,14 @@
-"""Cross-tokenizer alignment by whitespace-token anchors.
+"""Cross-tokenizer alignment by byte anchors.
 
 Every text is encoded whole by two tokenizers: A, byte-level BPE, on a space and the
 text; B, a sentencepiece model, on the text (it adds the space itself). The bytes of
 both token sequences are joined and compared with the space and the text; a text that
 fails has no tokens.
 
-Anchors are byte offsets at which a token of A that begins with a space and a token of
-B that begins with U+2581 both start, so both have an end there. They split a text into
-windows of token ids, mostly a word each. The alignment of a window depends on its ids
-alone: each worker keeps those it has met, by the pair of id tuples, about
-``MEMO_WINDOWS`` of at most ``MEMO_TOKENS`` tokens; others are aligned on the spot.
-
-Within a window, offsets at which both sides have an end cut the tokens into groups,
-and tokens whose byte ranges overlap are linked. Links of equal ids are counted over
-the corpus (a text's equal links first, then each task's, then all). The counts come
-back to the texts as sorted arrays, ``SLICE_PAIRS`` id pairs at a time: with more pairs
+Anchors, the byte offsets at which both sides have an end, cut the tokens into groups; the
+offsets at which either has one cut the text into pieces, and each piece is the overlap of
+one token of A with one of B: a link. Links of equal ids are counted over the corpus (a
+text's equal links first, then each task's, then all). The counts come back to the texts as sorted arrays, ``SLICE_PAIRS`` id pairs at a time: with more pairs
 the texts are passed once for each slice.
 
 Defined results: null or empty texts and those that fail the comparison have zeros and
@@ -27,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from array import array
 from functools import partial
 
 import numpy as np
@@ -37,8 +30,7 @@ from pyspark.sql import functions as F
 
 from washframe.llm.common import arrow_map, forget, store
 
-MEMO_WINDOWS = 400_000
-MEMO_TOKENS = 48
+MEMO_WINDOWS = 0   # alignments that a worker keeps: none, each text is aligned at once
 SLICE_PAIRS = 2_000_000   # id pairs (17 bytes each) that are broadcast at a time
 ROWS = 64
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -104,44 +96,10 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevelTokens(path_a), PieceTokens(path_b)
-        self.sizes = [[len(t) for t in side.bytes] for side in (self.a, self.b)]
-        self.lengths = [np.array(sizes) for sizes in self.sizes]
-        self.spaced = [np.array([t[:1] == b" " for t in side.bytes]) for side in (self.a, self.b)]
-        self.names = [[str(i) for i in range(len(side.bytes))] for side in (self.a, self.b)]
-        self.shift = len(self.a.bytes)      # added to ids of B in the key of a window
-        self.known: dict[bytes, tuple[str, int, bytes]] = {}
-
-    def window(self, key: bytes) -> tuple[str, int, bytes]:
-        """(groups as text, their number, the id pair of every link) of a window; plain
-        values, which the garbage collector need not visit."""
-        (size_a, size_b), (name_a, name_b), shift = self.sizes, self.names, self.shift
-        ids = array("i", key)
-        j = 0
-        while ids[j] < shift:
-            j += 1
-        i, last, a, b = 0, j, ids[0], ids[j] - shift
-        x, y, in_a, in_b = size_a[a], size_b[b], [name_a[a]], [name_b[b]]
-        groups, links = [], [a << 32 | b]
-        while True:
-            if x == y:
-                groups.append(",".join(in_a) + "|" + ",".join(in_b))
-                i, j = i + 1, j + 1
-                if i == last:
-                    break
-                a, b = ids[i], ids[j] - shift
-                x, y, in_a, in_b = x + size_a[a], y + size_b[b], [name_a[a]], [name_b[b]]
-            elif x < y:
-                i += 1
-                a = ids[i]
-                x += size_a[a]
-                in_a.append(name_a[a])
-            else:
-                j += 1
-                b = ids[j] - shift
-                y += size_b[b]
-                in_b.append(name_b[b])
-            links.append(a << 32 | b)
-        return ";".join(groups), len(groups), array("q", links).tobytes()
+        self.lengths = [np.array([len(t) for t in side.bytes]) for side in (self.a, self.b)]
+        # decimal ids with what follows them: A's within and at the end of a group, B's likewise
+        self.parts = [f"{i}{mark}" for side, marks in ((self.a, ",|"), (self.b, ",;"))
+                      for mark in marks for i in range(len(side.bytes))]
 
     def text(self, text: str | None):
         """(n_a, n_b, n_groups, n_links, groups, id pairs, their numbers) or None."""
@@ -151,40 +109,26 @@ class Aligner:
         for ids, side in ((a, self.a), (b, self.b)):
             if not side.lossless and b"".join(map(side.bytes.__getitem__, ids)) != raw:
                 return None
-        a, b = np.array(a, dtype="<i4"), np.array(b, dtype="<i4")
-        starts = []
-        for ids, sizes in zip((a, b), self.lengths):
-            s = np.zeros(len(ids), dtype=np.int64)
-            np.cumsum(sizes[ids[:-1]], out=s[1:])
-            starts.append(s)
-        # numbers of the tokens at which a window starts: the first, and all at anchors
-        spaced = [np.flatnonzero(mark[ids]) for mark, ids in zip(self.spaced, (a, b))]
-        marks = np.zeros((2, len(raw)), dtype=bool)
-        for mark, at, s in zip(marks, spaced, starts):
-            mark[s[at]] = True
-        both = marks[0] & marks[1]
-        cuts = []
-        for at, s in zip(spaced, starts):
-            at = at[both[s[at]]]
-            cuts.append(np.concatenate([at if len(at) and not at[0] else np.append(0, at), [len(s)]]))
-        # the windows' ids one behind the other, those of A first, those of B shifted
-        ids = np.empty(len(a) + len(b), dtype="<i4")
-        ids[np.arange(len(a)) + np.repeat(cuts[1][:-1], np.diff(cuts[0]))] = a
-        ids[np.arange(len(b)) + np.repeat(cuts[0][1:], np.diff(cuts[1]))] = b + self.shift
-        raw, at = ids.tobytes(), (4 * (cuts[0] + cuts[1])).tolist()
-        keys = [raw[p:q] for p, q in zip(at, at[1:])]
-        if len(self.known) > MEMO_WINDOWS:
-            self.known.clear()
-        known = self.known
-        found = list(map(known.get, keys))
-        for i, one in enumerate(found):
-            if one is None:
-                found[i] = one = self.window(keys[i])
-                if len(keys[i]) <= 4 * MEMO_TOKENS:
-                    known[keys[i]] = one
-        texts, groups, pairs = zip(*found)
-        pairs, times = np.unique(np.frombuffer(b"".join(pairs), dtype=np.int64), return_counts=True)
-        return len(a), len(b), sum(groups), int(times.sum()), ";".join(texts), pairs, times
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        ends = np.zeros((2, len(raw) + 1), dtype=bool)
+        for mark, ids, sizes in zip(ends, (a, b), self.lengths):
+            mark[np.cumsum(sizes[ids])] = True
+        # pieces in order: whether a token of A, of B, and so a group, ends with them
+        ends = ends[:, ends[0] | ends[1]]
+        (of_a, of_b), both = ends, ends[0] & ends[1]
+        upto_a, upto_b, upto = np.cumsum(of_a), np.cumsum(of_b), np.cumsum(both)
+        links = a[upto_a - of_a] << 32 | b[upto_b - of_b]
+        # ids and marks group by group, those of A first
+        group = upto - both
+        before_b = np.concatenate([[0], upto_b[both]])[group[of_a]]
+        through_a = upto_a[both][group[of_b]]
+        n_a, n_b = len(self.a.bytes), len(self.b.bytes)
+        parts = np.empty(len(a) + len(b), dtype=np.int64)
+        parts[np.arange(len(a)) + before_b] = a + n_a * both[of_a]
+        parts[np.arange(len(b)) + through_a] = b + 2 * n_a + n_b * both[of_b]
+        groups = "".join(map(self.parts.__getitem__, parts.tolist()))[:-1]
+        pairs, times = np.unique(links, return_counts=True)
+        return len(a), len(b), int(upto[-1]), len(links), groups, pairs, times
 
 
 _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
