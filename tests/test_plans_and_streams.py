@@ -171,3 +171,13 @@ def test_dedup_stream_ntz_marker_ignores_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", prev)
     assert sorted(str(r.ts) for r in out) == ["2024-03-10 02:30:00.123456", "2024-03-10 03:30:00.123456"]
     assert list(out[0].asDict()) == ["ts", "k"]
+
+
+def test_stream_clean_reads_a_table_of_part_files(spark, tmp_path):
+    """The events table may be a folder of part files, not one file."""
+    from washframe.plans.catalog import QUERIES
+    events = load_table(spark, SF_SMALL, "events")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    want, got = (QUERIES["stream_clean"](spark, sf).collect() for sf in (SF_SMALL, str(tmp_path)))
+    assert len(got) == events.count()
+    assert sorted(map(str, got)) == sorted(map(str, want))

@@ -131,6 +131,13 @@ def drop_scratch(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(hpath, True))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has exactly this path, asked through its Hadoop FileSystem."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath) and fs.getFileStatus(hpath).isDirectory())
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send the package's sources to the executors once per Spark application."""
     sc = spark.sparkContext

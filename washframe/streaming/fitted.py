@@ -24,7 +24,7 @@ from washframe.operators import coerce, columns, missing
 from washframe.operators.coerce import converted
 from washframe.operators.outliers import _zscore_flags
 from washframe.operators.quantiles import column_quantiles
-from washframe.session import scratch_path
+from washframe.session import is_folder, scratch_path
 
 
 @dataclass
@@ -101,9 +101,13 @@ class StreamCleaner:
 
 def read_stream(spark: SparkSession, directory: str, schema: T.StructType,
                 glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet file stream over ``directory`` with a fixed schema."""
+    """A parquet file stream over ``directory`` with a fixed schema; ``glob`` picks files
+    by name, or is the name of a folder there whose files are read."""
     reader = spark.readStream.schema(schema)
-    if glob:
+    folder = f"{directory.rstrip('/')}/{glob}"
+    if glob and is_folder(spark, folder):
+        directory = folder
+    elif glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
