@@ -3,6 +3,7 @@ long texts, ties, repeated rows, empty tables and extra columns."""
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -173,6 +174,41 @@ def test_jaccard_rounds_run_out(spark, monkeypatch, rounds):
     assert len(calls) == rounds + 2   # the first stars, all rounds, what is left
 
 
+def test_jaccard_unlinked_members_of_a_key(spark, monkeypatch):
+    """Members of a key that are alike only there never become rows of pairs; those that
+    are linked across its blocks do."""
+    monkeypatch.setattr(set_join, "KEY_BLOCK", 16)
+    monkeypatch.setattr(set_join, "BLOCK_WORDS", 32)
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(9999)}" for _ in range(rnd.choice([30, 60, 150]))) for _ in range(90)]
+    texts += [t + " more" for t in texts[:30]]
+    rows = [(7 * i % 1000, t) for i, t in enumerate(texts)]
+    join = set_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100, 3)
+    members = spark.createDataFrame([(i % 2 and k, d, False, False, d) for i, (d, _) in enumerate(rows) for k in (1, 2)],
+                                    "key long, doc long, low boolean, cut boolean, comp long").distinct()
+    got = {tuple(r) for r in join._near_in_keys(members).collect()}
+    sets = {d: {tuple(w[i:i + 3]) for i in range(len(w) - 2)} for d, w in ((d, t.split()) for d, t in rows)}
+    keys = {d: i % 2 for i, (d, _) in enumerate(rows)}
+    linked = {(u, v) for u in sets for v in sets if u < v and keys[u] == keys[v]
+              and 100 * len(sets[u] & sets[v]) >= 80 * len(sets[u] | sets[v])}
+    assert len(linked) == 30 and linked <= got and len(got) < 3 * len(linked)
+    low = members.withColumn("low", F.lit(True))
+    assert not join._near_in_keys(low).count() and not join._near_in_keys(members.withColumn("comp", F.lit(1))).count()
+
+
+def test_jaccard_pairs_of_a_common_passage_are_few(spark, monkeypatch):
+    """A passage shared by documents that do not link makes no pairs with the square of their number."""
+    monkeypatch.setattr(set_join, "FAMILY_SHARE", 99.0)
+    common = " ".join(f"c{i}" for i in range(16))
+    texts = [common + " " + " ".join(f"d{i}x{j}" for j in range(12)) for i in range(150)]
+    calls, verify = [], set_join.JaccardJoin._verify
+    monkeypatch.setattr(set_join.JaccardJoin, "_verify", lambda self, pairs: calls.append(pairs.count()) or verify(self, pairs))
+    join = set_join.JaccardJoin(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 80, 100, 3)
+    got = join.components().collect()
+    assert len(got) == 150 and all(r["component_id"] == r["doc_id"] for r in got)
+    assert sum(calls) < 5 * 150, calls
+
+
 def test_jaccard_empty(spark):
     assert set_join.JaccardJoin(empty(spark)).components().count() == 0
 

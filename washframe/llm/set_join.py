@@ -20,8 +20,9 @@ no linked pair is lost.
 Candidates are verified with whole sets. For components, members of a key are
 compared with one member, and in further rounds those of its smaller components
 with another one; a key whose members are all in one component needs nothing
-more, and the pairs that are left across components are all verified. ``links``
-gives all linked pairs instead.
+more. The members that are left are compared block by block by the parity bits of
+their sets, so only pairs that may be linked become rows, and all of these are
+verified. ``links`` gives all linked pairs instead.
 
 Defined results: null or wordless texts have an empty set and no link; fewer
 than k words make one shingle of the whole sequence; equal sets form a class
@@ -51,6 +52,8 @@ STALLED = 0.7          # share of pairs left from one round to the next that end
 FAMILY_KEY = 32        # members of a key from which it can make a family
 FAMILY_SHARE = 0.05    # pairs of its keys, of all its pairs, from which a family is dense
 FAMILY_BLOCK = 256
+KEY_BLOCK = 256        # members of a key that a task compares with as many others at a time
+BLOCK_WORDS = 1 << 18  # words of parity bits that are compared at a time
 KEY_BROADCAST_ROWS = 2_000_000   # shared keys up to this counted number are broadcast
 KEY_ROWS = 1 << 18     # index rows that a task combines at a time
 KEY_PART = 500_000     # keys of a shuffle partition
@@ -183,6 +186,59 @@ def bits_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _block(column, r: int):
+    """Row r of an Arrow column of lists of members: their fields, and the rows and
+    parity words of each width."""
+    lo, hi = column.offsets[r].as_py(), column.offsets[r + 1].as_py()
+    values = column.values
+    fields = {c: values.field(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in ("doc", "comp", "n", "low", "cut")}
+    bits = values.field("bits").slice(lo, hi - lo).to_pylist()
+    wide = np.array([len(x) for x in bits])
+    return fields, [(rows, np.frombuffer(b"".join(bits[i] for i in rows), dtype=np.uint64).reshape(len(rows), -1))
+                    for rows in (np.flatnonzero(wide == w) for w in np.unique(wide))]
+
+
+def near_in_blocks(a, b, num: int, den: int):
+    """(u, v) of the members of two blocks that may meet and whose parity bits let them
+    reach the threshold."""
+    (fa, wide_a), (fb, wide_b) = a, b
+    us, vs = [], []
+    for ra, xa in wide_a:
+        for rb, xb in wide_b:
+            words = min(xa.shape[1], xb.shape[1])
+            x, y = (np.bitwise_xor.reduce(z.reshape(len(z), -1, words), axis=1) for z in (xa, xb))
+            step = max(1, BLOCK_WORDS // y.size)
+            for lo in range(0, len(x), step):
+                at = ra[lo:lo + step]
+                s, t = fa["n"][at][:, None], fb["n"][rb][None, :]
+                need = -(-num * (s + t) // (num + den))
+                apart = np.bitwise_count(x[lo:lo + step, None] ^ y[None]).sum(axis=2, dtype=np.int64)
+                keep = (need <= np.minimum(s, t)) & (apart <= s + t - 2 * need)
+                keep &= fa["comp"][at][:, None] != fb["comp"][rb][None, :]
+                for c in ("low", "cut"):
+                    keep &= ~(fa[c][at][:, None] & fb[c][rb][None, :])
+                i, j = np.nonzero(keep)
+                us.append(fa["doc"][at[i]])
+                vs.append(fb["doc"][rb[j]])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def _block_rows(num: int, den: int):
+    """Pairs (u, v) that may reach the threshold, of rows with one block (its members with
+    each other) or two (those of one with those of the other)."""
+    def run(batches):
+        for batch in batches:
+            found = []
+            for r in range(len(batch)):
+                one = _block(batch.column(0), r)
+                found.append(near_in_blocks(one, one if batch.num_columns == 1 else _block(batch.column(1), r), num, den))
+            if found:
+                pairs = np.unique(np.concatenate([np.stack(x, axis=1) for x in found]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["u", "v"])
+    return run
+
+
 def _near_rows(num: int, den: int):
     """Pairs (u, v, sizes, parity bits) that may reach the threshold."""
     def run(batches):
@@ -467,11 +523,34 @@ class JaccardJoin:
         return (a.join(b, on).where("a.doc <> b.doc AND NOT (a.low AND b.low) AND NOT (a.cut AND b.cut)")
                 .select(F.least("a.doc", "b.doc").alias("u"), F.greatest("a.doc", "b.doc").alias("v")).distinct())
 
+    def _marks(self) -> DataFrame:
+        """(rid, doc_id, n, bits) of the classes' representatives."""
+        return without_ids(self.index.where("n > 0 AND doc_id IS NOT NULL").select("rid", "doc_id", "n", "bits"),
+                           self.copies, ["rid"])
+
+    def _near_in_keys(self, rest: DataFrame) -> DataFrame:
+        """Distinct pairs u < v across components of the members (key, doc, low, cut, comp)
+        of each key, without those that parity bits rule out. A key's pairs are not made
+        as rows: blocks of about ``KEY_BLOCK`` of its members are compared in a task."""
+        big = rest.groupBy("key").agg(F.count("*").alias("g")).where(f"g > {KEY_BLOCK}").select(
+            "key", F.ceil(F.col("g") / KEY_BLOCK).cast("int").alias("parts"))
+        marks = self._marks().select(F.col("doc_id").alias("doc"), "n", "bits")
+        parts = F.coalesce("parts", F.lit(1))
+        blocks = (rest.select("key", "doc", "low", "cut", "comp").join(big, "key", "left").join(marks, "doc")
+                  .groupBy("key", parts.alias("parts"), F.pmod(F.xxhash64("doc"), parts).alias("b"))
+                  .agg(F.collect_list(F.struct("doc", "comp", "n", "low", "cut", "bits")).alias("m")))
+        blocks = store(blocks, "jaccard-key-blocks")
+        many = blocks.where("parts > 1")
+        met = many.alias("x").join(many.alias("y"), "key").where("x.b < y.b").select("x.m", F.col("y.m").alias("m2"))
+        near = [arrow_map(rows, _block_rows(self.num, self.den), "u long, v long") for rows in (blocks.select("m"), met)]
+        out = store(near[0].union(near[1]).distinct(), "jaccard-near-keys")
+        forget(blocks)
+        return out
+
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets reach the threshold. Parity bits, which never rule a
         linked pair out, drop pairs of unlike sets before any set is sent."""
-        marks = without_ids(self.index.where("n > 0 AND doc_id IS NOT NULL").select("rid", "doc_id", "n", "bits"),
-                            self.copies, ["rid"])
+        marks = self._marks()
         mark = [marks.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
                 for x in ("u", "v")]
         near = pairs.join(mark[0], "u").join(mark[1], "v").select("u", "v", "nu", "nv", "bu", "bv")
@@ -536,14 +615,11 @@ class JaccardJoin:
             tested = store(tested.union(star), "jaccard-tested")
             forget(comps, rest, star, more, *old)
         dense, sparse = self._families(rest)
-        pairs = (sparse.alias("a").join(sparse.alias("b"), "key")
-                 .where("a.doc < b.doc AND a.comp <> b.comp AND NOT (a.low AND b.low) AND NOT (a.cut AND b.cut)")
-                 .select(F.col("a.doc").alias("u"), F.col("b.doc").alias("v")).distinct()
-                 .join(tested, ["u", "v"], "left_anti"))
-        pairs = store(pairs, "jaccard-pairs")
+        near = self._near_in_keys(sparse)
+        pairs = store(near.join(tested, ["u", "v"], "left_anti"), "jaccard-pairs")
         last = self._verify(pairs).union(self._verify_families(dense))
         out = connected_components(comps.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(last))
-        forget(members, tested, links, comps, rest, pairs)
+        forget(members, tested, links, comps, rest, near, pairs)
         return out
 
     @staticmethod
