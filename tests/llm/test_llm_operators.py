@@ -209,6 +209,26 @@ def test_jaccard_pairs_of_a_common_passage_are_few(spark, monkeypatch):
     assert sum(calls) < 5 * 150, calls
 
 
+@pytest.mark.parametrize("edges, rounds", [
+    ([(2, 1), (3, 1), (1, 4), (7, 5), (7, 5), (6, 6), (None, 1)], 0),    # stars already
+    ([(2, 1), (3, 2), (9, 8)], 1),
+    ([(i, i + 1) for i in range(1, 30)] + [(40, 35), (35, 40), (38, 40)], None),
+    ([], 0)])
+def test_components_end_with_the_last_change(spark, monkeypatch, edges, rounds):
+    """Edges that are stars around least vertices take no round more to see it."""
+    from washframe.llm import components
+    stored, write = [], components.store
+    monkeypatch.setattr(components, "store", lambda df, label: stored.append(label) or write(df, label))
+    got = components.connected_components(spark.createDataFrame(edges, "u long, v long"))
+    heads = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in heads:
+        for u, v in edges:
+            if u in heads and v in heads:
+                heads[u] = heads[v] = min(heads[u], heads[v])
+    assert sorted(map(tuple, got.collect())) == sorted(heads.items())
+    assert rounds is None or len(stored) == 1 + rounds
+
+
 def test_jaccard_empty(spark):
     assert set_join.JaccardJoin(empty(spark)).components().count() == 0
 

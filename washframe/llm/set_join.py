@@ -429,6 +429,7 @@ class JaccardJoin:
                              "jaccard-classes")
         copies = full.join(self.classes, ["n", "fa", "fb"]).where("rid <> one").select("rid")
         self.copies = store(copies, "jaccard-copies")
+        self.marks: DataFrame | None = None
         self.swaps: dict[int, tuple[list[int], list[int]]] = {}
 
     # ------------------------------------------------------------ candidates
@@ -524,9 +525,11 @@ class JaccardJoin:
                 .select(F.least("a.doc", "b.doc").alias("u"), F.greatest("a.doc", "b.doc").alias("v")).distinct())
 
     def _marks(self) -> DataFrame:
-        """(rid, doc_id, n, bits) of the classes' representatives."""
-        return without_ids(self.index.where("n > 0 AND doc_id IS NOT NULL").select("rid", "doc_id", "n", "bits"),
-                           self.copies, ["rid"])
+        """(doc_id, n, bits) of the classes' representatives, stored when first asked for."""
+        if self.marks is None:
+            rows = self.index.where("n > 0 AND doc_id IS NOT NULL").select("rid", "doc_id", "n", "bits")
+            self.marks = store(without_ids(rows, self.copies, ["rid"]).drop("rid"), "jaccard-marks")
+        return self.marks
 
     def _near_in_keys(self, rest: DataFrame) -> DataFrame:
         """Distinct pairs u < v across components of the members (key, doc, low, cut, comp)
