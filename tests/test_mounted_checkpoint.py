@@ -7,6 +7,7 @@ import pytest
 
 QUERIES = [
     "box_outliers",
+    "box_single",
 ]
 
 
