@@ -8,6 +8,7 @@ import pytest
 QUERIES = [
     "box_outliers",
     "box_single",
+    "clean_csv",
 ]
 
 
