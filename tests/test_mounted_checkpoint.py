@@ -9,6 +9,7 @@ QUERIES = [
     "box_outliers",
     "box_single",
     "clean_csv",
+    "clean_data",
 ]
 
 
