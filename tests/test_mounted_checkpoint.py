@@ -10,6 +10,7 @@ QUERIES = [
     "box_single",
     "clean_csv",
     "clean_data",
+    "cleaning_report",
 ]
 
 
