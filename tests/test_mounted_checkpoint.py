@@ -11,6 +11,7 @@ QUERIES = [
     "clean_csv",
     "clean_data",
     "cleaning_report",
+    "column_report",
 ]
 
 
