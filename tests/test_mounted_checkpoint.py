@@ -12,6 +12,7 @@ QUERIES = [
     "clean_data",
     "cleaning_report",
     "column_report",
+    "csv_round_trip",
 ]
 
 
