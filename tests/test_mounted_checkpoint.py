@@ -13,6 +13,7 @@ QUERIES = [
     "cleaning_report",
     "column_report",
     "csv_round_trip",
+    "read_csv",
 ]
 
 
