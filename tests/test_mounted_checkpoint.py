@@ -14,6 +14,7 @@ QUERIES = [
     "column_report",
     "csv_round_trip",
     "read_csv",
+    "read_csv_multiline",
 ]
 
 
