@@ -82,3 +82,33 @@ def test_sparse_file_of_three_gigabytes(spark, tmp_path):
         want.update(bytes(1 << 26))
     row = files.file_manifest(spark, path).first()
     assert (row.size_bytes, row.sha256, row.verdict) == (3 << 30, want.hexdigest(), "too_large")
+
+
+def _hashes(rows):
+    return {r.file_name: r.sha256 for r in rows.collect()}
+
+
+def test_no_row_holds_a_large_file(spark, tmp_path):
+    texts = {"small.csv": b"a,b\n", "large.csv": os.urandom(9 << 20), "larger.csv": bytes(40 << 20)}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 8 << 20)     # Spark's source fails on more
+    try:
+        got = _hashes(files.file_manifest(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {name: hashlib.sha256(data).hexdigest() for name, data in texts.items()}
+
+
+def test_pieces_of_a_file_that_only_sparks_readers_open(spark, tmp_path):
+    data = os.urandom(3_000_001)
+    (tmp_path / "a b%20ü.csv").write_bytes(data)
+    (tmp_path / "c.csv").write_bytes(b"z")
+    mount = "fs.viewfs.mounttable.digests.link./in"       # a setting of the session alone
+    spark.conf.set(mount, f"file://{tmp_path}")
+    try:
+        found = files.file_manifest(spark, "viewfs://digests/in/*.csv", held_bytes=0)
+        assert _hashes(found) == {"a b%20ü.csv": hashlib.sha256(data).hexdigest(), "c.csv": hashlib.sha256(b"z").hexdigest()}
+        assert found.where(found.sha256 == hashlib.sha256(b"z").hexdigest()).first().file_name == "c.csv"
+    finally:
+        spark.conf.unset(mount)

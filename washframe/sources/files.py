@@ -22,6 +22,8 @@ from washframe.sources.split_csv import PLAIN_OPTIONS, can_split, read_records
 ALLOWED_EXTENSIONS = ("csv", "xlsx", "xls")
 MAX_FILE_BYTES = 100 * 1024 * 1024
 
+HELD_BYTES = 8 << 20      # files that a task may hold whole
+
 TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -116,13 +118,13 @@ def preview(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
 
 def file_manifest(spark: SparkSession, path: str, allowed=ALLOWED_EXTENSIONS,
                   max_bytes: int = MAX_FILE_BYTES, expected_sha256: dict | None = None,
-                  held_bytes: int = 2 ** 31 - 1024) -> DataFrame:
+                  held_bytes: int = HELD_BYTES) -> DataFrame:
     """One row per file: name, size, modification time, SHA-256 and verdicts.
 
-    Every file is hashed, whatever its size: those that the binary-file source can hold
-    (below 2 GB, ``held_bytes``) by it, larger ones in pieces inside a task
-    (``streamed_digests``). The size limit shows in ``size_ok`` and the verdict. Spark's
-    listing leaves empty files out.
+    Every file is hashed, whatever its size: small ones (below ``held_bytes``) by the
+    binary-file source, which holds a file several times over, larger ones in pieces
+    inside a task (``streamed_digests``). The size limit shows in ``size_ok`` and the
+    verdict. Spark's listing leaves empty files out.
     """
     listing = (spark.read.format("binaryFile").load(path)
                .select("path", "length", "modificationTime"))
